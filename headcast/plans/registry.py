@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from headcast.plans import arrivals, calibration
+
+FAMILIES = (calibration, arrivals)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for family in FAMILIES for name, text in family.ORACLE.items()}
