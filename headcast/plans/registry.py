@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcast.plans import arrivals, calibration
+from headcast.plans import arrivals, calibration, predictions
 
-FAMILIES = (calibration, arrivals)
+FAMILIES = (calibration, arrivals, predictions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
