@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcast.plans import arrivals, calibration, predictions
+from headcast.plans import arrivals, calibration, estimates, predictions
 
-FAMILIES = (calibration, arrivals, predictions)
+FAMILIES = (calibration, arrivals, predictions, estimates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
