@@ -15,7 +15,8 @@ from headcast.checkpoints import cut
 
 #: Bytes of words: digits, letters (A-Z lowered) and all that isn't ASCII; any other byte separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text that isn't lowered.
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SEED = 20_011
 
 
@@ -103,26 +104,30 @@ def mark_contamination(
     blocks = max(1, -(-total // block_bytes))
     names = {"n_words", "hits", "items"}
     kept = [c for c in dict.fromkeys(keep) if c not in names]
-    now = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__headcast_text"), F.lit(None).cast(HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    fields = [now.schema[c] for c in kept] + [T.StructField("__headcast_text", T.BinaryType()), T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())]
+    # a text that is carried along anyway is read from its own column rather than sent twice
+    carried = text_col in kept and isinstance(df.schema[text_col].dataType, T.StringType)
+    text = text_col if carried else "__headcast_text"
+    extra = [] if carried else [F.col(f"`{text_col}`").cast("string").cast("binary").alias(text)]
+    now = df.select(*[F.col(f"`{c}`") for c in kept], *extra, F.lit(None).cast(HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    fields = [now.schema[c] for c in kept] + ([] if carried else [T.StructField(text, T.BinaryType())]) + [T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())]
     for block in range(blocks):
         last = block == blocks - 1
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)).collect()
         shared = spark.sparkContext.broadcast([(r.item, None if r.text is None else bytes(r.text)) for r in sorted(rows, key=lambda r: (r.item or "", r.text or b""))])
         out = [f for f in fields if not (last and f.name == "__headcast_text")]
-        now = now.mapInArrow(_scan_with(shared, n, [f.name for f in out], blocks == 1), T.StructType(out))
+        now = now.mapInArrow(_scan_with(shared, n, text, [f.name for f in out], blocks == 1), T.StructType(out))
         if not last:
             now = cut(now).drop("n_words")
     return now
 
 
-def _scan_with(shared, n: int, names: list[str], fresh: bool):
+def _scan_with(shared, n: int, text_col: str, names: list[str], fresh: bool, slice_rows: int = 2000):
     hits_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, n)
-        for batch in batches:
-            texts = batch.column("__headcast_text").to_pylist()
+        for batch in (whole.slice(at, slice_rows) for whole in batches for at in range(0, whole.num_rows, slice_rows)):
+            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
             before = [None] * len(texts) if fresh else batch.column("hits").to_pylist()
             listed = [None] * len(texts) if fresh else batch.column("items").to_pylist()
             hits, items, counts = [], [], []
