@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcast.plans import arrivals, calibration, estimates, predictions
+from headcast.plans import arrivals, calibration, estimates, predictions, reports
 
-FAMILIES = (calibration, arrivals, predictions, estimates)
+FAMILIES = (calibration, arrivals, predictions, estimates, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
