@@ -193,6 +193,14 @@ ORACLE = {
     "f5_direction_audit": sql(f"""SELECT request_id, line, count(*) AS n_seen, count(*) FILTER (WHERE ok) AS n_match, string_agg(DISTINCT direction_code, ',' ORDER BY direction_code) AS directions, count(DISTINCT CASE WHEN ok THEN run END) AS n_runs
       FROM (SELECT r.request_id, r.line, a.run, a.direction_code, a.direction_code = CASE WHEN r.alight >= r.board THEN 'north' ELSE 'south' END AS ok FROM trip_requests r JOIN arrivals a ON a.line = r.line AND a.station = r.board AND NOT a.fault
       AND {E('a.arrival_at')} - {E('r.leave_at')} BETWEEN 0 AND 86400) GROUP BY ALL""", "arrivals", "trip_requests"),
+    "f6_map_match": sql("""SELECT event_id AS vehicle_row, CAST(seq AS BIGINT) AS seq, round(d, 3) AS distance_m, round(pdist1 + t * (pdist2 - pdist1), 3) AS projected,
+      CASE WHEN d <= 50 AND (e IS NULL OR e <= 90) THEN 'HIGH' WHEN d <= 100 AND (e IS NULL OR e <= 120) THEN 'MEDIUM' WHEN d <= 200 THEN 'LOW' ELSE 'UNUSABLE' END AS quality FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(d + coalesce(0.4 * e, 0), 6), seq) AS place FROM measured) WHERE place = 1""",
+      "vehicles", "pattern_points", pieces="SELECT * FROM (SELECT pid, seq, lat AS lat1, lon AS lon1, pdist AS pdist1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(pdist) OVER w AS pdist2 FROM pattern_points WINDOW w AS (PARTITION BY pid ORDER BY seq)) WHERE lat2 IS NOT NULL",
+      plane="""SELECT *, radians(lon - rlon) * k AS x, radians(lat - rlat) * 6371000.0::DOUBLE AS y, radians(lon1 - rlon) * k AS x1, radians(lat1 - rlat) * 6371000.0::DOUBLE AS y1, radians(lon2 - rlon) * k AS x2, radians(lat2 - rlat) * 6371000.0::DOUBLE AS y2
+        FROM (SELECT *, (lat + lat1 + lat2) / 3 AS rlat, (lon + lon1 + lon2) / 3 AS rlon, cos(radians((lat + lat1 + lat2) / 3)) * 6371000.0::DOUBLE AS k FROM vehicles v JOIN pieces p ON p.pid = v.pid)""",
+      along="SELECT *, greatest(0, least(1, CASE WHEN (x2 - x1) ** 2 + (y2 - y1) ** 2 > 0 THEN ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2) ELSE 0 END)) AS t FROM plane",
+      bearings="SELECT *, degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) AS b FROM along",
+      measured="SELECT *, sqrt((x - (x1 + t * (x2 - x1))) ** 2 + (y - (y1 + t * (y2 - y1))) ** 2) AS d, abs((((heading - ((b + 720) % 360) + 180) % 360) + 360) % 360 - 180) AS e FROM bearings"),
     "f7_stop_crossings": sql("""SELECT vid, pid, stop, arrival_s, speed FROM (SELECT p.vid, p.pid, s.stop, CAST(floor(p.at_s + greatest(0, least(1, (s.pdist - p.pdist) / (p.pdist1 - p.pdist))) * (p.at_s1 - p.at_s)) AS BIGINT) AS arrival_s,
       round((p.pdist1 - p.pdist) / (p.at_s1 - p.at_s), 6) AS speed, row_number() OVER (PARTITION BY p.vid, p.pid, s.stop ORDER BY p.at_s, p.event_id) AS k FROM pairs p JOIN pattern_points s ON s.pid = p.pid AND s.pdist BETWEEN p.pdist AND p.pdist1) WHERE k = 1""",
       "vehicles", "pattern_points", pairs="""SELECT * FROM (SELECT *, lead(pid) OVER w AS pid1, lead(at_s) OVER w AS at_s1, lead(pdist) OVER w AS pdist1, lead(age_s) OVER w AS age_s1 FROM vehicles WINDOW w AS (PARTITION BY vid ORDER BY at_s, event_id))

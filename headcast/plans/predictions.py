@@ -214,6 +214,8 @@ ORACLE = {
     "f17_shrunk_shift": sql("SELECT line, direction_code, count(*) AS n, round(avg(p50_residual), 6) AS mean, round(var_pop(p50_residual), 3) AS variance, round(avg(p50_residual) * count(*) / greatest(50, count(*)), 6) AS shift FROM scored WHERE status = 'resolved' GROUP BY ALL", "scored"),
     "f24_due_corridors": sql("""SELECT c.corridor_id, c.mode, c.priority, l.last_predicted_at FROM corridors c LEFT JOIN (SELECT corridor_id, max(leave_at) AS last_predicted_at FROM forecasts WHERE leave_at <= TIMESTAMP '1998-01-01' GROUP BY 1) l USING (corridor_id)
       WHERE c.priority < 2 AND c.mode IN ('l', 'bus', 'metra') AND (l.last_predicted_at IS NULL OR epoch(TIMESTAMP '1998-01-01' - l.last_predicted_at) >= 3600)""", "forecasts", "corridors"),
+    "f26_enqueued": sql("""SELECT forecast_id, sha256(corridor_id || '|' || CAST(leave_at AS VARCHAR) || '|' || predictor_version) AS queue_id, make_timestamp(CAST(floor((epoch_us(leave_at) / 1e6 + p90 + 600) * 1000000) AS BIGINT)) AS resolve_after, 'pending' AS status
+      FROM forecasts WHERE status = 'pending'""", "forecasts"),
     "f29_popular_pairs": sql(f"""SELECT origin, destination, count(*) AS n FROM requests r WHERE queried_at >= TIMESTAMP '2024-01-13' AND success AND NOT EXISTS (SELECT 1 FROM {NEW_PAIRS} p WHERE p.origin = r.origin AND p.destination = r.destination)
       GROUP BY ALL HAVING count(*) >= 2""", "requests"),
     "f33_training_frame": sql(f"SELECT forecast_id, {HOD}, round(p50 - 200, 6) AS horizon_s, round(p50_residual, 6) AS residual FROM ({FRAME})", "scored"),
