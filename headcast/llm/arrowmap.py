@@ -19,27 +19,35 @@ def with_document_columns(
     keep: Sequence[str],
     fields: Sequence[tuple[str, T.DataType]],
     make: Callable[[], Callable[[list[bytes | None]], list[Sequence[Any]]]],
+    slice_rows: int = 2000,
 ) -> DataFrame:
     """``keep`` columns of ``df`` plus computed ``fields``, one output row per input row.
 
     ``make()`` runs once per task and returns a function from a list of UTF-8 texts (None for null) to one
     sequence per field. Texts travel as binary, so each worker decodes only what it needs. A kept column whose name
-    equals a computed field is left out: the computed one wins. Arrow batches are bounded by Spark in rows and bytes.
+    equals a computed field is left out: the computed one wins. Arrow batches are bounded by Spark in rows and bytes, and
+    worked on in slices of ``slice_rows`` rows.
     """
     names = {name for name, _ in fields}
     kept = [c for c in dict.fromkeys(keep) if c not in names]
-    inner = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias(TEXT))
+    # a text that is carried along anyway is read from its own column rather than sent twice
+    carried = text_col in kept and isinstance(df.schema[text_col].dataType, T.StringType)
+    extra = [] if carried else [F.col(f"`{text_col}`").cast("string").cast("binary").alias(TEXT)]
+    inner = df.select(*[F.col(f"`{c}`") for c in kept], *extra)
     schema = T.StructType([inner.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t in fields])
     from pyspark.sql.pandas.types import to_arrow_type
 
     out_types = [to_arrow_type(t) for _, t in fields]
     out_names = [*kept, *(n for n, _ in fields)]
+    place, width = (kept.index(text_col) if carried else len(kept)), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            columns = work(batch.column(batch.num_columns - 1).to_pylist())
-            made = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, out_types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=out_names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(at, slice_rows)
+                columns = work(batch.column(place).cast(pa.binary()).to_pylist())
+                made = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, out_types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=out_names)
 
     return inner.mapInArrow(run, schema)

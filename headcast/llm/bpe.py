@@ -63,7 +63,7 @@ class Merges:
         key = left << 32 | right
         known = self._pair.get(key)
         if known is None:
-            if len(self._pair) > 2_000_000:
+            if len(self._pair) > 400_000:
                 self._pair.clear()
             known = self._pair[key] = self._stay_apart(left, right)
         return known
@@ -233,7 +233,7 @@ UTF8_LEADS = {
 class Encoder:
     """Whole texts to ids: split by the pattern, each match through the transducer, with a bounded memo."""
 
-    def __init__(self, blob: bytes, pattern: str, memo: int = 500_000):
+    def __init__(self, blob: bytes, pattern: str, memo: int = 200_000):
         self.ranks = read_ranks(blob)
         self.transducer = Transducer(self.ranks)
         self.bytes_of = self.transducer.merges.bytes_of

@@ -80,7 +80,7 @@ def compile_vocabulary(content: bytes) -> dict[str, Any]:
 class Counter:
     """Counts of whole texts: normalise, split, take proved words as one token, merge the rest."""
 
-    def __init__(self, vocabulary: dict[str, Any], memo: int = 500_000):
+    def __init__(self, vocabulary: dict[str, Any], memo: int = 400_000):
         self.merges = WordMerges(vocabulary["order"], vocabulary["end"])
         self.proved, self.split = vocabulary["proved"], Splitter(vocabulary["split"])
         special = [s for s in vocabulary["special"] if s]
