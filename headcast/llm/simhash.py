@@ -56,9 +56,19 @@ def add_fingerprints(df: DataFrame, text_col: str = "text", keep: Sequence[str]
 
 
 def covering_masks(radius: int) -> list[int]:
-    """One mask per table: 2 ** (radius + 1) - 1 of them, about half the places in each."""
-    vectors = (1 << (radius + 1)) - 1
-    place = [i % vectors + 1 for i in range(BITS)]
+    """One mask per table: 2 ** (radius + 1) - 1 of them, none with much under half of the places.
+
+    Any vectors give the guarantee; few places in a mask would give long runs of equal keys. Up to radius 5 all
+    vectors are dealt out in turn. Beyond there are more vectors than places: those with the top bit set are taken,
+    spaced evenly, for which masks hold half of the places (a first-order Reed-Muller code at radius 6).
+    """
+    size = radius + 1
+    vectors = (1 << size) - 1
+    if vectors < BITS:
+        place = [i % vectors + 1 for i in range(BITS)]
+    else:
+        top = 1 << (size - 1)
+        place = [top | (i * (top // BITS) + (i * 7 % BITS) * (top // BITS > 1)) % top for i in range(BITS)]
     return [sum(1 << i for i in range(BITS) if (place[i] & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
@@ -84,7 +94,8 @@ def link(prints: DataFrame, radius: int = 4, fp_col: str = "fp", crowd: int = 32
     fp = F.col(fp_col)
     keys = F.array(*[F.xxhash64(F.lit(v), fp.bitwiseAND(F.lit(signed(m)))) for v, m in enumerate(masks)])
     dealt = prints.where(fp.isNotNull()).select(fp.alias("fp"), F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
-    found = cut(dealt.mapInArrow(_walk(radius, crowd), EDGE))
+    # many tables find the same link: it is written once
+    found = cut(dealt.mapInArrow(_walk(radius, crowd), EDGE).distinct())
     halfway = np.array([sum(1 << i for i in c) for k in range(radius // 2 + 1) for c in combinations(range(BITS), k)], dtype=np.uint64)
     crowded = found.where("crowded").select(F.col("a").alias("fp")).distinct()
     met = crowded.mapInArrow(_spread(halfway), "fp long, key long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_chain, "a long, b long")

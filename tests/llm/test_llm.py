@@ -108,6 +108,12 @@ def test_masks_cover_the_radius(value, flips):
     assert any(value & m == other & m for m in simhash.covering_masks(4))
 
 
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=6))
+def test_wider_masks_cover_too_and_are_balanced(value, flips):
+    other, masks = value ^ sum(1 << b for b in flips), simhash.covering_masks(6)
+    assert any(value & m == other & m for m in masks) and min(m.bit_count() for m in masks) >= 32
+
+
 def test_simhash_odd_rows(odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
