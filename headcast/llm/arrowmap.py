@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TEXT = "__headcast_text"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Whole texts are long rows: the session's Arrow batches are lowered to ``rows`` (never raised).
+
+    A batch is held by the JVM and by the Python worker of each running task; at Spark's 10,000 rows that is some
+    hundred megabytes an executor.
+    """
+    session = df.sparkSession.conf
+    if not 0 < int(session.get(BATCH_ROWS)) <= rows:
+        session.set(BATCH_ROWS, rows)
 
 
 def with_document_columns(
@@ -28,6 +40,7 @@ def with_document_columns(
     equals a computed field is left out: the computed one wins. Arrow batches are bounded by Spark in rows and bytes, and
     worked on in slices of ``slice_rows`` rows.
     """
+    small_batches(df)
     names = {name for name, _ in fields}
     kept = [c for c in dict.fromkeys(keep) if c not in names]
     # a text that is carried along anyway is read from its own column rather than sent twice

@@ -92,7 +92,7 @@ class Merges:
 class Transducer:
     """Bytes in, token ids out; arcs are found when first taken."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.merges = Merges(ranks)
         self.max_states = max_states
         self.longest = max(map(len, ranks), default=0)
@@ -233,7 +233,7 @@ UTF8_LEADS = {
 class Encoder:
     """Whole texts to ids: split by the pattern, each match through the transducer, with a bounded memo."""
 
-    def __init__(self, blob: bytes, pattern: str, memo: int = 200_000):
+    def __init__(self, blob: bytes, pattern: str, memo: int = 120_000):
         self.ranks = read_ranks(blob)
         self.transducer = Transducer(self.ranks)
         self.bytes_of = self.transducer.merges.bytes_of

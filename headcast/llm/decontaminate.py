@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headcast.checkpoints import cut
+from headcast.llm.arrowmap import small_batches
 
 #: Bytes of words: digits, letters (A-Z lowered) and all that isn't ASCII; any other byte separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -98,6 +99,7 @@ def mark_contamination(
     blocks of about that size by a hash of the item, and the documents are scanned once per block, each pass adding to
     the ranges of the one before, so memory stays bounded and no hit is lost.
     """
+    small_batches(df)
     spark = df.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
