@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from headcast.llm import bpe, decontaminate, quality_rules, registry, secrets, simhash
 
@@ -56,3 +58,39 @@ def test_rows_without_ids_and_repeated_rows(spark):
     rows = corpus_pipeline.near_copies(spark, docs, "").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, 1), (False, 3), (True, 0)]
     assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_texts_alike_beyond_the_fingerprint_are_one_and_shared_ids_are_not(spark, sf):
+    """All five-word pairs of 0.8 or more are linked, and rows are known by id and text."""
+    words = lambda t: t.lower().split()
+    shingles = lambda t: {tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))}
+    rng, rows = random.Random(5), []
+    for k in range(40):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice((40, 65, 200)))]
+        rows.append((2 * k, " ".join(base)))
+        changed = list(base)
+        for at in rng.sample(range(5, len(base) - 5), max(1, len(base) // 60)):
+            changed[at] = f"x{rng.randrange(300)}"
+        rows.append((2 * k + 1, " ".join(changed)))
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    missed = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = shingles(rows[i][1]), shingles(rows[j][1])
+            close = (simhash.fingerprint(rows[i][1].encode(), 2, distinct=True) ^ simhash.fingerprint(rows[j][1].encode(), 2, distinct=True)).bit_count() <= 6
+            alike = len(x & y) >= 0.8 * len(x | y)
+            missed += alike and not close
+            if alike or close:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    assert missed
+    docs = spark.createDataFrame([*rows, (2, "another text under a known id"), (1, "a further text of a dropped id")], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert got == {rows[i] for i in range(len(rows)) if top(i) == i} | {(2, "another text under a known id"), (1, "a further text of a dropped id")}
