@@ -18,6 +18,7 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 ENTROPY = "entropy"
+SPOTS = "array<struct<start:int,kind:int,end:int,value:string>>"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Strings that look random and are no secrets: UUIDs, plain numbers and dates, words joined by dashes or slashes.
@@ -27,6 +28,8 @@ ALLOWED = (
     r"^[A-Za-z+/_=-]+$",
     r"(?i)example|dummy|placeholder|xxxxxx",
 )
+#: The same, but a word allows only a string that such words make up, with digits and marks. ``ALLOWED`` is what the SQL form uses.
+WHOLLY_ALLOWED = (*ALLOWED[:3], r"(?i)^(?:example|dummy|placeholder|x{6,}|[0-9+/_=-])+$")
 
 
 @dataclass(frozen=True)
@@ -46,8 +49,7 @@ def located(text: Column, pattern: str, group: int, kind: int) -> Column:
 
     The pieces between matches, with the matches' lengths, give the places. Texts without a match skip all that.
     """
-    spot = "array<struct<start:int,kind:int,end:int,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(spot).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPOTS).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         begin = acc["at"] + part["gap"]
@@ -62,7 +64,7 @@ def located(text: Column, pattern: str, group: int, kind: int) -> Column:
         F.struct(whole.alias("whole"), values.alias("value"), gaps.alias("gap")),
         lambda m: F.transform(m["whole"], lambda w, i: F.struct(w.alias("whole"), m["value"][i].alias("value"), m["gap"][i].alias("gap"))),
     )
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(spot))
+    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPOTS))
 
 
 def window_entropy(value: Column, width: int = 20) -> Column:
@@ -103,14 +105,15 @@ def window_entropy(value: Column, width: int = 20) -> Column:
 
 
 def find_secrets(
-    df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), width: int = 20, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED
+    df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), width: int = 20, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = WHOLLY_ALLOWED
 ) -> DataFrame:
     """All secret spans of each whole text.
 
     Adds ``base`` and ``spans``: arrays of (start, kind, end), sorted, in code points with the end exclusive; ``kind``
     counts from 0 in the order assign, access, hex, entropy, and ``base`` holds the first three. An entropy span is a
-    string of 20 or more of ``ALPHABET`` that no base span touches, no ``allowed`` pattern fits, and one of whose
-    windows of ``width`` characters reaches the bits of its character class. Null and empty texts have no spans.
+    string of 20 or more of ``ALPHABET``, or what base spans leave of one, that no ``allowed`` pattern fits and one of
+    whose windows of ``width`` characters reaches the bits of its character class. Marks where a string was cut belong
+    to the span but aren't tested. Null and empty texts have no spans.
     Repeated rows give repeated rows; columns outside ``keep`` and those named like a result are dropped.
     """
     text = F.coalesce(F.col("__t"), F.lit(""))
@@ -124,19 +127,39 @@ def find_secrets(
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     rows = rows.select(*[F.col(f"`{c}`") for c in kept], "__t", F.sort_array(F.transform(F.concat(*by_kind), place)).alias("base"))
 
+    def pieces(s: Column) -> Column:
+        """What the base spans leave of a candidate; ``value`` then lacks the marks at its ends."""
+
+        def piece(first: Column, last: Column) -> Column:
+            cut_out = F.substring(s["value"], first - s["start"] + 1, last - first)
+            return F.struct(first.alias("start"), s["kind"].alias("kind"), last.alias("end"), F.regexp_replace(cut_out, r"^[+/_=-]+|[+/_=-]+$", "").alias("value"))
+
+        def step(acc: Column, b: Column) -> Column:
+            found = F.when(b["start"] > acc["at"], F.concat(acc["found"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["found"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), found.alias("found"))
+
+        def tail(acc: Column) -> Column:
+            return F.when(acc["at"] < s["end"], F.concat(acc["found"], F.array(piece(acc["at"], s["end"])))).otherwise(acc["found"])
+
+        start = F.struct(s["start"].alias("at"), F.array().cast(SPOTS).alias("found"))
+        return let(
+            F.filter(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+            lambda touching: F.when(F.size(touching) == 0, F.array(s)).otherwise(F.filter(F.aggregate(touching, start, step, tail), long_enough(width))),
+        )
+
     def random(s: Column) -> Column:
         v = s["value"]
         least = F.lit(math.inf)
         for c in reversed(classes):
             least = F.when(v.rlike(c.members), F.lit(c.bits)).otherwise(least)
-        suspect = ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        suspect = F.lit(True)
         for pattern in allowed:
             suspect = suspect & ~v.rlike(pattern)
         return F.when(suspect, window_entropy(v, width) >= least).otherwise(F.lit(False))
 
     # a candidate must mix letters and digits to matter: texts without such a run are passed over
     mixed = r"[A-Za-z+/_=-][0-9]|[0-9][A-Za-z+/_=-]"
-    found = F.when(text.rlike(mixed), F.filter(located(text, CANDIDATE, 0, len(BASE)), random)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    found = F.when(text.rlike(mixed), F.filter(F.flatten(F.transform(located(text, CANDIDATE, 0, len(BASE)), pieces)), random)).otherwise(F.array().cast(SPOTS))
     return rows.select(*[F.col(f"`{c}`") for c in kept], "base", F.sort_array(F.concat("base", F.transform(found, place))).alias("spans"))
 
 
