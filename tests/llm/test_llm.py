@@ -456,6 +456,21 @@ def test_quality_lm_keeps_trusted_text(spark, sf):
     assert len(rows) == 200 and sum(good) >= 0.95 * len(good)
 
 
+def test_quality_lm_cuts_at_the_quantile_itself(spark):
+    """Texts just above the held-out trusted texts of their language don't pass."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    trusted = [(k, " ".join(rng.choices(words, k=100)), "en") for k in range(300)]
+    worse = [(1000 + k, " ".join(rng.choices(words, k=100 - k) + [f"{rng.choice('!?#')}{k}Q{i}" for i in range(k)]), "en") for k in range(0, 61, 2)]
+    docs = spark.createDataFrame([*trusted, *worse], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k, *_ in trusted], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality_lm.classify(docs, labels).collect()}
+    top = max(rows[k].perplexity for k, *_ in trusted)
+    assert any(top * 1.002 < rows[k].perplexity < top * 1.28 for k, *_ in worse)
+    assert not any(r.kept and r.perplexity > top * 1.002 for r in rows.values())
+    assert sum(rows[k].kept for k, *_ in trusted) >= 0.98 * len(trusted)
+
+
 def test_quality_lm_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (6, 1), (None, 1)], "doc_id long, quality int")
     rows = quality_lm.classify(odd, labels).collect()
