@@ -5,14 +5,16 @@ neighbours, encoded alone, stay as they are. So the merges become a nondetermini
 token plus a place in the vocabulary's trie; reading a byte goes one step down the trie and may end a token that suits
 its predecessor. ``Transducer`` determinises it on demand: a state holds every live (pending tokens, trie place) pair,
 emits the prefix that all of them share, and remembers its arcs. A token is at most ``longest`` bytes, which bounds the
-lookahead after which it is emitted. Known states are forgotten together when they exceed a bound; results don't change.
+lookahead after which it is emitted. The number of
+arcs is bounded; beyond it the nondeterministic machine is simulated, and results don't change.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Sequence
+from array import array
+from collections.abc import Iterable, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +30,10 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, blob.splitlines()) if token}
 
 
+#: Answers about pairs that are remembered (a power of two).
+PAIR_SLOTS = 1 << 18
+
+
 class Merges:
     """What BPE by ranks does next to a boundary between two tokens."""
 
@@ -35,7 +41,7 @@ class Merges:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pair: dict[int, bool] = {}
+        self._pairs = array("Q", bytes(8 * PAIR_SLOTS))  # answers by a hash of the pair; a later pair takes the slot
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a byte or for a token that no merge makes."""
@@ -61,12 +67,13 @@ class Merges:
     def neighbours(self, left: int, right: int) -> bool:
         """Whether BPE of both tokens' bytes gives back these two tokens."""
         key = left << 32 | right
-        known = self._pair.get(key)
-        if known is None:
-            if len(self._pair) > 400_000:
-                self._pair.clear()
-            known = self._pair[key] = self._stay_apart(left, right)
-        return known
+        slot = (left * 40_503 ^ right * 2_971) & PAIR_SLOTS - 1
+        known = self._pairs[slot]
+        if known >> 1 == key + 1:
+            return bool(known & 1)
+        found = self._stay_apart(left, right)
+        self._pairs[slot] = key + 1 << 1 | found
+        return found
 
     def _stay_apart(self, left: int, right: int) -> bool:
         # Undo merges, latest first. While the pair (left, right) stands at the boundary, the merge that ends this
@@ -90,43 +97,54 @@ class Merges:
 
 
 class Transducer:
-    """Bytes in, token ids out; arcs are found when first taken."""
+    """Bytes in, token ids out (packed, little-endian); arcs are found when first taken.
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    A state is a number; its arc for a byte stands under ``state << 8 | byte`` as ``next state << 32 | place of what it
+    emits``. Once there are ``max_arcs``, what only new arcs need is let go, and a piece that takes an unknown arc is
+    run through the nondeterministic machine instead.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], max_arcs: int = 250_000):
         self.merges = Merges(ranks)
-        self.max_states = max_states
+        self.max_arcs = max_arcs
         self.longest = max(map(len, ranks), default=0)
         self._next: dict[int, int] = {}
         self._token: list[int] = [-1]
-        self._inner: list[bool] = [False]
+        self._inner = bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                self._inner[node] = True
+                self._inner[node] = 1
                 key = node << 8 | byte
                 if key not in self._next:
                     self._next[key] = len(self._token)
                     self._token.append(-1)
-                    self._inner.append(False)
+                    self._inner.append(0)
                 node = self._next[key]
             self._token[node] = rank
-        self._forget()
-
-    def _forget(self) -> None:
+        self._emitted: list[bytes] = []
+        self._places: dict[bytes, int] = {}
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
-        self._arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self._arcs: dict[int, int] = {}
+        self._ends = array("q")  # by state: place of what the end of a piece emits, -1 if no piece ends there
         self.start = self._id((-1, (((), 0),)))
 
+    def _place(self, emitted: bytes) -> int:
+        found = self._places.setdefault(emitted, len(self._emitted))
+        if found == len(self._emitted):
+            self._emitted.append(emitted)
+        return found
+
     def _id(self, state: tuple) -> int:
         found = self._ids.get(state)
         if found is None:
             found = self._ids[state] = len(self._states)
             self._states.append(state)
-            self._arcs.append({})
+            self._ends.append(next((self._place(pack(pending)) for pending, node in state[1] if node == 0), -1))
         return found
 
-    def _arc(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _arc(self, at: int, byte: int) -> int:
         last, live = self._states[at]
         moved, ended = [], None
         for pending, node in live:
@@ -155,30 +173,71 @@ class Transducer:
         last = emitted[-1] if emitted else last
         if all(p for p, _ in rest):
             last = -1  # no live pair looks at it any more
-        arc = self._arcs[at][byte] = (self._id((last, rest)), emitted)
+        arc = self._arcs[at << 8 | byte] = self._id((last, rest)) << 32 | self._place(pack(emitted))
+        if len(self._arcs) >= self.max_arcs:
+            self._ids, self._states, self._places = {}, [], {}
         return arc
 
-    def encode(self, piece: bytes) -> list[int]:
+    def packed(self, piece: bytes) -> bytes:
         """Token ids of one pre-token; a piece that is itself in the vocabulary is one token."""
         whole = self.merges.ranks.get(piece)
         if whole is not None:
-            return [whole]
-        if len(self._states) > self.max_states:
-            self._forget()
-        out: list[int] = []
-        at, arcs = self.start, self._arcs
+            return pack((whole,))
+        out, at, known, emitted = [], self.start, self._arcs.get, self._emitted
         for byte in piece:
-            arc = arcs[at].get(byte)
+            arc = known(at << 8 | byte)
             if arc is None:
+                if len(self._arcs) >= self.max_arcs:
+                    return pack(self.simulate(piece))
                 arc = self._arc(at, byte)
-            at, emitted = arc
-            if emitted:
-                out.extend(emitted)
-        for pending, node in self._states[at][1]:
-            if node == 0:
-                out.extend(pending)
-                return out
-        raise ValueError("the vocabulary cannot spell this piece")
+            at = arc >> 32
+            out.append(emitted[arc & 0xFFFFFFFF])
+        if self._ends[at] < 0:
+            raise ValueError("the vocabulary cannot spell this piece")
+        out.append(emitted[self._ends[at]])
+        return b"".join(out)
+
+    def simulate(self, piece: bytes) -> list[int]:
+        """One run of the nondeterministic transducer, the longest token first.
+
+        Only one valid sequence of tokens leads to a place, so a place from which none goes on is never tried again.
+        """
+        n, child, token, apart = len(piece), self._next.get, self._token, self.merges.neighbours
+        dead, taken, left = bytearray(n + 1), [], []
+        begin, before = 0, -1
+        while begin < n:
+            open_ends, node = [], 0
+            for end in range(begin, n):
+                node = child(node << 8 | piece[end])
+                if node is None:
+                    break
+                if token[node] >= 0:
+                    open_ends.append((end + 1, token[node]))
+            while True:
+                while open_ends:
+                    end, found = open_ends.pop()
+                    if not dead[end] and (before < 0 or apart(before, found)):
+                        break
+                else:
+                    if not left:
+                        raise ValueError("the vocabulary cannot spell this piece")
+                    dead[begin] = 1
+                    taken.pop()
+                    begin, before, open_ends = left.pop()
+                    continue
+                break
+            left.append((begin, before, open_ends))
+            taken.append(found)
+            begin, before = end, found
+        return taken
+
+    def encode(self, piece: bytes) -> list[int]:
+        return list(array("I", self.packed(piece)))
+
+
+def pack(ids: Iterable[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
 class StreamDecoder:
@@ -188,11 +247,11 @@ class StreamDecoder:
     the range of the next one. Only the tail of a chunk has to be walked, from its last lead byte.
     """
 
-    def __init__(self, bytes_of: dict[int, bytes]):
+    def __init__(self, bytes_of: Mapping[int, bytes]):
         self.bytes_of, self.held = bytes_of, b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        data = self.held + b"".join([self.bytes_of[i] for i in ids])
+        data = self.held + b"".join(map(self.bytes_of.__getitem__, ids))
         cut = len(data) - self._unfinished(data)
         self.held = data[cut:]
         return data[:cut].decode("utf-8", "replace")
@@ -231,20 +290,19 @@ UTF8_LEADS = {
 
 
 class Encoder:
-    """Whole texts to ids: split by the pattern, each match through the transducer, with a bounded memo."""
+    """Whole texts to ids: split by the pattern, each match through the transducer. What short matches gave is remembered,
+    at most ``memo`` recent and ``memo`` older ones."""
 
-    def __init__(self, blob: bytes, pattern: str, memo: int = 120_000):
+    def __init__(self, blob: bytes, pattern: str, memo: int = 80_000):
         self.ranks = read_ranks(blob)
         self.transducer = Transducer(self.ranks)
         self.bytes_of = self.transducer.merges.bytes_of
         self.split = Splitter(pattern)
-        self.memo = Memo(lambda piece: np.array(self.transducer.encode(piece.encode("utf-8")), dtype="<u4").tobytes(), memo)
+        self.memo = Memo(lambda piece: self.transducer.packed(piece.encode("utf-8")), memo)
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        packed = b"".join(map(self.memo.__getitem__, self.split(text)))
-        self.memo.shrink()
-        return packed
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=2)

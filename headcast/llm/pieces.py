@@ -10,21 +10,25 @@ import regex
 
 
 class Memo(dict):
-    """``memo[piece]`` computes what it doesn't have. ``shrink`` empties it once it holds over ``size`` pieces."""
+    """``memo[piece]`` computes what it doesn't have. It holds at most ``size`` pieces used of late and as many used
+    before; older ones are forgotten, so that frequent pieces stay. Long pieces aren't kept."""
 
-    def __init__(self, compute: Callable, size: int):
+    def __init__(self, compute: Callable, size: int, longest: int = 48):
         super().__init__()
-        self.compute, self.size = compute, size
+        self.compute, self.size, self.longest = compute, size, longest
+        self.older: dict = {}
 
     def __missing__(self, piece):
-        value = self.compute(piece)
-        if len(piece) <= 64:
-            self[piece] = value
-        return value
-
-    def shrink(self) -> None:
-        if len(self) > self.size:
+        value = self.older.get(piece)
+        if value is None:
+            value = self.compute(piece)
+            if len(piece) > self.longest:
+                return value
+        if len(self) >= self.size:
+            self.older = self.copy()
             self.clear()
+        self[piece] = value
+        return value
 
 
 class Splitter:

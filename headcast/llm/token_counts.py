@@ -16,6 +16,10 @@ from headcast.llm.arrowmap import with_document_columns
 from headcast.llm.pieces import Memo, Splitter
 
 
+#: What this module does to texts before it splits them, as vocabulary files name it.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable in Latin-1, else U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -60,6 +64,9 @@ def compile_vocabulary(content: bytes) -> dict[str, Any]:
     no merge order reaches stay out, so the shortcut never gives another count than merging would.
     """
     spec = json.loads(content)
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    if kinds != NORMALIZERS:
+        raise ValueError(f"texts are normalised by {NORMALIZERS}; the vocabulary wants {kinds}")
     model = spec["model"]
     end = model["end_of_word_suffix"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -80,7 +87,7 @@ def compile_vocabulary(content: bytes) -> dict[str, Any]:
 class Counter:
     """Counts of whole texts: normalise, split, take proved words as one token, merge the rest."""
 
-    def __init__(self, vocabulary: dict[str, Any], memo: int = 400_000):
+    def __init__(self, vocabulary: dict[str, Any], memo: int = 120_000):
         self.merges = WordMerges(vocabulary["order"], vocabulary["end"])
         self.proved, self.split = vocabulary["proved"], Splitter(vocabulary["split"])
         special = [s for s in vocabulary["special"] if s]
@@ -101,9 +108,7 @@ class Counter:
         if not text.isascii():
             # letter by letter: a sigma at a word's end is lowered like any other
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        total = sum(map(self.memo.__getitem__, self.split(text.lower())))
-        self.memo.shrink()
-        return total
+        return sum(map(self.memo.__getitem__, self.split(text.lower())))
 
 
 _COUNTERS: dict[str, Counter] = {}
