@@ -1,12 +1,15 @@
 """Quality statistics of texts, and robust outliers among them. Column expressions and aggregates only.
 
-Within each language and source, a minimum-covariance-determinant estimate (concentration steps from the medians: keep
-the share of rows nearest to the current centre, take their mean and covariance, repeat) says what ordinary statistic
-vectors look like; vectors far from it by Mahalanobis distance are rejected.
+Within each language and source, a minimum-covariance-determinant estimate says what ordinary statistic vectors look
+like: from several starts, keep the half of the vectors nearest to the centre, take their mean and covariance, repeat until
+nothing changes, and take the start that ends with the least determinant. Equal vectors count once, so that copies don't
+make a pattern. Estimates are drawn towards those of the language, and these towards the whole table's, the more the fewer
+vectors stand behind them. Vectors far from their estimate by Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -72,16 +75,17 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class OutlierRule:
-    """``support``: share of a group's rows that the estimate rests on. ``steps``: concentration steps. ``least_rows``:
-    smaller groups are judged by their language's estimate over all sources. ``cutoff``: squared Mahalanobis distance
-    beyond which a vector is rejected. ``floor``: least standard deviation of each transformed statistic, below which
-    a difference means nothing (most texts have no symbol, so the raw scatter is often nil)."""
+    """``support``: share of a group's vectors that the estimate rests on. ``steps``: most concentration steps, should
+    they not settle before. ``prior``: so many vectors does the wider group's estimate count for in the narrower one's.
+    ``cutoff``: squared Mahalanobis distance beyond which a vector is rejected, a quantile of chi-square with as many
+    degrees as statistics. ``floor``: least standard deviation of each transformed statistic, below which a difference
+    means nothing (most texts have no symbol, so the raw scatter is often nil)."""
 
-    support: float = 0.75
-    steps: int = 3
-    least_rows: int = 64
-    cutoff: float = 60.0
-    floor: tuple[float, ...] = (0.02, 0.10, 0.10, 0.05)
+    support: float = 0.5
+    steps: int = 12
+    prior: int = 50
+    cutoff: float = 18.467
+    floor: tuple[float, ...] = (0.05, 0.15, 0.15, 0.10)
 
 
 def statistic_vector() -> list[Column]:
@@ -130,45 +134,101 @@ def _with(df: DataFrame, made: Sequence[tuple[str, Column]]) -> DataFrame:
     return df
 
 
-def _quantile_bins(rows: DataFrame, group: Sequence[str], value: str, share: float) -> DataFrame:
-    """Per group the least whole ``value`` that at least ``share`` of its rows don't exceed.
+def _quantile_bins(rows: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Per group and share (``q0``, ``q1`` ...) the least whole ``value`` that this share of its rows don't exceed; ``n``.
 
     Rows are counted by value first (aggregated before the exchange), then counts are summed up in order.
     """
     counts = rows.groupBy(*group, value).agg(F.count("*").alias("n"))
     upto = Window.partitionBy(*group).orderBy(value)
-    return (
-        counts.withColumn("below", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
-        .where(F.col("below") >= F.ceil(F.col("all") * share)).groupBy(*group).agg(F.min(value).alias("q"))
-    )
+    summed = counts.withColumn("below", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
+    least = [F.min(F.when(F.col("below") >= F.ceil(F.col("all") * q), F.col(value))).alias(f"q{i}") for i, q in enumerate(shares)]
+    return summed.groupBy(*group).agg(*least, F.max("all").alias("n"))
+
+
+def consistency(support: float) -> float:
+    """How much too small the covariance of the nearest share of a four-dimensional normal is.
+
+    The share over the mass of chi-square with two degrees more, up to the quantile of four degrees; both distribution
+    functions have closed forms.
+    """
+    low, high = 0.0, 100.0
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if 1 - math.exp(-x / 2) * (1 + x / 2) < support else (low, x)
+    return support / (1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
+
+
+LEVEL = ["level", "a", "b"]
 
 
-def mcd_estimates(rows: DataFrame, group: Sequence[str], x: Sequence[str], rule: OutlierRule, few: bool) -> DataFrame:
-    """One row per group: ``m0..`` (mean) and ``cij`` (covariance, scaled to be consistent, plus the floor)."""
-    p, key = len(x), list(group)
+def levelled(vectors: DataFrame) -> DataFrame:
+    """Each vector in its language and source (level 0), its language (1) and the whole table (2)."""
+    group = lambda n, a, b: F.struct(F.lit(n).alias("level"), a.alias("a"), b.alias("b"))
+    none = F.lit("")
+    levels = F.array(group(0, F.col("g_lang"), F.col("g_source")), group(1, F.col("g_lang"), none), group(2, none, none))
+    return vectors.select(F.explode(levels).alias("g"), *X).select("g.*", *X)
+
+
+def mcd_estimates(rows: DataFrame, key: Sequence[str], rule: OutlierRule, few: bool) -> DataFrame:
+    """One row per group: ``n`` vectors, ``m0..`` (mean) and ``cij`` (consistent covariance plus the floor).
+
+    Starts: the medians with the least scatter, the medians with the quartiles' scatter, and the lower quartiles with
+    that scatter (junk mostly raises the statistics). All starts of all groups go through each step together.
+    """
+    p, key = len(X), list(key)
     floor = [(f * SCALE) ** 2 for f in rule.floor]
-    each = rows.select(*key, F.posexplode(F.array(*x)).alias("__i", "__x"))
-    middle = _quantile_bins(each, [*key, "__i"], "__x", 0.5).groupBy(*key).agg(*[F.max(F.when(F.col("__i") == i, F.col("q"))).alias(f"m{i}") for i in range(p)])
-    now = cut(middle.withColumns({f"c{i}{j}": F.lit(floor[i] if i == j else 0.0) for i in range(p) for j in range(i + 1)}))
+    each = rows.select(*key, F.posexplode(F.array(*X)).alias("__i", "__x"))
+    at = lambda i, c: F.max(F.when(F.col("__i") == i, F.col(c)))
+    spots = _quantile_bins(each, [*key, "__i"], "__x", (0.25, 0.5, 0.75)).groupBy(*key).agg(F.max("n").alias("n"), *[at(i, f"q{j}").cast("double").alias(f"q{i}{j}") for i in range(p) for j in range(3)])
+    scatter = [F.pow((F.col(f"q{i}2") - F.col(f"q{i}0")) / 1.349, 2) + floor[i] for i in range(p)]
+
+    def start(s: int, quantile: int, spread: Sequence[Column]) -> Column:
+        places = [F.col(f"q{i}{quantile}").alias(f"m{i}") for i in range(p)]
+        return F.struct(F.lit(s).alias("s"), *places, *[(spread[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)], F.lit(0).cast("long").alias("sig"))
+
+    starts = F.array(start(0, 1, [F.lit(f) for f in floor]), start(1, 1, scatter), start(2, 0, scatter))
+    now = cut(spots.select(*key, "n", F.inline(starts)))
+    rows = rows.withColumn("s", F.explode(F.array(*[F.lit(s) for s in range(3)])))
+    scale, whole = consistency(rule.support), [*key, "s"]
 
     def dec(e: Column) -> Column:
         return F.sum(e.cast("decimal(20,0)"))
 
     for _ in range(rule.steps):
-        placed = with_distance(rows, now, key, x, few).withColumn("bin", F.floor(F.least(F.log1p("d2"), F.lit(60.0)) * 256).cast("long"))
-        near = _quantile_bins(placed, key, "bin", rule.support)
-        sums = placed.join(F.broadcast(near) if few else near, key).where(F.col("bin") <= F.col("q")).groupBy(*key).agg(
-            F.count("*").alias("k"), *[dec(F.col(c)).alias(f"s{i}") for i, c in enumerate(x)],
-            *[dec(F.col(x[i]) * F.col(x[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)],
+        placed = with_distance(rows, now, whole, X, few).withColumn("bin", F.floor(F.least(F.log1p("d2"), F.lit(60.0)) * 256).cast("long"))
+        near = _quantile_bins(placed, whole, "bin", (rule.support,)).select(*whole, "q0", "n")
+        sums = placed.join(F.broadcast(near) if few else near, whole).where(F.col("bin") <= F.col("q0")).groupBy(*whole).agg(
+            F.max("n").alias("n"), F.count("*").alias("k"), *[dec(F.col(c)).alias(f"s{i}") for i, c in enumerate(X)],
+            *[dec(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)],
         )
         mean = [F.col(f"s{i}").cast("double") / F.col("k") for i in range(p)]
         spread = {(i, j): F.col(f"s{i}{j}").cast("double") / F.col("k") - mean[i] * mean[j] for i in range(p) for j in range(i + 1)}
-        now = cut(sums.select(*key, *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(v * CONSISTENCY + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in spread.items()]))
-    return now
+        sig = F.xxhash64("k", *[f"s{i}" for i in range(p)], *[f"s{i}{j}" for i, j in spread])
+        then = now
+        now = cut(sums.select(*whole, "n", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(v * scale + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in spread.items()], sig.alias("sig")))
+        if now.join(then.select(*whole, F.col("sig").alias("before")), whole).where("sig <> before").isEmpty():
+            break
+    made, _ = distance([F.lit(0.0)] * p, [F.lit(0.0)] * p, [[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(p)] for i in range(p)])
+    scored = _with(now, [(name, value) for name, value in made if not name.startswith("__z")])
+    size = F.round(sum(F.log(f"__d{i}") for i in range(p)), 9)
+    kept = ["n", *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i in range(p) for j in range(i + 1)]]
+    return scored.groupBy(*key).agg(F.min_by(F.struct(*kept), F.struct(size, "s")).alias("e")).select(*key, "e.*")
+
+
+def drawn_together(estimates: DataFrame, rule: OutlierRule, few: bool) -> DataFrame:
+    """Level 0's estimates, drawn towards their language's, and these towards the whole table's: weight n / (n + prior)."""
+    estimates = cut(estimates)
+    values = [c for c in estimates.columns if c not in (*LEVEL, "n")]
+    whole = estimates.where("level = 2").first()
+    if whole is None:
+        return estimates.select(F.col("a").alias("g_lang"), F.col("b").alias("g_source"), *values)
+    weight = lambda n: F.col(n) / (F.col(n) + rule.prior)
+    langs = estimates.where("level = 1").select(F.col("a"), *[(weight("n") * F.col(v) + (1 - weight("n")) * F.lit(whole[v])).alias(f"l_{v}") for v in values])
+    own = estimates.where("level = 0").join(F.broadcast(langs) if few else langs, "a")
+    return cut(own.select(F.col("a").alias("g_lang"), F.col("b").alias("g_source"), *[(weight("n") * F.col(v) + (1 - weight("n")) * F.col(f"l_{v}")).alias(v) for v in values]))
 
 
-#: The covariance of the nearest three quarters of a four-dimensional normal is this much too small.
-CONSISTENCY = 1.68
 #: So many groups at most are broadcast; beyond, Spark joins them by exchange.
 FEW_GROUPS = 200_000
 GROUP = ["g_lang", "g_source"]
@@ -196,19 +256,10 @@ def measured(df: DataFrame, text_col: str, lang_col: str, source_col: str, keep:
 
 
 def fit(rows: DataFrame, rule: OutlierRule = OutlierRule()) -> tuple[DataFrame, bool]:
-    """Estimates of all groups from ``measured`` rows (read several times), and whether they are few enough to broadcast."""
-    good = rows.where(~F.col("base_failed"))
-    sizes = cut(good.groupBy(*GROUP).agg(F.count("*").alias("size")))
-    few = sizes.count() <= FEW_GROUPS
-    enough = sizes.where(F.col("size") >= rule.least_rows).select(*GROUP)
-    own = mcd_estimates(good.join(F.broadcast(enough) if few else enough, GROUP, "left_semi"), GROUP, X, rule, few)
-    totals = sizes.groupBy("g_lang").agg(F.sum("size").alias("size")).where(F.col("size") >= rule.least_rows)
-    small = sizes.where(F.col("size") < rule.least_rows).join(totals.select("g_lang"), "g_lang", "left_semi")
-    if not small.isEmpty():
-        langs = small.select("g_lang").distinct()
-        pooled = mcd_estimates(good.join(F.broadcast(langs) if few else langs, "g_lang", "left_semi"), ["g_lang"], X, rule, few)
-        own = own.unionByName(small.select(*GROUP).join(pooled, "g_lang").select(own.columns))
-    return own, few
+    """Estimates of all groups from ``measured`` rows, and whether they are few enough to broadcast."""
+    vectors = cut(rows.where(~F.col("base_failed")).select(*GROUP, *X).distinct())
+    few = vectors.select(*GROUP).distinct().count() <= FEW_GROUPS
+    return drawn_together(mcd_estimates(levelled(vectors), LEVEL, rule, few), rule, few), few
 
 
 def judged(rows: DataFrame, estimates: DataFrame, few: bool, rule: OutlierRule = OutlierRule()) -> DataFrame:
@@ -226,9 +277,10 @@ def judge_quality(
 
     Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` (long), ``base_failed``,
     ``distance`` (squared, from the group's estimate) and ``kept``: false if the base rules fail, else whether the
-    distance is within the cutoff. Estimates rest on the rows that pass the base rules. Null languages and sources are
-    groups of their own; a language with under ``least_rows`` such rows is judged by the base rules alone. Null texts
-    have no words and fail. Repeated rows give repeated rows, an empty table an empty one; only ``keep`` is carried.
+    distance is within the cutoff. Estimates rest on the different vectors of the rows that pass the base rules, at
+    every size by one formula. Rows at equal distance are all in an estimate's support or all outside. Null languages
+    and sources are groups of their own. Null texts have no words and fail; very long ones are measured whole. Repeated
+    rows give repeated rows, an empty table an empty one; only ``keep`` is carried.
     """
     carried = [c for c in dict.fromkeys(keep) if c not in (*BASE_COLUMNS, "base_failed", "distance", "kept")]
     rows = cut(measured(df, text_col, lang_col, source_col, carried))

@@ -206,23 +206,72 @@ def test_quality_statistics_equal_brute_force(spark, sf, texts):
         assert not (r.base_failed and r.kept)
 
 
-def test_quality_estimate_equals_numpy(spark):
-    rng = np.random.default_rng(3)
-    x = np.round(rng.normal([4000, 100, 50, 30], [200, 300, 200, 100], (400, 4))).astype(int)
-    x[:20, 1] += 9000
+def brute_estimate(x, rule, floor):
+    """Mean and covariance of the best of three starts, by numpy on the different rows of ``x``."""
+    h = lambda share, values: np.sort(values)[math.ceil(len(values) * share) - 1]
+    low, mid, high = ([h(q, x[:, i]) for i in range(4)] for q in (0.25, 0.5, 0.75))
+    scatter = np.diag((np.subtract(high, low) / 1.349) ** 2 + np.diag(floor))
+    # chi-square: 0.5 over the mass that six degrees have up to the median of four degrees
+    scale, best = 0.5 / 0.2370715, None
+    for mean, cov in ((mid, floor), (mid, scatter), (low, scatter)):
+        seen = None
+        for _ in range(rule.steps):
+            z = x - np.array(mean, dtype=float)
+            bins = np.floor(np.minimum(np.log1p(np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)), 60) * 256)
+            near = bins <= h(rule.support, bins)
+            mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True).reshape(4, 4) * scale + floor
+            if seen is not None and (near == seen).all():
+                break
+            seen = near
+        size = np.linalg.slogdet(cov)[1]
+        if best is None or size < best[0] - 1e-7:
+            best = (size, mean, cov)
+    return best[1:]
+
+
+def test_quality_verdicts_equal_numpy_on_the_whole_table(spark, sf, docs, texts):
+    """Every language and source: statistics, estimates of all levels, distances and verdicts, done again by numpy."""
     rule = quality_rules.OutlierRule()
-    rows = spark.createDataFrame([("a", *map(int, r)) for r in x], "g string, x0 long, x1 long, x2 long, x3 long")
-    got = quality_rules.mcd_estimates(rows, ["g"], quality_rules.X, rule, True).first()
-    floor = (np.array(rule.floor) * quality_rules.SCALE) ** 2
-    mean, cov = np.sort(x, axis=0)[199].astype(float), np.diag(floor)
-    for _ in range(rule.steps):
-        z = x - mean
-        bins = np.floor(np.minimum(np.log1p(np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)), 60) * 256)
-        near = x[bins <= np.sort(bins)[299]]
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENCY + np.diag(floor)
-    assert np.allclose([got[f"m{i}"] for i in range(4)], mean, rtol=1e-9)
-    assert np.allclose([got[f"c{max(i, j)}{min(i, j)}"] for i in range(4) for j in range(4)], cov.ravel(), rtol=1e-6)
-    assert abs(mean[1] - 100) < 60  # the planted outliers don't pull the centre
+    floor = np.diag([(f * quality_rules.SCALE) ** 2 for f in rule.floor])
+    stats = {i: brute_base(t) for i, t in texts.items()}
+    # rounded half up, as Spark does
+    vector = lambda n, chars, sym, dup, rep: tuple(int(math.floor(v * 4096 + 0.5)) for v in (math.log((chars + 300) / (n + 60)), math.log1p(20 * sym / (chars + 400)), math.log1p(20 * dup / (n + 100)), math.log1p(5 * rep / (n + 100))))
+    place = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+    good = {i: vector(*b) for i, b in stats.items() if b[0] >= 10 and 100 * b[4] <= 20 * b[0]}
+    members = collections.defaultdict(set)
+    for i, v in good.items():
+        for key in (place[i], place[i][0], None):
+            members[key].add((place[i], v))
+    made = {k: (len(v), *brute_estimate(np.array(sorted(x for _, x in v), dtype=float), rule, floor)) for k, v in members.items()}
+
+    def mixed(narrow, wide):
+        w = narrow[0] / (narrow[0] + rule.prior)
+        return narrow[0], w * narrow[1] + (1 - w) * wide[1], w * narrow[2] + (1 - w) * wide[2]
+
+    langs = {lang: mixed(made[lang], made[None]) for lang in {p[0] for p in place.values()} if lang in made}
+    rows = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
+    for i, r in rows.items():
+        if i in good:
+            _, mean, cov = mixed(made[place[i]], langs[place[i][0]])
+            z = np.array(good[i]) - mean
+            d2 = float(z @ np.linalg.inv(cov) @ z)
+            assert r.distance == pytest.approx(d2, rel=1e-4, abs=1e-6) and r.kept == (d2 <= rule.cutoff)
+        else:
+            assert r.base_failed and not r.kept
+    assert {r.kept for i, r in rows.items() if i in good} == {True, False}
+
+
+def test_quality_finds_junk_that_is_a_third_of_a_source(spark, texts):
+    """Many copies of one junk text, and many different junk texts, make no pattern of their own."""
+    prose = [t for t in texts.values() if not set("#*$%&|<>") & set(t) and not brute_base(t)[4] and 60 < len(t.split()) < 3000][:60]
+    junk = [" ".join(w + "##" for w in prose[0].split())] * 30 + [" ".join(w + " $|" for w in t.split()) for t in prose[:10]]
+    frame = spark.createDataFrame([(i, t, "xx", "s") for i, t in enumerate(prose + junk)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.judge_quality(frame).where("kept").collect()}
+    assert kept == set(range(len(prose)))
+
+
+def test_quality_consistency_factor():
+    assert quality_rules.consistency(0.5) == pytest.approx(2.109, abs=1e-3) and quality_rules.consistency(0.75) == pytest.approx(1.4864, abs=1e-3)
 
 
 def test_quality_rejects_planted_junk_and_keeps_prose(spark, texts):
