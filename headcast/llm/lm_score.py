@@ -1,29 +1,35 @@
-"""Word n-gram scoring with a weighted backoff automaton.
-
-Counting: words of the training texts are counted by Spark. Words with at least a share ``1 / words_bound`` of all
-tokens, of which there can't be more than ``words_bound``, get ids; then pairs and triples of these words are counted
-the same way, each round keeping the n-grams with at least a share ``1 / ngrams_bound``. (An n-gram isn't more frequent
-than its parts, so no n-gram above the share is missed.) Kept n-grams become arcs, their contexts states; a state's
-failure arc drops the oldest word and costs the state's backoff weight.
-
-Scoring: one pass over a text's tokens carries a state and adds up log-probabilities. Rarer words lead to the start
-state; their counts, which no broadcast could hold, are joined in by Spark.
+"""Word-pair scoring with a weighted backoff automaton, part of it broadcast and the rest sharded over the cluster.
+
+The model: p(w | v) = (c(vw) + mass * p(w)) / (c(v) + mass), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), from all words and
+pairs of the training texts, those seen once too. As an automaton its states are words; a seen pair is an arc that
+carries the pair's log-probability; a state's failure arc leads to the start and carries log(mass / (c(v) + mass)); the
+start's arcs carry log p(w). The state after a word is that word, so a text is traversed as one vectorised step over
+its (state, word) places.
+
+Words with at least a share ``1 / words_bound`` of all tokens, and pairs with at least ``1 / pairs_bound`` (both at most
+so many, whatever the data), are broadcast. A place whose arc isn't there takes the failure arc, and is also sent to
+the shard of its pair (or of its word, if that isn't broadcast): there all occurrences of the pair meet, training ones are
+counted, and what the arc adds is handed back to the text. So the model grows with the corpus, no group in a shard holds
+more than the stated shares of all tokens, and the bounds change where something is looked up, never a score.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from typing import Any
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headcast.checkpoints import cut
+from headcast.llm.arrowmap import small_batches
 
 UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token's key: no word holds a space.
@@ -62,205 +68,204 @@ def count_words(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _extend(codes: np.ndarray, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each place, the place in ``codes`` of (n-gram that ends before it, its word); -1 if that isn't kept."""
-    out = np.full(len(ids), -1, dtype=np.int64)
-    if len(ids) > 1 and len(codes):
-        code = (before[:-1] << 32) | ids[1:]
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        out[1:] = np.where((before[:-1] >= 0) & (ids[1:] >= 0) & (codes[at] == code), at, -1)
-    return out
-
-
-def count_longer(texts: DataFrame, shared, flush: int = 1 << 20) -> DataFrame:
-    """Counts of the n-grams one word longer than the kept ones: ``code`` (kept n-gram << 32 | word) and ``n``."""
+def count_pairs(texts: DataFrame, shared, flush: int = 1 << 20) -> DataFrame:
+    """``code`` (word << 32 | next word) and ``n`` of the pairs of the words in ``shared`` (word to id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, levels = shared.value
-        get, held, size = ids_of.get, [], 0
+        get, held, size = shared.value.get, [], 0
 
-        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+        def out() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids = np.array([get(w, -1) for w in tokens_of(text)], dtype=np.int64)
-                before = ids
-                for codes in levels:
-                    before = _extend(codes, before, ids)
-                ok = (before[:-1] >= 0) & (ids[1:] >= 0)
-                held.append((before[:-1][ok] << 32) | ids[1:][ok])
+                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+                held.append(ids[:-1][both] << 32 | ids[1:][both])
                 size += len(held[-1])
                 if size > flush:
-                    yield out(held)
+                    yield out()
                     held, size = [], 0
         if size:
-            yield out(held)
+            yield out()
 
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-class Automaton:
-    """States, arcs and failure arcs of the kept n-grams. State 0 is the empty context."""
-
-    def __init__(self, tables: dict[str, Any]):
-        self.ids = {w: i for i, w in enumerate(tables["words"])}
-        counts, total, distinct = np.array(tables["counts"], dtype=np.float64), tables["total"], tables["distinct"]
-        self.base = np.log10((counts + ADDED) / (total + ADDED * (distinct + 1))).tolist()
-        levels: list[tuple[np.ndarray, np.ndarray]] = tables["levels"]
-        contexts: list[dict[int, int]] = []  # by level: n-gram -> state, for n-grams that some kept one continues
-        self.fail, self.weight, self.arcs = [0], [0.0], {}
-        below = counts
-        for codes, _ in levels:
-            heads = np.unique(codes >> 32).tolist()
-            contexts.append({h: len(self.fail) + i for i, h in enumerate(heads)})
-            self.fail += [0] * len(heads)
-            self.weight += [0.0] * len(heads)
-        self.begin = [contexts[0].get(i, 0) for i in range(len(counts))] if contexts else [0] * len(counts)
-        for level, (codes, n) in enumerate(levels):
-            states, heads, words = contexts[level], (codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist()
-            # discount as for counts of counts, kept within what any count allows
-            spent: dict[int, float] = {}
-            for head, c in zip(heads, n.tolist()):
-                spent[head] = spent.get(head, 0.0) + (c - self.discount(c)) / below[head]
-            for head, state in states.items():
-                self.fail[state] = 0 if level == 0 else self._suffix(levels, contexts, level, head)
-                self.weight[state] = math.log10(max(1.0 - spent[head], 1e-9))
-            longer = contexts[level + 1] if level + 1 < len(levels) else {}
-            for place, (head, word, c) in enumerate(zip(heads, words, n.tolist())):
-                state = states[head]
-                shorter_next, lower = self._from(self.fail[state], word)
-                p = (c - self.discount(c)) / below[head] + 10 ** (self.weight[state] + lower)
-                self.arcs[state << 32 | word] = (longer.get(place, shorter_next), math.log10(p))
-            below = n.astype(np.float64)
-        self.down = [0.0] * len(self.fail)  # all weights from a state to the start
-        for state in range(1, len(self.fail)):
-            at = state
-            while at:
-                self.down[state] += self.weight[at]
-                at = self.fail[at]
-
-    @staticmethod
-    def discount(count: int) -> float:
-        return 0.75 if count > 1 else 0.5
-
-    def _suffix(self, levels, contexts, level: int, head: int) -> int:
-        """State of an n-gram without its oldest word: the longest suffix that is a context."""
-        words = []
-        for k in range(level - 1, -1, -1):
-            code = int(levels[k][0][head])
-            words.append(code & 0xFFFFFFFF)
-            head = code >> 32
-        words.append(head)
-        state = 0
-        for word in reversed(words[:-1]):
-            state = self._from(state, word)[0]
-        return state
-
-    def _from(self, state: int, word: int) -> tuple[int, float]:
-        cost = 0.0
-        while state:
-            arc = self.arcs.get(state << 32 | word)
-            if arc is not None:
-                return arc[0], cost + arc[1]
-            cost += self.weight[state]
-            state = self.fail[state]
-        return self.begin[word], cost + self.base[word]
-
-    def score(self, tokens: Sequence[bytes]) -> tuple[float, float, list[bytes]]:
-        """Log10 probability and base score of the tokens with ids, and the tokens without."""
-        get, arcs, fail, weight, base, begin, down = self.ids.get, self.arcs.get, self.fail, self.weight, self.base, self.begin, self.down
-        total = plain = 0.0
-        state, rare = 0, []
-        for token in tokens:
-            word = get(token)
-            if word is None:
-                total += down[state]
-                state = 0
-                rare.append(token)
-                continue
-            plain += base[word]
-            while state:
-                arc = arcs(state << 32 | word)
-                if arc is not None:
-                    state = arc[0]
-                    total += arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += base[word]
-                state = begin[word]
-        return total, plain, rare
-
-
-def train_tables(texts: DataFrame, order: int = 3, words_bound: int = 3_000_000, ngrams_bound: int = 1_000_000) -> tuple[dict[str, Any], DataFrame]:
-    """The bounded tables that ``Automaton`` is made of, and the counts of all words (distributed)."""
-    spark = texts.sparkSession
+@dataclass(frozen=True)
+class Tables:
+    """The broadcast part: frequent words with counts, frequent pairs with counts (sorted codes), N, V, and the mass."""
+
+    key: str
+    words: list[bytes]
+    counts: np.ndarray
+    codes: np.ndarray
+    pairs: np.ndarray
+    total: int
+    distinct: int
+    mass: float
+
+    @property
+    def norm(self) -> float:
+        return self.total + ADDED * (self.distinct + 1)
+
+
+def train_tables(texts: DataFrame, words_bound: int = 1_000_000, pairs_bound: int = 50_000, mass: float = 40.0) -> Tables:
+    """Counts of all words, of which the frequent are kept here, and of the frequent pairs among these."""
     words = cut(count_words(texts))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = words.where(F.col("n") >= max(1, -(-total // words_bound))).toArrow()
-    pairs = sorted(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist()))
-    tables: dict[str, Any] = {"words": [w for w, _ in pairs], "counts": [n for _, n in pairs], "total": total, "distinct": distinct, "levels": []}
-    ids = {w: i for i, w in enumerate(tables["words"])}
-    for _ in range(order - 1):
-        shared = spark.sparkContext.broadcast((ids, [codes for codes, _ in tables["levels"]]))
-        kept = count_longer(texts, shared).where(F.col("n") >= max(2, -(-total // ngrams_bound))).toArrow()
-        codes, n = kept.column("code").to_numpy(), kept.column("n").to_numpy()
-        by = np.argsort(codes, kind="stable")
-        if not len(codes):
-            break
-        tables["levels"].append((codes[by], n[by]))
-    return tables, words
+    known = sorted(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist()))
+    least = max(1, -(-total // pairs_bound))
+    ids = {w: i for i, (w, n) in enumerate(known) if n >= least}
+    shared = texts.sparkSession.sparkContext.broadcast(ids)
+    kept = count_pairs(texts, shared).where(F.col("n") >= least).toArrow()
+    shared.unpersist()
+    codes, pairs = kept.column("code").to_numpy(), kept.column("n").to_numpy()
+    by = np.argsort(codes)
+    return Tables(uuid.uuid4().hex, [w for w, _ in known], np.array([n for _, n in known], dtype=np.int64), codes[by], pairs[by], total, distinct, mass)
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of 64-bit hashes."""
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019))
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+#: How a word that isn't broadcast is marked where a broadcast one has its count: any word, or the end token.
+RARE, RARE_END = -1, -2
+
+
+class Automaton:
+    """The broadcast states and arcs. Words without a state get their share of the score from their shard."""
+
+    def __init__(self, tables: Tables):
+        self.ids = {w: i for i, w in enumerate(tables.words)}
+        n, mass = tables.counts, tables.mass
+        self.counts, self.log_mass = n, math.log10(mass)
+        with np.errstate(divide="ignore"):
+            self.root = np.log10((n + ADDED) / tables.norm)
+        self.left = -np.log10(n + mass)  # of a context: what each step out of it is divided by
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in tables.words], dtype=np.uint64)
+        self.codes = tables.codes
+        context, word = tables.codes >> 32, tables.codes & 0xFFFFFFFF
+        self.arcs = np.log10(tables.pairs + mass * 10 ** self.root[word]) + self.left[context] if len(tables.codes) else np.zeros(0)
+
+    def traverse(self, texts: Sequence[bytes | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per text: tokens, tokens with a state, base score of these, score so far. And what goes to the shards:
+        text, shard key, subkey (the context's hash, 0 at a text's begin), count of the word (or ``RARE``), times."""
+        lists = [tokens_of(t) for t in texts]
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        words = [w for x in lists for w in x]
+        get = self.ids.get
+        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        first = np.zeros(len(ids), dtype=bool)
+        first[np.cumsum(sizes) - sizes] = True
+        known, at = ids >= 0, np.maximum(ids, 0)
+        plain = np.where(known, self.root[at], 0.0) if len(self.root) else np.zeros(len(ids))
+        hashes = self.hashes[at] if len(self.hashes) else np.zeros(len(ids), dtype=np.uint64)
+        for i in np.flatnonzero(~known).tolist():
+            hashes[i] = xxhash.xxh64_intdigest(words[i])
+        before, before_known = np.concatenate([[0], at[:-1]]), np.concatenate([[False], known[:-1]]) & ~first
+        score = plain.copy()
+        # an arc, else the failure arc and the start's arc
+        code = before << 32 | at
+        spot = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+        arc = known & before_known & (self.codes[spot] == code) if len(self.codes) else np.zeros(len(ids), dtype=bool)
+        score[arc] = self.arcs[spot[arc]]
+        score[known & ~first & ~arc] += self.log_mass
+        away = before_known & ~arc
+        score[away] += self.left[before[away]]
+        open_places = np.flatnonzero((known & ~first & ~arc) | ~known)
+        own, prior = hashes[open_places], np.where(first[open_places], np.uint64(0), np.concatenate([[np.uint64(0)], hashes[:-1]])[open_places] | np.uint64(1))
+        has = known[open_places]
+        key = np.where(has, mixed(prior, own), own)
+        sub = np.where(has, np.uint64(0), prior)
+        mark = np.where(has, self.counts[at[open_places]] if len(self.counts) else 0, RARE)
+        last = np.zeros(len(ids), dtype=bool)
+        last[np.cumsum(sizes) - 1] = True
+        mark[~has & last[open_places]] = RARE_END
+        order = np.lexsort((sub, key, text[open_places]))
+        rows = [c[order] for c in (text[open_places], key, sub, mark)]
+        if len(order):
+            new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])])
+            starts = np.flatnonzero(new)
+            rows = [c[starts] for c in rows] + [np.diff(np.append(starts, len(order)))]
+        else:
+            rows.append(np.zeros(0, dtype=np.int64))
+        total = lambda values: np.bincount(text, weights=values, minlength=len(texts))
+        return [sizes, total(known).astype(np.int64), total(plain), total(score)], rows
+
+
+_AUTOMATA: dict[str, Automaton] = {}
+
+
+def automaton_of(tables: Tables) -> Automaton:
+    """One per worker process and model."""
+    if tables.key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[tables.key] = Automaton(tables)
+    return _AUTOMATA[tables.key]
 
 
 def score_documents(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, order: int = 3, words_bound: int = 3_000_000, ngrams_bound: int = 1_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, words_bound: int = 1_000_000, pairs_bound: int = 50_000, mass: float = 40.0, slice_rows: int = 200
 ) -> DataFrame:
     """Score every whole text with a model of the texts outside the held-out fold.
 
     Returns the id, ``held_out`` (crc32 of the id as text is 0 modulo ``fold``; false for null ids, which are learnt
     from), ``n_tokens`` and ``n_known`` (tokens seen in training), ``train_tokens`` (long), ``base_score`` and ``score``
-    (double, log10). Every text ends in one end token, so a null or empty one has that token alone. Without training
-    texts all probabilities are one. Repeated rows give repeated rows; other columns are dropped.
+    (double, log10). ``mass`` is how many occurrences of a context the words' own frequencies count for. Every text ends
+    in one end token, so a null or empty one has that token alone. Without training texts all probabilities are one.
+    Repeated rows give repeated rows, an empty table an empty one; other columns are dropped, whatever their names.
+    ``df`` is to be a stored table: its rows are numbered as they are read, and read again if an executor is lost.
     """
+    small_batches(df)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("t"), F.coalesce(remainder(id_col, fold) == 0, F.lit(False)).alias("held_out"))
-    tables, words = train_tables(rows.where(~F.col("held_out")).select("t"), order, words_bound, ngrams_bound)
+    tables = train_tables(rows.where(~F.col("held_out")).select("t"), words_bound, pairs_bound, mass)
     shared = df.sparkSession.sparkContext.broadcast(tables)
-    rare_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
-    more = (("n_tokens", T.LongType()), ("score", T.DoubleType()), ("base", T.DoubleType()), ("rare", rare_kind))
-    out = T.StructType([*rows.select("id", "held_out").schema.fields, *(T.StructField(n, t) for n, t in more)])
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    # one row per text (times 0; sub holds both counts, mark the fold) and one per place for a shard (held out: times below 0)
+    numbered = rows.select("id", F.monotonically_increasing_id().alias("row"), "held_out", "t")
+    schema = T.StructType([numbered.schema["id"], *(T.StructField(n, t) for n, t in (
+        ("row", T.LongType()), ("key", T.LongType()), ("sub", T.LongType()), ("mark", T.LongType()), ("times", T.IntegerType()), ("base", T.DoubleType()), ("score", T.DoubleType())
+    ))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(shared.value)
-        for batch in batches:
-            sizes, scores, bases, rare = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = tokens_of(text)
-                score, base, rest = automaton.score(tokens)
-                sizes.append(len(tokens))
-                scores.append(score)
-                bases.append(base)
-                rare.append([{"word": w, "n": n} for w, n in Counter(rest).items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64()), pa.array(bases, pa.float64()), pa.array(rare, rare_type)],
-                names=["id", "held_out", "n_tokens", "score", "base", "rare"],
-            )
-
-    passed = cut(rows.mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()))
-    total, distinct = tables["total"], tables["distinct"]
-    norm = math.log10(total + ADDED * (distinct + 1))
-    each = passed.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    joined = each.join(words, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + ADDED) - norm)).alias("rare_score"),
-        F.sum("times").alias("rare_tokens"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        automaton = automaton_of(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(at, slice_rows)
+                number, held = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+                (sizes, known, base, score), (text, key, sub, mark, times) = automaton.traverse(batch.column(3).to_pylist())
+                more = len(text)
+                ints = [(number, number[text]), (number, key.view(np.int64)), (sizes << 32 | known, sub.view(np.int64)), (held.astype(np.int64), mark)]
+                columns = [pa.concat_arrays([batch.column(0), pa.nulls(more, batch.column(0).type)]), *(pa.array(np.concatenate(c)) for c in ints)]
+                columns.append(pa.array(np.concatenate([np.zeros(len(number), np.int32), np.where(held[text], -times, times).astype(np.int32)])))
+                columns += [pa.concat_arrays([pa.array(c, pa.float64()), pa.nulls(more, pa.float64())]) for c in (base, score)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    learnt, norm = F.greatest("times", F.lit(0)), tables.norm
+    places = numbered.mapInArrow(run, schema).repartition("key")
+    met = places.withColumns({"pair": F.sum(learnt).over(Window.partitionBy("key", "sub")), "word": F.sum(learnt).over(Window.partitionBy("key"))})
+    whole, rare = F.col("times") == 0, F.col("mark") < 0
+    n = F.when(rare, F.col("word")).otherwise(F.col("mark"))
+    p, times = (n + ADDED) / norm, F.abs("times")
+    # what an arc adds to the failure arc and the start's arc; all that a word without a state costs
+    gain = F.log10(1 + F.col("pair") / (mass * p))
+    step = F.when(F.col("sub") == 0, F.log10(p)).otherwise(F.log10(F.col("pair") + mass * p)) - F.when(F.col("mark") == RARE, F.log10(n + mass)).otherwise(0.0)
+    counts = F.when(whole, F.col("sub"))
+    by = met.groupBy("row").agg(
+        F.max("id").alias("id"), F.max(F.when(whole, F.col("mark"))).alias("held_out"), F.max(counts).alias("counts"),
+        F.sum(F.when(~whole & rare & (n > 0), times).otherwise(0)).alias("known"),
+        F.sum(F.when(whole, F.col("base")).when(rare, times * F.log10(p)).otherwise(0.0)).alias("base_score"),
+        F.sum(F.when(whole, F.col("score")).when(rare, times * step).otherwise(times * gain)).alias("score"),
     )
-    added = F.coalesce("rare_score", F.lit(0.0))
-    return passed.join(joined, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens",
-        (F.col("n_tokens") - F.coalesce("rare_tokens", F.lit(0)) + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + added).alias("base_score"), (F.col("score") + added).alias("score"),
+    return by.select(
+        F.col("id").alias(id_col), (F.col("held_out") == 1).alias("held_out"), F.shiftright("counts", 32).alias("n_tokens"),
+        (F.col("counts").bitwiseAND(F.lit(0xFFFFFFFF)) + F.col("known")).alias("n_known"), F.lit(tables.total).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -437,32 +437,57 @@ def test_contamination_and_blocks(spark):
 # 9
 
 
-def test_lm_base_score_equals_brute_force(spark, sf, texts):
-    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), 0]
-    train = collections.Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in words(t))
-    n, v = sum(train.values()), len(train)
-    for r in registry.op9_lm_score(spark, sf).collect():
-        tokens = words(texts[r.doc_id])
-        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(train[w] > 0 for w in tokens), n)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) and r.score < 0
-
-
-def test_lm_bounds_only_move_words_to_the_join(spark, docs):
-    some = docs.limit(60)
-    whole = {r.doc_id: r for r in lm_score.score_documents(some).collect()}
-    for r in lm_score.score_documents(some, words_bound=200, ngrams_bound=50).collect():
-        assert r.base_score == pytest.approx(whole[r.doc_id].base_score, rel=1e-9) and r.n_known == whole[r.doc_id].n_known
-
-
-def test_lm_automaton_is_a_distribution_and_backs_off(spark):
-    frame = spark.createDataFrame([("a b a b a b c",), ("a b c a b c",)], "t string").select(F.col("t").cast("binary").alias("t"))
-    tables, _ = lm_score.train_tables(frame)
-    machine = lm_score.Automaton(tables)
-    for state in range(len(machine.fail)):
-        total = sum(10 ** machine._from(state, w)[1] for w in range(len(machine.base)))
-        assert total == pytest.approx(sum(10**b for b in machine.base) if state == 0 else total) and 0.9 < total <= 1 + 1e-9
-    assert machine.score([b"a", b"b"])[0] > machine.score([b"b", b"a", ])[0] - 1 and machine.score([b"zz", b"a"])[2] == [b"zz"]
+def brute_scores(texts, mass=40.0):
+    """(n_tokens, n_known, N, base score, score) of every text, by counting words and pairs in Python."""
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), 0]
+    learnt = [words(t) for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 10]
+    one, two = collections.Counter(w for x in learnt for w in x), collections.Counter(p for x in learnt for p in zip(x, x[1:]))
+    n, v = sum(one.values()), len(one)
+    p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    out = []
+    for _, t in texts:
+        tokens = words(t)
+        score = math.log10(p(tokens[0])) + sum(math.log10((two[a, b] + mass * p(b)) / (one[a] + mass)) for a, b in zip(tokens, tokens[1:]))
+        out.append((len(tokens), sum(one[w] > 0 for w in tokens), n, sum(math.log10(p(w)) for w in tokens), score))
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"words_bound": 200, "pairs_bound": 100}, {"words_bound": 3, "pairs_bound": 2}])
+def test_lm_scores_equal_brute_force_whatever_is_broadcast(docs, texts, bounds):
+    ids = sorted(texts)
+    want = dict(zip(ids, brute_scores([(i, texts[i]) for i in ids])))
+    rows = lm_score.score_documents(docs, **bounds).collect()
+    assert sorted(r.doc_id for r in rows) == ids
+    for r in rows:
+        n_tokens, n_known, total, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, total) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+
+
+def test_lm_query_is_the_operator_over_the_whole_table(spark, sf, docs):
+    assert sorted(map(str, registry.op9_lm_score(spark, sf).select("doc_id", "n_tokens", F.round("score", 6)).collect())) == sorted(map(str, lm_score.score_documents(docs).select("doc_id", "n_tokens", F.round("score", 6)).collect()))
+
+
+def test_lm_is_a_distribution():
+    """After any word, seen or not, the probabilities of all words and one unseen word make up one."""
+    texts = [(1, "a b a b a b c"), (2, "a b c a b c d")]
+    for context in ("a", "d", "zz"):
+        def after(w):
+            whole, start = brute_scores([*texts, (29, f"{context} {w}"), (29, context)])[-2:]
+            return whole[4] - start[4]
+
+        # the end token of both texts: p(end | w) and p(end | context)
+        end = lambda w: math.log10((collections.Counter({"c": 1, "d": 1})[w] + 40 * (2 + 0.1) / (16 + 0.6)) / ({"a": 5, "b": 5, "c": 3, "d": 1}.get(w, 0) + 40))
+        total = sum(10 ** (after(w) - end(w) + end(context)) for w in ("a", "b", "c", "d", "zz")) + 10 ** end(context)
+        assert zlib.crc32(b"29") % 10 == 0 and total == pytest.approx(1, abs=1e-9)
+
+
+def test_lm_clashing_names_and_long_texts(spark):
+    rng = random.Random(4)
+    texts = [(k, " ".join(rng.choices("abcdefgh", k=n))) for k, n in enumerate((5, 150_000, 40))] + [(1, "a b")]
+    frame = spark.createDataFrame([(i, t, "x", 7, 0.5) for i, t in texts], "doc_id long, text string, key string, row int, score double")
+    want = sorted((i, w[0], round(w[4], 5)) for (i, _), w in zip(texts, brute_scores(texts)))
+    assert sorted((r.doc_id, r.n_tokens, round(r.score, 5)) for r in lm_score.score_documents(frame).collect()) == want
 
 
 def test_lm_odd_rows(odd):
