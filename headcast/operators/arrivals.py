@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headcast.functions.geo import bearing_deg, haversine_m, heading_error, segment_projection
-from headcast.operators.joins import band_join, seconds_of
+from headcast.operators.joins import band_join, forward_asof, seconds_of
 
 
 def observed_runs(arrivals: DataFrame, positions: DataFrame | None, now: Column) -> DataFrame:
@@ -50,13 +51,12 @@ def resolve_trips(requests: DataFrame, observed: DataFrame, horizon: float, firs
     ``requests``: request_id, line, board, alight, leave_at. ``observed``: line, run, station, observed_at. ``strict``
     asks that alighting comes after boarding rather than with it. Requests without a match aren't returned.
     """
-    boardings = observed.select("line", F.col("run").alias("run"), F.col("station").alias("board"), F.col("observed_at").alias("boarded_at"))
-    pairs = band_join(requests, boardings, ["line", "board"], seconds_of(F.col("leave_at")), seconds_of(F.col("boarded_at")), 0.0, horizon)
-    order = Window.partitionBy("request_id").orderBy("boarded_at", "run")
-    five = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= first)
+    boardings = observed.select("line", F.col("station").alias("board"), F.col("observed_at").alias("boarded_at"), F.col("run").alias("run"))
+    five = forward_asof(requests, boardings, "request_id", ["line", "board"], seconds_of(F.col("leave_at")), seconds_of(F.col("boarded_at")), horizon, first)
     ends = observed.select("line", "run", F.col("station").alias("alight"), F.col("observed_at").alias("alighted_at"))
-    later = (F.col("alighted_at") > F.col("boarded_at")) if strict else (F.col("alighted_at") >= F.col("boarded_at"))
-    rides = five.join(ends, ["line", "run", "alight"]).where(later).groupBy(*five.columns).agg(F.min("alighted_at").alias("alighted_at"))
+    # times are whole microseconds: half of one more asks for a later time
+    since = seconds_of(F.col("boarded_at")) + (5e-7 if strict else 0.0)
+    rides = forward_asof(five.withColumnRenamed("nth", "boarding"), ends, "request_id", ["line", "run", "alight"], since, seconds_of(F.col("alighted_at")), None, 1).drop("nth").withColumnRenamed("boarding", "nth")
     taken = rides.groupBy("request_id").agg(F.min_by(F.struct(*[c for c in rides.columns if c != "request_id"]), "nth").alias("r")).select("request_id", "r.*")
     t = {c: seconds_of(F.col(c)) for c in ("leave_at", "boarded_at", "alighted_at")}
     return taken.withColumns({"wait_s": t["boarded_at"] - t["leave_at"], "ride_s": t["alighted_at"] - t["boarded_at"], "total_s": t["alighted_at"] - t["leave_at"]})
@@ -104,18 +104,27 @@ def transition_events(positions: DataFrame, gap_limit: float = 300.0) -> DataFra
 
 
 def spaced(events: DataFrame, keys: Sequence[str], at: str, spacing: int = 30) -> DataFrame:
-    """Events at least over ``spacing`` after the last kept one of their key: an ordered fold over each key's times.
+    """Events at least over ``spacing`` after the last kept one of their key.
 
-    Times that are more than ``spacing`` after their predecessor start a new stretch (a running count); only within a
-    stretch is there something to fold, so the arrays stay as short as bursts are.
+    Rows are dealt by key, sorted and streamed: a task remembers the last kept time, however long a burst is. Of events
+    at one time the least is kept.
     """
-    distinct = events.groupBy(*keys, at).agg(F.min_by(F.struct(*[c for c in events.columns if c not in (*keys, at)]), F.struct(*[c for c in events.columns if c not in (*keys, at)])).alias("__r"))
-    order = Window.partitionBy(*keys).orderBy(at)
-    marked = distinct.withColumn("__new", F.when(F.col(at) - F.lag(at).over(order) <= spacing, 0).otherwise(1)).withColumn("__burst", F.sum("__new").over(order))
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate(F.array_sort(F.collect_list(F.col(at).cast("bigint"))), start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > spacing), F.concat(acc, F.array(t))).otherwise(acc))
-    times = marked.groupBy(*keys, "__burst").agg(kept.alias("__kept")).select(*keys, F.explode("__kept").alias(at))
-    return times.join(distinct, [*keys, at]).select(*keys, at, "__r.*")
+    least = F.struct(*[c for c in events.columns if c not in (*keys, at)])
+    distinct = events.groupBy(*keys, at).agg(F.min(least).alias("__r")).select(*keys, at, "__r.*")
+    dealt = distinct.withColumn("__key", F.xxhash64(*keys)).repartition("__key").sortWithinPartitions("__key", *keys, at)
+    names, place, times = distinct.columns, len(keys), distinct.columns.index(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, 0
+        for batch in batches:
+            wanted = []
+            for row, (key, now) in enumerate(zip(zip(*[c.to_pylist() for c in batch.columns[:place]]), batch.column(times).to_pylist())):
+                if key != last_key or now - last > spacing:
+                    wanted.append(row)
+                    last_key, last = key, now
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(wanted, pa.int64())) for c in batch.columns[: len(names)]], names=names)
+
+    return dealt.mapInArrow(run, distinct.schema)
 
 
 def topology_edges(positions: DataFrame, least: int = 3) -> DataFrame:
@@ -177,6 +186,7 @@ def map_match(vehicles: DataFrame, points: DataFrame, id_col: str = "vehicle_row
 def crossings(observations: DataFrame, stops: DataFrame, max_gap: float = 120.0, speed: tuple[float, float] = (0.2, 110.0)) -> DataFrame:
     """First bracketed passing of each stop by each vehicle, interpolated between two observations.
 
+    A vehicle that stands or goes back passes nothing.
     ``observations``: vid, pid, at_s (seconds), pdist, age_s (may be null), event_id. ``stops``: pid, stop, stop_pdist.
     """
     order = Window.partitionBy("vid").orderBy("at_s", "event_id")
@@ -184,7 +194,7 @@ def crossings(observations: DataFrame, stops: DataFrame, max_gap: float = 120.0,
     pairs = observations.withColumns(nxt).where((F.col("pid") == F.col("pid1")))
     dt, dp = F.col("at_s1") - F.col("at_s"), F.col("pdist1") - F.col("pdist")
     fresh = (F.coalesce("age_s", F.lit(0.0)) <= 90) & (F.coalesce("age_s1", F.lit(0.0)) <= 90)
-    usable = pairs.where((dt > 0) & (dt <= max_gap) & fresh & (dp / dt).between(*speed))
+    usable = pairs.where((dt > 0) & (dp > 0) & (dt <= max_gap) & fresh).where((dp / dt).between(*speed))
     passed = usable.join(stops, "pid").where(F.col("stop_pdist").between(F.col("pdist"), F.col("pdist1")))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("stop_pdist") - F.col("pdist")) / dp))
     at = F.floor(F.col("at_s") + share * dt).cast("long")

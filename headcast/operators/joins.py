@@ -42,17 +42,48 @@ def latest_by(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
 
 
 def newest_set(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """All rows of each key's newest ``at``."""
-    return df.withColumn("__top", F.max(at).over(Window.partitionBy(*keys))).where(F.col(at) == F.col("__top")).drop("__top")
+    """All rows of each key's newest ``at``. The maximum is aggregated ahead of the exchange and joined back."""
+    top = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(at).alias("__top"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(top, [*on, F.col(at) == F.col("__top")]).select(*df.columns)
+
+
+def next_items(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: Column, at_right: Column, horizon: float | None, first: int) -> DataFrame:
+    """``left`` with ``next``: the ``first`` right rows at or after its time, as an ordered array of structs (``at``, columns).
+
+    Both sides go through one sorted stream per key, newest first, that carries the following right rows along: pairs are
+    never made, however dense the right side is. With a ``horizon`` (seconds) a key's history is cut into bins of that
+    length, right rows being given to their own bin and the one before; without, a key is one stream. Left rows without
+    a following row have a null ``next``; so have those with a null key.
+    """
+    keys = list(keys)
+    values = [c for c in right.columns if c not in keys]
+    item = F.struct(at_right.alias("at"), *values)
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    coming = right.where(some & at_right.isNotNull()).select(*keys, item.alias("item"))
+    bins = F.array(F.lit(0)) if horizon is None else F.array(F.floor(F.col("item.at") / horizon), F.floor(F.col("item.at") / horizon) - 1)
+    ahead = Window.partitionBy(*keys, "bin").orderBy("item").rowsBetween(0, first - 1)
+    coming = coming.withColumn("bin", F.explode(bins.cast("array<bigint>"))).select(*keys, "bin", F.col("item.at").alias("t"), "item", F.collect_list("item").over(ahead).alias("next"))
+    place = F.lit(0) if horizon is None else F.floor(at_left / horizon)
+    asked = left.select(*keys, place.cast("bigint").alias("bin"), at_left.alias("t"), F.struct(*left.columns).alias("row"))
+    both = coming.unionByName(asked, allowMissingColumns=True)
+    # at equal times right rows come first, the least of them last
+    back = Window.partitionBy(*keys, "bin").orderBy(F.col("t").desc(), F.col("row").isNull().desc(), F.col("item").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("near", F.last("next", ignorenulls=True).over(back)).where("row is not null")
+    near = F.col("near") if horizon is None else F.filter("near", lambda x: x["at"] - F.col("t") <= horizon)
+    found = met.select("row.*", F.when(some, near).alias("next"))
+    return found.withColumn("next", F.when(F.size("next") > 0, F.col("next")))
 
 
 def forward_asof(
-    left: DataFrame, right: DataFrame, id_col: str, keys: Sequence[str], at_left: Column, at_right: Column, horizon: float, first: int = 1
+    left: DataFrame, right: DataFrame, id_col: str, keys: Sequence[str], at_left: Column, at_right: Column, horizon: float | None, first: int = 1
 ) -> DataFrame:
     """For each left row the ``first`` right rows at or after its time, within ``horizon`` seconds, in order (``nth``)."""
-    pairs = band_join(left, right, keys, at_left, at_right, 0.0, horizon).withColumn("__t", at_right)
-    order = Window.partitionBy(id_col).orderBy("__t", *[c for c in right.columns if c not in keys])
-    return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= first).drop("__t")
+    values = [c for c in right.columns if c not in keys]
+    each = next_items(left, right, keys, at_left, at_right, horizon, first).select(*left.columns, F.posexplode("next").alias("nth", "item"))
+    return each.select(*left.columns, *[F.col(f"item.{c}").alias(c) for c in values], (F.col("nth") + 1).alias("nth"))
 
 
 def anti_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,6 +104,10 @@ def ladder(rows: DataFrame, cells: DataFrame, rungs: Sequence[Sequence[str]], va
     out = rows
     for i, keys in enumerate(rungs):
         rung = cells.where((F.col("rung") == i) & (F.col("n") >= least)).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*value_cols).alias(f"__v{i}"))
+        if not keys:
+            # the rung of all rows is one cell: an aggregate without keys gives one row, so it is broadcast as such
+            out = out.crossJoin(F.broadcast(rung.agg(F.first(f"__v{i}").alias(f"__v{i}"))))
+            continue
         on = F.lit(True)
         for k in keys:
             on = on & (F.col(k) == F.col(f"__{k}"))
@@ -91,3 +126,44 @@ def pooled_cells(rows: DataFrame, rungs: Sequence[Sequence[str]], aggregates: Se
         bits = sum((k not in r) << (len(every) - 1 - j) for j, k in enumerate(every))
         mark = F.when(F.col("__g") == bits, i).otherwise(mark)
     return out.withColumn("rung", mark).drop("__g")
+
+
+def quantiles_by_counts(rows: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """Per key ``n`` and ``q0``, ``q1`` ...: quantiles with linear interpolation, as ``percentile`` gives them.
+
+    Values are counted first, ahead of the exchange, and the counts summed up in a sorted stream that can spill; no task
+    holds the distinct values of a key, as an exact percentile's buffer does.
+    """
+    return quantiles_by_weights(rows.groupBy(*keys, value).agg(F.count("*").alias("__n")), keys, value, "__n", levels)
+
+
+def pooled_quantiles(rows: DataFrame, rungs: Sequence[Sequence[str]], value: str, levels: Sequence[float]) -> DataFrame:
+    """``quantiles_by_counts`` for every rung of a ladder, with ``rung``; unused keys are null."""
+    every = list(dict.fromkeys(k for r in rungs for k in r))
+    cell = lambda i, r: F.struct(F.lit(i).alias("rung"), *[(F.col(k) if k in r else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in every])
+    counted = rows.groupBy(*every, value).agg(F.count("*").alias("__n"))
+    return quantiles_by_weights(counted.select(F.explode(F.array(*[cell(i, r) for i, r in enumerate(rungs)])).alias("c"), value, "__n").select("c.*", value, "__n"), ["rung", *every], value, "__n", levels)
+
+
+def quantiles_by_weights(rows: DataFrame, keys: Sequence[str], value: str, weight: str, levels: Sequence[float]) -> DataFrame:
+    """``quantiles_by_counts`` of rows that stand for ``weight`` equal ones each."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("n"))
+    whole = Window.partitionBy(*keys)
+    summed = counts.withColumn("below", F.sum("n").over(whole.orderBy(value))).withColumn("all", F.sum("n").over(whole))
+    at = {q: (F.col("all") - 1) * q for q in levels}
+    edge = lambda rank: F.min(F.when(F.col("below") > rank, F.col(value)))
+    by = summed.groupBy(*keys).agg(F.max("all").alias("n"), *[e for i, q in enumerate(levels) for e in (edge(F.floor(at[q])).alias(f"__lo{i}"), edge(F.ceil(at[q])).alias(f"__hi{i}"))])
+    part = lambda q: (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+    return by.select(*keys, "n", *[(F.col(f"__lo{i}") + part(q) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(f"q{i}") for i, q in enumerate(levels)])
+
+
+def trailing(rows: DataFrame, keys: Sequence[str], at: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:
+    """``rows`` with aggregates over the rows of their key in the ``seconds`` up to each, itself included.
+
+    ``at`` is whole seconds. A key's history is cut into stretches of ``seconds``; a row counts in its own and in the
+    next, so a window never spans more than two of them and a busy key is spread over its history.
+    """
+    stretch = F.floor(F.col(at) / seconds)
+    both = rows.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__bin", stretch + F.when(F.col("__own"), 0).otherwise(1))
+    window = Window.partitionBy(*keys, "__bin").orderBy(at).rangeBetween(-seconds, 0)
+    return both.withColumns({name: value.over(window) for name, value in aggregates.items()}).where("__own").drop("__own", "__bin")

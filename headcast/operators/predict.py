@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headcast.operators.joins import anti_null_safe, band_join, seconds_of
+from headcast.operators.joins import anti_null_safe, next_items, seconds_of
 
 Z80, Z90 = 0.8416212335729143, 1.2815515655446004
 
@@ -22,19 +22,18 @@ def saturating(rate: Column, seconds: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.exp(-rate * seconds)))
 
 
-def wait_forecasts(requests: DataFrame, departures: DataFrame, window: float, headway: Column | None = None) -> DataFrame:
+def wait_forecasts(requests: DataFrame, departures: DataFrame, window: float, headway: Column | None = None, first: int = 32) -> DataFrame:
     """Wait at a stop for each request (request_id, line, station, leave_at) from the departures after it.
 
     ``departures``: line, station, arrival_at, approaching; of several rows for one time an approaching one counts.
-    Only the departures within ``window`` seconds are looked at, so a request's array is bounded by the window. Without
-    any, the scheduled headway gives half of it as the wait; without that too, nothing is known.
+    The next ``first`` departures within ``window`` seconds are looked at, taken from one sorted stream per stop, so a
+    request's array is bounded. Without any, the scheduled headway gives half of it as the wait; without that too,
+    nothing is known.
     """
     one = departures.groupBy("line", "station", "arrival_at").agg(F.max("approaching").alias("approaching"))
-    pairs = band_join(requests, one, ["line", "station"], seconds_of(F.col("leave_at")), seconds_of(F.col("arrival_at")), 0.0, window)
-    wait = seconds_of(F.col("arrival_at")) - seconds_of(F.col("leave_at"))
-    by = pairs.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(wait.alias("wait"), "approaching"))).alias("next"))
-    rows = requests.join(by, "request_id", "left").withColumn("headway", headway if headway is not None else F.lit(None).cast("double"))
-    rows = rows.withColumn("waits", F.transform("next", lambda d: d["wait"])).withColumn("gaps", F.when(F.size("next") > 1, F.zip_with(F.slice("waits", 2, F.size("waits") - 1), F.slice("waits", 1, F.size("waits") - 1), lambda b, a: b - a)))
+    rows = next_items(requests, one, ["line", "station"], seconds_of(F.col("leave_at")), seconds_of(F.col("arrival_at")), window, first)
+    rows = rows.withColumn("headway", headway if headway is not None else F.lit(None).cast("double"))
+    rows = rows.withColumn("waits", F.transform("next", lambda d: d["at"] - seconds_of(F.col("leave_at")))).withColumn("gaps", F.when(F.size("next") > 1, F.zip_with(F.slice("waits", 2, F.size("waits") - 1), F.slice("waits", 1, F.size("waits") - 1), lambda b, a: b - a)))
     rows = rows.withColumns({"wait": F.get("waits", F.lit(0)), "n_gaps": F.coalesce(F.size("gaps"), F.lit(0)), "gap": middle(F.array_sort("gaps")), "rest": middle(F.array_sort(F.slice("gaps", 2, F.greatest(F.size("gaps") - 1, F.lit(0))))), "first_gap": F.get("gaps", F.lit(0))})
     w, live, scheduled = F.col("wait"), F.col("next").isNotNull(), F.coalesce("headway", F.lit(0.0)) > 0
     mean = F.when(live, w).when(scheduled, F.col("headway") / 2).otherwise(0.0)

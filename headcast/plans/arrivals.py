@@ -108,11 +108,11 @@ def j8_station_map(s: SparkSession, d: str) -> DataFrame:
 
 
 def j18_calibration_ladder(s: SparkSession, d: str) -> DataFrame:
-    """Residual medians from the most specific cell with 20 rows behind it, from pooled cells of one pass."""
+    """Residual medians from the most specific cell with 40 rows behind it, from pooled cells of one count of values."""
     from headcast.plans.calibration import scored
 
     rungs = [("line", "direction_code", "predictor_version"), ("line", "direction_code"), ("line",), ()]
-    cells = joins.pooled_cells(scored(s, d), rungs, [F.count("*").alias("n"), F.median("p50_residual").alias("median_residual")])
+    cells = joins.pooled_quantiles(scored(s, d).select("line", "direction_code", "predictor_version", "p50_residual"), rungs, "p50_residual", [0.5]).withColumnRenamed("q0", "median_residual")
     asked = proxies.forecasts(s, d).where(F.col("status") == "pending").select("forecast_id", "line", "direction_code", "predictor_version")
     got = joins.ladder(asked, cells, rungs, ["median_residual"], 40)
     return got.select("forecast_id", F.col("rung").cast("int").alias("rung"), rounded(F.col("median_residual")).alias("median_residual"))
@@ -121,16 +121,15 @@ def j18_calibration_ladder(s: SparkSession, d: str) -> DataFrame:
 def g25_gap_statistics(s: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("line", "station").orderBy("arrival_at", "event_id")
     gaps = proxies.arrivals(s, d).select("line", "station", (seconds_of(F.col("arrival_at")) - seconds_of(F.lag("arrival_at").over(order))).alias("gap"))
-    q = F.percentile("gap", F.array(F.lit(0.25), F.lit(0.75)))
-    return gaps.where("gap is not null").groupBy("line", "station").agg(F.count("*").alias("n"), rounded(F.median("gap"), 3).alias("median_gap"), rounded((q[1] - q[0]) / 1.349, 3).alias("volatility"), rounded(F.min("gap"), 3).alias("least_gap"))
+    q = joins.quantiles_by_counts(gaps, ["line", "station"], "gap", [0.0, 0.25, 0.5, 0.75])
+    return q.select("line", "station", "n", rounded(F.col("q2"), 3).alias("median_gap"), rounded((F.col("q3") - F.col("q1")) / 1.349, 3).alias("volatility"), rounded(F.col("q0"), 3).alias("least_gap"))
 
 
 def st7_trailing_counts(s: SparkSession, d: str) -> DataFrame:
     """Delays and faults of a line over the half hour up to each poll."""
     at = F.floor(seconds_of(F.col("polled_at"))).cast("long")
     rows = proxies.arrivals(s, d).select("event_id", "line", at.alias("t"), "delayed", "fault")
-    window = Window.partitionBy("line").orderBy("t").rangeBetween(-1800, 0)
-    return rows.select("event_id", F.count_if("delayed").over(window).alias("n_delayed"), F.count_if("fault").over(window).alias("n_fault"), F.count("*").over(window).alias("n_polls"))
+    return joins.trailing(rows, ["line"], "t", 1800, {"n_delayed": F.count_if("delayed"), "n_fault": F.count_if("fault"), "n_polls": F.count("*")}).select("event_id", "n_delayed", "n_fault", "n_polls")
 
 
 def st8_sessions(s: SparkSession, d: str) -> DataFrame:
@@ -204,7 +203,7 @@ ORACLE = {
     "f7_stop_crossings": sql("""SELECT vid, pid, stop, arrival_s, speed FROM (SELECT p.vid, p.pid, s.stop, CAST(floor(p.at_s + greatest(0, least(1, (s.pdist - p.pdist) / (p.pdist1 - p.pdist))) * (p.at_s1 - p.at_s)) AS BIGINT) AS arrival_s,
       round((p.pdist1 - p.pdist) / (p.at_s1 - p.at_s), 6) AS speed, row_number() OVER (PARTITION BY p.vid, p.pid, s.stop ORDER BY p.at_s, p.event_id) AS k FROM pairs p JOIN pattern_points s ON s.pid = p.pid AND s.pdist BETWEEN p.pdist AND p.pdist1) WHERE k = 1""",
       "vehicles", "pattern_points", pairs="""SELECT * FROM (SELECT *, lead(pid) OVER w AS pid1, lead(at_s) OVER w AS at_s1, lead(pdist) OVER w AS pdist1, lead(age_s) OVER w AS age_s1 FROM vehicles WINDOW w AS (PARTITION BY vid ORDER BY at_s, event_id))
-      WHERE pid = pid1 AND at_s1 - at_s > 0 AND at_s1 - at_s <= 86400 AND coalesce(age_s, 0) <= 90 AND coalesce(age_s1, 0) <= 90 AND (pdist1 - pdist) / (at_s1 - at_s) BETWEEN 0 AND 110"""),
+      WHERE pid = pid1 AND at_s1 - at_s > 0 AND at_s1 - at_s <= 86400 AND coalesce(age_s, 0) <= 90 AND coalesce(age_s1, 0) <= 90 AND pdist1 > pdist AND (pdist1 - pdist) / (at_s1 - at_s) BETWEEN 0 AND 110"""),
     "f9_topology_edges": sql("SELECT line, direction_code, station AS src, to_station AS dst, count(*) AS n FROM pairs WHERE to_station <> station GROUP BY ALL HAVING count(*) >= 2", "positions", pairs=PAIRS),
     "j3_new_pairs": sql("SELECT DISTINCT origin, destination FROM requests EXCEPT SELECT s_suppkey % 10, s_nationkey % 10 FROM supplier", "requests"),
     "j4_trip_pairs": sql("SELECT * FROM (SELECT line, run, max(arrival_at) FILTER (WHERE station = 3) AS board_at, max(arrival_at) FILTER (WHERE station = 7) AS alight_at FROM arrivals GROUP BY ALL) WHERE alight_at > board_at", "arrivals"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headcast.functions.scores import rounded
@@ -117,7 +117,7 @@ def a40_least_recent(s: SparkSession, d: str) -> DataFrame:
 
 
 def payloads(s: SparkSession, d: str) -> DataFrame:
-    """Arrival payloads as a feed would send them: an hour of a line's events each, as JSON text."""
+    """Arrival payloads as a feed would send them: events of an hour of a line, as JSON text."""
     a = proxies.arrivals(s, d)
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     bit = lambda c: F.when(F.col(c), "1").otherwise("0")
@@ -125,10 +125,13 @@ def payloads(s: SparkSession, d: str) -> DataFrame:
         F.col("station").cast("string").alias("staId"), F.col("event_id").cast("string").alias("stpId"), F.col("run").cast("string").alias("rn"), F.col("line").alias("rt"), text("polled_at").alias("prdt"), text("arrival_at").alias("arrT"),
         bit("approaching").alias("isApp"), bit("delayed").alias("isDly"), bit("fault").alias("isFlt"), bit("scheduled").alias("isSch"), F.col("direction_code").alias("trDr"), F.concat(F.lit("to "), "direction_code").alias("destNm"),
     )
-    by = a.groupBy("line", F.date_trunc("hour", "polled_at").alias("hour")).agg(F.collect_list(eta).alias("eta"), F.max("polled_at").alias("tmst"))
+    hour = Window.partitionBy("line", F.date_trunc("hour", "polled_at"))
+    # a payload holds 400 events at most; a busy hour has several
+    a = a.withColumns({"tmst": F.max("polled_at").over(hour), "part": F.floor((F.row_number().over(hour.orderBy("event_id")) - 1) / 400)})
+    by = a.groupBy("line", F.date_trunc("hour", "polled_at").alias("hour"), "part").agg(F.collect_list(eta).alias("eta"), F.max("tmst").alias("tmst"))
     code = F.when(F.hour("hour") == 3, "101").otherwise("0")
     body = F.to_json(F.struct(F.struct(text("tmst").alias("tmst"), code.alias("errCd"), "eta").alias("ctatt")))
-    return by.select(F.concat_ws(":", "line", text("hour")).alias("poll_id"), body.alias("body"))
+    return by.select(F.concat_ws(":", "line", text("hour"), "part").alias("poll_id"), body.alias("body"))
 
 
 def a1_train_arrivals(s: SparkSession, d: str) -> DataFrame:
@@ -191,7 +194,7 @@ FAMILY = (
 )
 QUERIES = {f.__name__: f for f in FAMILY}
 
-WAITS = f"""SELECT r.request_id, any_value(r.board) AS station, list({{'wait': {E('a.arrival_at')} - {E('r.leave_at')}, 'app': a.app}} ORDER BY a.arrival_at) FILTER (WHERE a.arrival_at IS NOT NULL) AS next
+WAITS = f"""SELECT r.request_id, any_value(r.board) AS station, (list({{'wait': {E('a.arrival_at')} - {E('r.leave_at')}, 'app': a.app}} ORDER BY a.arrival_at) FILTER (WHERE a.arrival_at IS NOT NULL))[1:32] AS next
   FROM trip_requests r LEFT JOIN (SELECT line, station, arrival_at, bool_or(approaching) AS app FROM arrivals GROUP BY ALL) a ON a.line = r.line AND a.station = r.board AND {E('a.arrival_at')} - {E('r.leave_at')} BETWEEN 0 AND {WAIT_WINDOW} GROUP BY r.request_id"""
 GAPS = """SELECT *, next[1].wait AS w, next IS NOT NULL AS live, station % 2 = 0 AS sched, list_transform(range(2, coalesce(len(next), 0) + 1), lambda i: next[i].wait - next[i - 1].wait) AS gaps FROM waits"""
 STATS = "SELECT *, len(gaps) AS ng, list_median(gaps) AS gap, list_median(gaps[2:]) AS rest FROM gapped"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headcast.functions.scores import rounded
 from headcast.operators import calibration, estimate
-from headcast.operators.joins import band_join, seconds_of
+from headcast.operators.joins import band_join, newest_set, seconds_of
 from headcast.plans.arrivals import E, NOW, NOW_COLUMN
 from headcast.plans.calibration import HOD, scored
 from headcast.sources import proxies
@@ -127,7 +127,7 @@ def st14_first_completed(s: SparkSession, d: str) -> DataFrame:
 def st15_active_set(s: SparkSession, d: str) -> DataFrame:
     """What was on show at a past instant: the rows of each line's last poll hour before it."""
     rows = proxies.arrivals(s, d).where(F.col("polled_at") <= NOW_COLUMN()).select("line", "run", "station", "event_id", F.date_trunc("hour", "polled_at").alias("hour"))
-    return rows.withColumn("top", F.max("hour").over(Window.partitionBy("line"))).where("hour = top").select("line", "run", "station", "event_id")
+    return newest_set(rows, ["line"], "hour").select("line", "run", "station", "event_id")
 
 
 FAMILY = (

@@ -146,9 +146,9 @@ def pattern_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecast requests with both ends: a tenth of the events."""
+    """Forecast requests with both ends: one per event."""
     k = _k()
-    return table(spark, sf_dir, "events").where(k % 10 == 3).select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), F.col("event_type").alias("line"), (k % 20).alias("board"), ((k + F.col("user_id")) % 20).alias("alight"), F.col("ts").alias("leave_at")
     )
 
@@ -158,6 +158,6 @@ SQL |= {
   41.8::DOUBLE + (k % 50) / 1000.0::DOUBLE AS lat, -87.6::DOUBLE - (user_id % 50) / 1000.0::DOUBLE AS lon, CASE WHEN k % 4 <> 0 THEN k * 3.6::DOUBLE END AS heading FROM k_events""",
     "pattern_points": """SELECT pid, seq, n_nationkey AS stop, 1000.0::DOUBLE * seq AS pdist, 41.8::DOUBLE + seq / 100.0::DOUBLE AS lat, -87.6::DOUBLE - pid / 100.0::DOUBLE AS lon
   FROM (SELECT n_regionkey AS pid, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS seq FROM nation)""",
-    "trip_requests": "SELECT event_id AS request_id, event_type AS line, k % 20 AS board, (k + user_id) % 20 AS alight, ts AS leave_at FROM k_events WHERE k % 10 = 3",
+    "trip_requests": "SELECT event_id AS request_id, event_type AS line, k % 20 AS board, (k + user_id) % 20 AS alight, ts AS leave_at FROM k_events",
 }
 NEEDS |= {"vehicles": ("k_events",), "trip_requests": ("k_events",)}
