@@ -167,3 +167,21 @@ def trailing(rows: DataFrame, keys: Sequence[str], at: str, seconds: int, aggreg
     both = rows.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__bin", stretch + F.when(F.col("__own"), 0).otherwise(1))
     window = Window.partitionBy(*keys, "__bin").orderBy(at).rangeBetween(-seconds, 0)
     return both.withColumns({name: value.over(window) for name, value in aggregates.items()}).where("__own").drop("__own", "__bin")
+
+
+def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: Column, at_right: Column) -> DataFrame:
+    """``left`` with ``latest``: the newest right row (``at``, columns) of its key at or before its time; null if none.
+
+    Both sides go through one sorted stream per key that carries the last right row along. Of right rows at one time the
+    greatest counts. Null keys meet nothing.
+    """
+    keys = list(keys)
+    values = [c for c in right.columns if c not in keys]
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    known = right.where(some & at_right.isNotNull()).select(*keys, at_right.alias("t"), F.struct(at_right.alias("at"), *values).alias("item"))
+    both = known.unionByName(left.select(*keys, at_left.alias("t"), F.struct(*left.columns).alias("row")), allowMissingColumns=True)
+    sofar = Window.partitionBy(*keys).orderBy(F.col("t"), F.col("row").isNotNull(), F.col("item")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("latest", F.last("item", ignorenulls=True).over(sofar)).where("row is not null")
+    return met.select("row.*", F.when(some, F.col("latest")).alias("latest"))

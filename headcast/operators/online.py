@@ -10,40 +10,47 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 STEPS = (1.0, 5.0, 20.0, 60.0)
 ETA, BOUND = 0.05, 1200.0
 
 
 def ordered_fold(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, start: Callable[[tuple], Any], step: Callable[[Any, Any], None], out: Callable[[tuple, Any], tuple]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, start: Callable[[tuple], Any], step: Callable[[Any, tuple], None], out: Callable[[tuple, Any], tuple]
 ) -> DataFrame:
-    """One row per key: ``out(key, state)`` after ``step(state, row)`` for its rows in order, from ``start(key)``."""
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    names = list(keys)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, columns = None, None, None
-        for frame in frames:
-            done = []
-            columns = list(frame.columns)
-            for row in frame.itertuples(index=False):
-                now = tuple(getattr(row, n) for n in names)
-                if now != key:
-                    if key is not None:
+    """One row per key: ``out(key, state)`` after ``step(state, values)`` for its rows in order, from ``start(key)``.
+
+    ``values`` are the columns that aren't keys, as ``df`` has them; nulls are None, and a null key is a key.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    dealt = df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    fields, width = T.StructType.fromDDL(schema), len(keys)
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def packed(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=fields.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, None, False
+        for batch in batches:
+            done, columns = [], [c.to_pylist() for c in batch.columns]
+            for now, values in zip(zip(*columns[:width]), zip(*columns[width:])):
+                if now != key or not begun:
+                    if begun:
                         done.append(out(key, state))
-                    key, state = now, start(now)
-                step(state, row)
+                    key, state, begun = now, start(now), True
+                step(state, values)
             if done:
-                yield pd.DataFrame(done, columns=fields)
-        if key is not None:
-            yield pd.DataFrame([out(key, state)], columns=fields)
+                yield packed(done)
+        if begun:
+            yield packed([out(key, state)])
 
-    fields = [part.split()[0] for part in schema.split(",")]
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, fields)
 
 
 class Conformal:
@@ -72,21 +79,50 @@ class Conformal:
         self.offset = max(-BOUND, min(BOUND, self.offset + self.step_size * miss))
 
 
+def known(value: float | None) -> bool:
+    return value is not None and value == value
+
+
 def conformal_offsets(observations: DataFrame, keys: Sequence[str], order: Sequence[str], remember: bool = False) -> DataFrame:
-    """Offsets per key from rows with ``target``, ``raw`` and ``seen``; ``target`` is constant within a key."""
+    """Offsets per key from rows with ``target``, ``raw`` and ``seen``; ``target`` is constant within a key. Rows with an
+    unknown value don't count."""
     kinds = ", ".join(f"{k} {observations.schema[k].dataType.simpleString()}" for k in keys)
 
-    def step(state: list, row: Any) -> None:
+    def step(state: list, values: tuple) -> None:
+        target, raw, seen = values[:3]
         if not state:
-            state.append(Conformal(row.target, remember))
-        if row.raw == row.raw and row.seen == row.seen:
-            state[0].update(row.raw, row.seen)
+            state.append(Conformal(target, remember))
+        if known(raw) and known(seen):
+            state[0].update(raw, seen)
 
     return ordered_fold(
-        observations.select(*keys, *order, "target", "raw", "seen"), keys, order, f"{kinds}, offset_s double, step_size double, n long, missed long", lambda key: [], step, lambda key, s: (*key, s[0].offset, s[0].step_size, s[0].n, s[0].missed)
+        observations.select(*keys, "target", "raw", "seen", *order), keys, order, f"{kinds}, offset_s double, step_size double, n bigint, missed bigint",
+        lambda key: [], step, lambda key, s: (*key, s[0].offset, s[0].step_size, s[0].n, s[0].missed),
     )
 
 
+def warm_up(outcomes: DataFrame, keys: Sequence[str], order: Sequence[str], last: int = 500, since: Column | None = None, remember: bool = False) -> DataFrame:
+    """Conformal offsets replayed from the ``last`` outcomes of each key (after ``since``), oldest first."""
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    rows = outcomes if since is None else outcomes.where(F.col(order[0]) >= since)
+    return conformal_offsets(rows.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= last).drop("__n"), keys, order, remember)
+
+
+def state_updates(outcomes: DataFrame, learners: str = "gbm-%", shifted: str = "kernel-v1+eb", mode: str = "l") -> DataFrame:
+    """Which states an outcome moves: one row per (leg, quantile) with ``raw`` and ``seen``, ``kind`` naming the state.
+
+    Learnt predictors (by the pattern ``learners``) have the 0.8 and 0.9 quantiles of their wait and total legs followed;
+    the shifted kernel the mean residual of its wait's median. Other versions, modes and unknown values move nothing.
+    ``outcomes``: keys, mode, predictor_version, wait_p50/p80/p90, total_p80/p90, actual_wait, actual_total.
+    """
+    leg = lambda kind, name, q, raw, seen: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("leg"), F.lit(q).alias("target"), F.col(raw).alias("raw"), F.col(seen).alias("seen"))
+    conformal = F.array(*[leg("conformal", name, q, f"{name}_p{round(100 * q)}", f"actual_{name}") for name in ("wait", "total") for q in (0.8, 0.9)])
+    shift = F.array(leg("shift", "wait", 0.5, "wait_p50", "actual_wait"))
+    moved = F.when(F.col("predictor_version").like(learners), conformal).when(F.col("predictor_version") == shifted, shift)
+    rows = outcomes.where(F.col("mode") == mode).withColumn("__u", F.explode(moved))
+    return rows.select(*outcomes.columns, "__u.*").where("raw is not null and seen is not null and not isnan(raw) and not isnan(seen)")
+
+
 def running_moments(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Count, mean and population variance, which merge across tasks; the batch form of the incremental update."""
     return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
@@ -120,11 +156,12 @@ class Promotion:
 def promotions(evaluations: DataFrame, default: str, margin: float = 0.005, wins: int = 2) -> DataFrame:
     """Active version per corridor after evaluations (corridor_id, at, candidate, score, incumbent_score) in order."""
 
-    def step(state: Promotion, row: Any) -> None:
-        known = row.incumbent_score
-        state.consider(row.candidate, row.score, None if known is None or known != known else known)
+    def step(state: Promotion, values: tuple) -> None:
+        candidate, score, incumbent = values[:3]
+        state.consider(candidate, score, incumbent if known(incumbent) else None)
 
     return ordered_fold(
-        evaluations.select("corridor_id", "at", "candidate", "score", "incumbent_score"), ["corridor_id"], ["at", "candidate"], "corridor_id string, active string, decided_score double, pending string, streak long, changes long",
+        evaluations.select("corridor_id", "candidate", "score", "incumbent_score", "at"), ["corridor_id"], ["at", "candidate"],
+        "corridor_id string, active string, decided_score double, pending string, streak bigint, changes bigint",
         lambda key: Promotion(default, margin, wins), step, lambda key, s: (*key, s.active, s.score, s.pending, s.streak, s.changes),
     )

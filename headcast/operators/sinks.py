@@ -70,7 +70,8 @@ def scrub_url(url: Column, secret: Sequence[str] = SECRET_KEYS) -> Column:
 
 
 def content_hash(body: Column) -> Column:
-    return F.sha2(body, 256)
+    """Hash of a body; of JSON in canonical form (keys sorted, no space between), of anything else as it stands."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(body)), body), 256)
 
 
 def body_text(body: Column, content_type: Column) -> Column:

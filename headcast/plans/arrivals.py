@@ -204,6 +204,18 @@ ORACLE = {
       round((p.pdist1 - p.pdist) / (p.at_s1 - p.at_s), 6) AS speed, row_number() OVER (PARTITION BY p.vid, p.pid, s.stop ORDER BY p.at_s, p.event_id) AS k FROM pairs p JOIN pattern_points s ON s.pid = p.pid AND s.pdist BETWEEN p.pdist AND p.pdist1) WHERE k = 1""",
       "vehicles", "pattern_points", pairs="""SELECT * FROM (SELECT *, lead(pid) OVER w AS pid1, lead(at_s) OVER w AS at_s1, lead(pdist) OVER w AS pdist1, lead(age_s) OVER w AS age_s1 FROM vehicles WINDOW w AS (PARTITION BY vid ORDER BY at_s, event_id))
       WHERE pid = pid1 AND at_s1 - at_s > 0 AND at_s1 - at_s <= 86400 AND coalesce(age_s, 0) <= 90 AND coalesce(age_s1, 0) <= 90 AND pdist1 > pdist AND (pdist1 - pdist) / (at_s1 - at_s) BETWEEN 0 AND 110"""),
+    "f8_transition_events": sql("""SELECT line, run, station, label, event_s, r.to_station AS to_station, r.confidence AS confidence, r.reasons AS reasons FROM (SELECT line, run, station, label, unnest(list_reduce(list_prepend([-1000000::BIGINT], list_transform(times, lambda t: [t])),
+      lambda a, x: CASE WHEN x[1] - a[len(a)] > 30 THEN list_concat(a, x) ELSE a END)[2:]) AS event_s FROM (SELECT line, run, station, label, list(DISTINCT event_s ORDER BY event_s) AS times FROM events_ GROUP BY ALL))
+      JOIN (SELECT line, run, station, label, event_s, min({'to_station': to_station, 'confidence': confidence, 'reasons': reasons}) AS r FROM events_ GROUP BY ALL) USING (line, run, station, label, event_s)""",
+      "positions", pairs=PAIRS, events_="""SELECT line, run, station, to_station, CAST(floor((t0 + t1) / 2) AS BIGINT) AS event_s, CASE WHEN turned THEN 'REROUTED_OR_SHORT_TURN' WHEN f THEN 'FAULTED_TRACKING' WHEN gap THEN 'CENSORED_UNKNOWN' ELSE 'CONFIRMED_ARRIVAL' END AS label,
+      (CASE WHEN turned THEN least(CASE WHEN f THEN 0.2 WHEN gap THEN 0.4 ELSE 0.95 END, 0.25) WHEN f THEN 0.2 WHEN gap THEN 0.4 ELSE 0.95 END)::DOUBLE AS confidence,
+      concat_ws(',', CASE WHEN turned THEN 'direction_changed' END, CASE WHEN f THEN 'fault' END, CASE WHEN gap THEN 'long_gap' END) AS reasons
+      FROM (SELECT *, fault OR to_fault AS f, t1 - t0 > 300 AS gap, direction_code <> to_direction AS turned FROM pairs WHERE to_station <> station AND t1 > t0)"""),
+    "f9_topology_order": "WITH RECURSIVE " + sql("""SELECT line, direction_code, unnest(done) AS station, CAST(unnest(range(len(done))) AS BIGINT) AS seq FROM walk WHERE len(done) = len(nodes)""", "positions", pairs=PAIRS,
+      edges="SELECT line, direction_code, station AS src, to_station AS dst FROM pairs WHERE to_station <> station GROUP BY ALL HAVING count(*) >= 2",
+      graph="SELECT line, direction_code, list_sort(list_distinct(list_concat(list(src), list(dst)))) AS nodes, list({'src': src, 'dst': dst}) AS arcs FROM edges GROUP BY ALL",
+      walk="""SELECT *, []::BIGINT[] AS done FROM graph UNION ALL SELECT line, direction_code, nodes, arcs, CASE WHEN next IS NULL THEN list_concat(done, list_filter(nodes, lambda n: NOT list_contains(done, n))) ELSE list_append(done, next) END
+        FROM (SELECT *, list_min(list_filter(nodes, lambda n: NOT list_contains(done, n) AND len(list_filter(arcs, lambda e: e.dst = n AND NOT list_contains(done, e.src))) = 0)) AS next FROM walk WHERE len(done) < len(nodes))""").removeprefix("WITH "),
     "f9_topology_edges": sql("SELECT line, direction_code, station AS src, to_station AS dst, count(*) AS n FROM pairs WHERE to_station <> station GROUP BY ALL HAVING count(*) >= 2", "positions", pairs=PAIRS),
     "j3_new_pairs": sql("SELECT DISTINCT origin, destination FROM requests EXCEPT SELECT s_suppkey % 10, s_nationkey % 10 FROM supplier", "requests"),
     "j4_trip_pairs": sql("SELECT * FROM (SELECT line, run, max(arrival_at) FILTER (WHERE station = 3) AS board_at, max(arrival_at) FILTER (WHERE station = 7) AS alight_at FROM arrivals GROUP BY ALL) WHERE alight_at > board_at", "arrivals"),

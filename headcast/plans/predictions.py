@@ -42,7 +42,8 @@ def f17_shrunk_shift(s: SparkSession, d: str) -> DataFrame:
 
 def f18_conformal_offsets(s: SparkSession, d: str) -> DataFrame:
     rows = scored(s, d).where(F.col("status") == "resolved").select("predictor_version", "line", F.lit(0.8).alias("target"), F.col("p80").alias("raw"), F.col("actual").alias("seen"), "resolved_at", "forecast_id")
-    return online.conformal_offsets(rows, ["predictor_version", "line"], ["resolved_at", "forecast_id"])
+    out = online.conformal_offsets(rows, ["predictor_version", "line"], ["resolved_at", "forecast_id"])
+    return out.select("predictor_version", "line", rounded(F.col("offset_s")).alias("offset_s"), rounded(F.col("step_size")).alias("step_size"), "n", "missed")
 
 
 def f21_promotions(s: SparkSession, d: str) -> DataFrame:
@@ -172,8 +173,8 @@ def k10_scrubbed_urls(s: SparkSession, d: str) -> DataFrame:
 
 
 def st1_stream_windows(s: SparkSession, d: str) -> DataFrame:
-    """Hourly windows through the streaming plan; complete windows only differ from batch in what the watermark holds back."""
-    out = jobs.run_once(jobs.windowed_counts(jobs.read_events(s, f"{d}/event[s].parquet")), "complete")
+    """Hourly windows through the streaming plan: those that the watermark has passed, which are final."""
+    out = jobs.run_once(jobs.windowed_counts(jobs.read_events(s, f"{d}/event[s].parquet")))
     return out.select(F.col("start_at").cast("timestamp_ntz").alias("start_at"), "event_type", "n", rounded(F.col("total"), 4).alias("total"))
 
 
@@ -184,7 +185,8 @@ def st2_stream_first_seen(s: SparkSession, d: str) -> DataFrame:
 
 def st9_stream_conformal(s: SparkSession, d: str) -> DataFrame:
     rows = jobs.read_events(s, f"{d}/event[s].parquet").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.lit(60.0).alias("raw"), F.col("value").alias("seen"))
-    return jobs.run_once(jobs.conformal_stream(rows), "update")
+    out = jobs.conformal_stream(rows)
+    return out.select("key", rounded(F.col("offset_s")).alias("offset_s"), "n", "missed")
 
 
 FAMILY = (
@@ -210,6 +212,25 @@ NEW_PAIRS = "(SELECT DISTINCT s_suppkey % 10 AS origin, s_nationkey % 10 AS dest
 FRAME = "SELECT * FROM scored WHERE status = 'resolved' AND actual IS NOT NULL AND coalesce(truth_confidence, 0) >= 0.25 AND p50 - 200 >= 90"
 RIDE = "(abs(r.alight - r.board) * 800.0::DOUBLE / 10 + abs(r.alight - r.board) * 800.0::DOUBLE / 1000 * 25)"
 
+def _steps_sql(raw: str, seen: str, order: str) -> str:
+    """A key's observations in order, each in the shape of the state that they are folded into."""
+    return f"list({{'off': 0::DOUBLE, 'step': 0::DOUBLE, 'n': 0::BIGINT, 'missed': 0::BIGINT, 'raw': {raw}::DOUBLE, 'seen': {seen}::DOUBLE}} ORDER BY {order})"
+
+
+def _conformal_sql(t: str) -> str:
+    """The fold of ``steps``; one-element lists name what is used several times."""
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    error = "(x.seen - x.raw - a.off - s * m)"
+    losses = f"list_transform([{', '.join(f'{s}::DOUBLE' for s in online.STEPS)}], lambda s: greatest({t} * {error}, ({t} - 1) * {error}))"
+    mass = f"list_transform(ls, lambda v: exp({-online.ETA}::DOUBLE * (v - list_min(ls))))"
+    mean = "(" + " + ".join(f"{s}::DOUBLE * u[{i + 1}]" for i, s in enumerate(online.STEPS)) + ") / list_sum(u)"
+    state = f"{{'off': greatest({-online.BOUND}::DOUBLE, least({online.BOUND}::DOUBLE, a.off + g * m)), 'step': g, 'n': a.n + 1, 'missed': a.missed + CASE WHEN m > 0 THEN 1 ELSE 0 END, 'raw': x.raw, 'seen': x.seen}}"
+    miss = f"CASE WHEN x.seen <= greatest(0, x.raw + a.off) THEN {t} - 1 ELSE {t} END"
+    step = let(miss, "m", let(losses, "ls", let(mass, "u", let(mean, "g", state))))
+    start = "{'off': 0::DOUBLE, 'step': 0::DOUBLE, 'n': 0::BIGINT, 'missed': 0::BIGINT, 'raw': 0::DOUBLE, 'seen': 0::DOUBLE}"
+    return f"list_reduce(list_prepend({start}, steps), lambda a, x: {step})"
+
+
 ORACLE = {
     "f10_wait_forecasts": sql(WAIT_OUT, "arrivals", "trip_requests", **VIEWS),
     "f11_trip_predictions": sql(f"""SELECT request_id, round(w.p50 + ride, 3) AS p50, round(w.p80 + ride + {predict.Z80!r}::DOUBLE * greatest(60, 0.12::DOUBLE * ride), 3) AS p80, round(w.p90 + ride + {predict.Z90!r}::DOUBLE * greatest(60, 0.12::DOUBLE * ride), 3) AS p90,
@@ -240,6 +261,20 @@ ORACLE = {
     "k4_coalescing_upsert": sql("SELECT line, station, max(event_id) AS event_id, arg_max(run, event_id) FILTER (WHERE run % 3 <> 0) AS run FROM arrivals GROUP BY line, station", "arrivals"),
     "k5_accumulate": sql("SELECT line, count(*) AS n, round(avg(actual), 6) AS mean, min(actual) AS low, max(actual) AS high FROM scored GROUP BY line", "scored"),
     "k10_scrubbed_urls": "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'api_key=<redacted>' AS url, sha256(html) AS content FROM pages",
-    "st1_stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "st1_stream_windows": """SELECT start_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS start_at FROM events)
+      WHERE start_at + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+    "st9_stream_conformal": f"""SELECT key, round(s.off, 6) AS offset_s, s.n AS n, s.missed AS missed FROM (SELECT key, {_conformal_sql('0.8::DOUBLE')} AS s FROM (SELECT event_type AS key,
+      {_steps_sql('60.0::DOUBLE', 'value', 'ts, value')} AS steps FROM events WHERE value IS NOT NULL GROUP BY event_type))""",
+    "f18_conformal_offsets": sql(f"""SELECT predictor_version, line, round(s.off, 6) AS offset_s, round(s.step, 6) AS step_size, s.n AS n, s.missed AS missed FROM (SELECT predictor_version, line, {_conformal_sql('0.8::DOUBLE')} AS s
+      FROM (SELECT predictor_version, line, {_steps_sql('p80', 'actual', 'resolved_at, forecast_id')} AS steps FROM scored WHERE status = 'resolved' AND actual IS NOT NULL GROUP BY ALL))""", "scored"),
+    "f21_promotions": sql("""SELECT corridor_id, s.active AS active, s.score AS decided_score, s.pending AS pending, s.streak AS streak, s.changes AS changes FROM (SELECT corridor_id, list_reduce(list_prepend(
+      {'active': 'pv0', 'score': NULL::DOUBLE, 'pending': NULL::VARCHAR, 'streak': 0::BIGINT, 'changes': 0::BIGINT, 'c': '', 'v': 0::DOUBLE}, steps), lambda a, x: CASE
+      WHEN x.c = a.active THEN {'active': a.active, 'score': x.v, 'pending': NULL, 'streak': 0, 'changes': a.changes, 'c': '', 'v': 0}
+      WHEN NOT x.v + 0.005::DOUBLE < coalesce(a.score, 300) THEN {'active': a.active, 'score': coalesce(a.score, 300), 'pending': CASE WHEN a.pending = x.c THEN NULL ELSE a.pending END,
+        'streak': CASE WHEN a.pending = x.c THEN 0 ELSE a.streak END, 'changes': a.changes, 'c': '', 'v': 0}
+      WHEN coalesce(a.pending = x.c, false) AND a.streak >= 1 THEN {'active': x.c, 'score': x.v, 'pending': NULL, 'streak': 0, 'changes': a.changes + 1, 'c': '', 'v': 0}
+      ELSE {'active': a.active, 'score': coalesce(a.score, 300), 'pending': x.c, 'streak': 1, 'changes': a.changes, 'c': '', 'v': 0} END) AS s
+      FROM (SELECT corridor_id, list({'active': '', 'score': 0::DOUBLE, 'pending': '', 'streak': 0::BIGINT, 'changes': 0::BIGINT, 'c': predictor_version, 'v': score} ORDER BY day, predictor_version) AS steps
+      FROM (SELECT corridor_id, CAST(resolved_at AS DATE) AS day, predictor_version, round(avg(abs(p50_residual)), 6) AS score FROM scored WHERE status = 'resolved' GROUP BY ALL) GROUP BY corridor_id))""", "scored"),
     "st2_stream_first_seen": "SELECT DISTINCT ON (event_id) event_id, user_id, event_type FROM events",
 }

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from headcast.checkpoints import ensure_checkpoint_dir
-from headcast.operators.online import Conformal
+from headcast.operators.online import Conformal, known, ordered_fold
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -23,22 +22,29 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that is there now through the streaming plan, written to the shared folder and read back."""
+def run_once(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Everything that is there now through the streaming plan, written to the shared folder and read back.
+
+    In update mode each micro-batch holds only the keys it changed: it is written under its number (a repeated batch
+    overwrites itself), and the newest row of each of ``keys`` counts.
+    """
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{folder}/out").start()
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if not keys:
+        raise ValueError("update mode needs the keys that a later batch replaces")
+    writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).start().awaitTermination()
+    every = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r")).select("r.*")
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and their values by type and window; windows close once the watermark has passed them."""
+    """Events and their values by type and window; in append mode a window is given out, and its state dropped, once the
+    watermark (the latest time seen less ``late``) has passed its end."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp"))
     by = timed.withWatermark("at", late).groupBy(F.window("at", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return by.select(F.col("w.start").alias("start_at"), "event_type", "n", "total")
@@ -49,33 +55,57 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "6 hours") -> Dat
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def interval_join(forecasts: DataFrame, arrivals: DataFrame, wait: str = "2 hours", late: str = "1 hour") -> DataFrame:
-    """Forecasts with the arrivals of their key within ``wait`` after them; both sides forget what can't match any more."""
+def interval_join(forecasts: DataFrame, arrivals: DataFrame, wait: str = "2 hours", late: str = "1 hour", how: str = "left_outer") -> DataFrame:
+    """Forecasts with the arrivals of their key within ``wait`` after them; both sides forget what can't match any more.
+
+    A forecast that nothing met is given out with nulls once the watermark has passed its window (``how`` outer).
+    """
     left = forecasts.withWatermark("leave_at", late)
     right = arrivals.withWatermark("arrived_at", late)
-    return left.join(right, F.expr(f"key = a_key and arrived_at >= leave_at and arrived_at <= leave_at + interval {wait}"))
+    return left.join(right, F.expr(f"key = a_key and arrived_at >= leave_at and arrived_at <= leave_at + interval {wait}"), how)
 
 
-CONFORMAL_STATE = "offset_s double, n long, missed long"
+CONFORMAL_STATE = "offset_s double, step_size double, n bigint, missed bigint, weights array<double>"
 
 
-def conformal_stream(observations: DataFrame, target: float = 0.8) -> DataFrame:
-    """Conformal offset per key, carried as keyed state from batch to batch; rows of a batch count in order of ``at``.
+def conformal_stream(observations: DataFrame, target: float = 0.8, remember: bool = False) -> DataFrame:
+    """Conformal offset per key, carried from micro-batch to micro-batch; rows of a batch count in order of ``at``.
 
-    ``observations``: key, at, raw, seen. The last offset after each batch is emitted (update mode).
+    ``observations``: a stream of key, at, raw, seen. Each batch folds its sorted rows, streamed, onto the state written by
+    the batch before, and writes the new state under its own number: memory holds one key's state, and a repeated batch
+    gives the same again. Returns the state after everything that is there now; unknown values don't count.
     """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = Conformal(target)
-        if state.exists:
-            fold.offset, fold.n, fold.missed = state.get
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
-        for raw, seen in zip(rows.raw, rows.seen):
+    spark, kind = observations.sparkSession, observations.schema["key"].dataType.simpleString()
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/conformal-{uuid.uuid4().hex}"
+    schema = f"key {kind}, {CONFORMAL_STATE}"
+
+    def step(fold: Conformal, values: tuple) -> None:
+        _, raw, seen, state = values
+        if state is not None:
+            fold.offset, fold.step_size, fold.n, fold.missed, fold.weights = state["offset_s"], state["step_size"], state["n"], state["missed"], list(state["weights"])
+        elif known(raw) and known(seen):
             fold.update(raw, seen)
-        state.update((fold.offset, fold.n, fold.missed))
-        yield pd.DataFrame({"key": [key[0]], "offset_s": [fold.offset], "n": [fold.n], "missed": [fold.missed]})
 
-    return observations.groupBy("key").applyInPandasWithState(update, f"key {observations.schema['key'].dataType.simpleString()}, {CONFORMAL_STATE}", CONFORMAL_STATE, "update", GroupStateTimeout.NoTimeout)
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.where("at is not null").select("key", "at", "raw", "seen")
+        if number:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{folder}/batch={number - 1}")
+            rows = rows.unionByName(before.select("key", F.struct(*before.columns[1:]).alias("state")), allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("state", F.lit(None).cast(T.StructType.fromDDL(CONFORMAL_STATE)))
+        now = ordered_fold(
+            rows.select("key", "at", "raw", "seen", "state"), ["key"], ["at", "raw", "seen"], schema, lambda key: Conformal(target, remember), step, lambda key, f: (*key, f.offset, f.step_size, f.n, f.missed, f.weights)
+        )
+        now.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        last[0] = number
+
+    last = [-1]
+    query = observations.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/batch={last[0]}")
 
 
 def tail_ndjson(spark: SparkSession, folder: str, schema: str) -> DataFrame:

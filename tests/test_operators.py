@@ -221,24 +221,71 @@ def test_residual_model_covers(spark):
 
 def test_stream_equals_batch(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    got = jobs.run_once(jobs.windowed_counts(jobs.read_events(spark, f"{sf}/event[s].parquet")), "complete")
-    want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start_at"), "event_type", "n")
-    assert got.select("start_at", "event_type", "n").exceptAll(want).count() == 0 and got.count() == want.count()
+    got = jobs.run_once(jobs.windowed_counts(jobs.read_events(spark, f"{sf}/event[s].parquet")))
+    by = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    closed = events.agg((F.max(F.col("ts").cast("timestamp")) - F.expr("interval 10 minutes")).alias("t")).first().t
+    want = by.where(F.col("w.end") <= F.lit(closed)).select(F.col("w.start").alias("start_at"), "event_type", "n")
+    assert got.select("start_at", "event_type", "n").exceptAll(want).count() == 0 and got.count() == want.count() > 0
     assert jobs.run_once(jobs.first_seen(jobs.read_events(spark, f"{sf}/event[s].parquet"), ["event_id"])).count() == events.select("event_id").distinct().count()
 
 
-def test_stream_state_carries_over_batches(spark, tmp_path):
+def test_updates_of_later_batches_keep_the_keys_of_earlier_ones(spark, tmp_path):
+    for key, n in (("a", 2), ("b", 3), ("a", 1)):
+        spark.createDataFrame([(key, k) for k in range(n)], "key string, value long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, value long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = jobs.run_once(stream.groupBy("key").agg(F.count("*").alias("n")), "update", ["key"]).collect()
+    assert sorted((r.key, r.n) for r in rows) == [("a", 3), ("b", 3)]
+
+
+@pytest.mark.parametrize("remember", [False, True])
+def test_stream_state_carries_over_batches(spark, tmp_path, remember):
     rng = random.Random(4)
-    data = [("k", at(i), 100.0, rng.gauss(130, 20)) for i in range(60)]
+    data = [("ab"[i % 2] if i < 40 else "c", at(i), 100.0, rng.gauss(130, 20) if i % 13 else None) for i in range(60)]
     schema = "key string, at timestamp, raw double, seen double"
-    for part in range(2):
-        spark.createDataFrame(data[part * 30 : part * 30 + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in range(3):
+        spark.createDataFrame(data[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    last = jobs.run_once(jobs.conformal_stream(stream), "update").first()
-    fold = online.Conformal(0.8)
-    for _, _, raw, seen in data:
-        fold.update(raw, seen)
-    assert last.n == 60 and last.offset_s == pytest.approx(fold.offset, abs=1e-9)
+    rows = {r.key: r for r in jobs.conformal_stream(stream, remember=remember).collect()}
+    assert set(rows) == {"a", "b", "c"}
+    for key, last in rows.items():
+        fold = online.Conformal(0.8, remember)
+        for _, _, raw, seen in (r for r in data if r[0] == key and r[3] is not None):
+            fold.update(raw, seen)
+        assert last.n == fold.n and last.offset_s == pytest.approx(fold.offset, abs=1e-9) and last.weights == pytest.approx(fold.weights)
+
+
+def test_forecasts_that_nothing_meets_come_out_with_nulls(spark, tmp_path):
+    f = [("k", T0), ("k", T0 + timedelta(hours=3)), ("z", T0), ("k", T0 + timedelta(days=2))]
+    a = [("k", T0 + timedelta(minutes=5)), ("k", T0 + timedelta(hours=9)), ("k", T0 + timedelta(days=2, hours=9))]
+    for k in range(2):
+        spark.createDataFrame(f[k * 3 : k * 3 + 3], "key string, leave_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+        spark.createDataFrame(a[k * 2 : k * 2 + 2], "a_key string, arrived_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    left = spark.readStream.schema("key string, leave_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
+    right = spark.readStream.schema("a_key string, arrived_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a"))
+    rows = jobs.run_once(jobs.interval_join(left, right)).collect()
+    assert sorted((r.key, r.arrived_at is None) for r in rows) == [("k", False), ("k", True), ("z", True)]
+
+
+def test_a_standing_vehicle_passes_no_stop(spark):
+    seen = [(7, 1, 0.0, 1000.0), (7, 1, 30.0, 1000.0), (7, 1, 60.0, 900.0), (7, 1, 90.0, 1600.0)]
+    frame = spark.createDataFrame([(i, *r, None) for i, r in enumerate(seen)], "event_id long, vid long, pid int, at_s double, pdist double, age_s double")
+    rows = arrivals.crossings(frame, spark.createDataFrame([(1, 5, 1000.0)], "pid int, stop long, stop_pdist double"), speed=(0.0, 110.0)).collect()
+    assert [(r.vid, r.stop, r.arrival_s) for r in rows] == [(7, 5, 64)]
+
+
+def test_json_of_equal_content_has_one_hash(spark):
+    frame = spark.createDataFrame([('{"b": 1, "a": [1, 2]}',), ('{"a":[1,2],"b":1}',), ("not json",), ("not  json",)], "body string")
+    hashes = [r.h for r in frame.select(sinks.content_hash(F.col("body")).alias("h")).collect()]
+    assert hashes[0] == hashes[1] and len(set(hashes)) == 3
+
+
+def test_next_items_over_bins_ties_and_null_keys(spark):
+    left = spark.createDataFrame([(1, "a", 0.0), (2, "a", 95.0), (3, None, 0.0), (4, "b", 0.0), (5, "a", 300.0)], "id long, k string, t double")
+    right = spark.createDataFrame([("a", 0.0, 2), ("a", 0.0, 1), ("a", 99.0, 3), ("a", 105.0, 4), ("a", 196.0, 5), (None, 1.0, 6)], "k string, u double, v long")
+    got = joins.forward_asof(left, right, "id", ["k"], F.col("t"), F.col("u"), 100.0, 2).collect()
+    assert sorted((r.id, r.nth, r.v) for r in got) == [(1, 1, 1), (1, 2, 2), (2, 1, 3), (2, 2, 4)]
+    last = {r.id: r.latest and r.latest.v for r in joins.latest_before(left, right, ["k"], F.col("t"), F.col("u")).collect()}
+    assert last == {1: 2, 2: 2, 3: None, 4: None, 5: 5}
 
 
 def test_ndjson_tail_skips_bad_lines(spark, tmp_path):
