@@ -2,7 +2,7 @@
 
 A suffix automaton of some labelled text per language knows every substring of it. Parsing a document greedily into the
 longest substrings it knows takes few phrases in the right language. Here an automaton is compiled to a table of
-(place, letter) to (next place, whether a phrase ended), and many stretches of text are stepped through it together.
+(place, letter) to (next place, whether a phrase begins), and many texts are stepped through it together.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from headcast.llm.arrowmap import with_document_columns
 
 UNDETERMINED = "und"
+#: So few texts are finished letter by letter rather than as vectors.
+FEW = 32
 
 
 def suffix_automaton(codes: Sequence[int]) -> list[dict[int, int]]:
@@ -51,23 +53,57 @@ def suffix_automaton(codes: Sequence[int]) -> list[dict[int, int]]:
     return arcs
 
 
-def phrase_table(arcs: list[dict[int, int]], letters: int) -> np.ndarray:
-    """``table[place, code]`` is twice the next place, plus one if a phrase ended before the letter."""
-    start = np.ones(letters, dtype=np.int32)  # an unknown letter is a phrase of its own
-    for code, target in arcs[0].items():
-        start[code] = 2 * target + 1
-    table = np.repeat(start[None, :], len(arcs), axis=0)
-    for place, out in enumerate(arcs):
-        for code, target in out.items():
-            table[place, code] = 2 * target
-    return table
+class PhraseTable:
+    """Next steps of an automaton: for (place, code) twice the next place, plus one if the letter begins a new phrase.
+
+    A letter that no sample has is a phrase of its own. Up to ``dense`` entries the steps lie in one array; a larger
+    alphabet's arcs are kept sorted and searched, so memory follows the arcs. Both give the same steps.
+    """
+
+    def __init__(self, arcs: list[dict[int, int]], letters: int, dense: int = 8_000_000):
+        self.letters = letters
+        self.start = np.ones(letters, dtype=np.int32)
+        for code, target in arcs[0].items():
+            self.start[code] = 2 * target + 1
+        # the start itself always begins a phrase
+        pairs = [(place * letters + code, 2 * target) for place, out in enumerate(arcs) if place for code, target in out.items()]
+        keys, steps = np.array([k for k, _ in pairs], dtype=np.int64), np.array([t for _, t in pairs], dtype=np.int32)
+        self.flat = None
+        if len(arcs) * letters <= dense:
+            self.flat = np.tile(self.start, len(arcs))
+            self.flat[keys] = steps
+        else:
+            order = np.argsort(keys)
+            self.keys, self.steps = keys[order], steps[order]
+
+    def __call__(self, place: np.ndarray, code: np.ndarray) -> np.ndarray:
+        key = place.astype(np.int64) * self.letters + code
+        if self.flat is not None:
+            return self.flat[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.steps[at], self.start[code])
+
+    def count(self, codes: np.ndarray, place: int) -> int:
+        """Phrases that begin in ``codes``, from a place on, letter by letter."""
+        phrases = 0
+        if self.flat is None:
+            for code in codes.tolist():
+                step = int(self(np.array([place]), np.array([code]))[0])
+                phrases, place = phrases + (step & 1), step >> 1
+            return phrases
+        flat, letters = memoryview(self.flat), self.letters
+        for code in codes.tolist():
+            step = flat[place * letters + code]
+            phrases += step & 1
+            place = step >> 1
+        return phrases
 
 
 class Parser:
     """Tables of all languages over one alphabet, built from their sample texts."""
 
-    def __init__(self, samples: Sequence[tuple[str, str]], stretch: int):
-        self.languages, self.stretch = [name for name, _ in samples], stretch
+    def __init__(self, samples: Sequence[tuple[str, str]]):
+        self.languages = [name for name, _ in samples]
         letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
         self.size = len(letters) + 2  # 0: between words; 1: a letter that no sample has
         code = {c: i + 2 for i, c in enumerate(letters)}
@@ -79,7 +115,7 @@ class Parser:
         self.tables, self.bits = [], []
         for _, text in samples:
             sample = self.read(text)
-            self.tables.append(phrase_table(suffix_automaton(sample.tolist()), self.size))
+            self.tables.append(PhraseTable(suffix_automaton(sample.tolist()), self.size))
             self.bits.append(math.log2(len(sample) + 2))
 
     def read(self, text: str) -> np.ndarray:
@@ -97,25 +133,23 @@ class Parser:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not judged or not self.languages:
             return names, scores
+        # all texts step together, longest first; once few are left, each is finished by itself
+        judged.sort(key=lambda i: -len(read[i]))
         sizes = np.array([len(read[i]) for i in judged])
-        parts = -(-sizes // self.stretch)
         data = np.concatenate([read[i] for i in judged])
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        owner = np.repeat(np.arange(len(judged)), parts)
-        nth = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(parts)])[:-1], parts)
-        starts = begin[owner] + nth * self.stretch
-        lengths = np.minimum(self.stretch, sizes[owner] - nth * self.stretch)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths, owner = starts[order], lengths[order], owner[order]
-        live = [int(np.searchsorted(-lengths, -at, side="left")) for at in range(int(lengths[0]))]
+        together = int(sizes[FEW]) if len(sizes) > FEW else 0
+        live = np.searchsorted(-sizes, -np.arange(together), side="left").tolist()
         costs = np.empty((len(judged), len(self.languages)))
         for k, table in enumerate(self.tables):
-            flat, place, phrases = table.ravel(), np.zeros(len(starts), dtype=np.int32), np.ones(len(starts), dtype=np.int64)
+            place, phrases = np.zeros(len(judged), dtype=np.int64), np.zeros(len(judged), dtype=np.int64)
             for at, m in enumerate(live):
-                step = flat[place[:m] * self.size + data[starts[:m] + at]]
+                step = table(place[:m], data[begin[:m] + at])
                 phrases[:m] += step & 1
                 place[:m] = step >> 1
-            costs[:, k] = np.bincount(owner, weights=phrases, minlength=len(judged)) * self.bits[k] / sizes
+            for j in range(int(np.searchsorted(-sizes, -together, side="left"))):
+                phrases[j] += table.count(data[begin[j] + together : begin[j] + sizes[j]], int(place[j]))
+            costs[:, k] = phrases * self.bits[k] / sizes
         best = costs.argmin(axis=1)
         low = costs[np.arange(len(judged)), best]
         if len(self.languages) > 1:
@@ -129,47 +163,49 @@ class Parser:
 
 
 @lru_cache(maxsize=1)
-def shared_parser(samples: tuple[tuple[str, str], ...], stretch: int) -> Parser:
+def shared_parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """One per worker process."""
-    return Parser(samples, stretch)
+    return Parser(samples)
 
 
-def sample_languages(training: DataFrame, text_col: str = "text", lang_col: str = "lang", letters: int = 24_000, texts: int = 64) -> list[tuple[str, str]]:
-    """At most ``texts`` different texts of each language, ``letters`` characters together: the fitting bound.
+def sample_languages(training: DataFrame, text_col: str = "text", lang_col: str = "lang", letters: int = 24_000, texts: int = 64, longest: int = 6_000) -> list[tuple[str, str]]:
+    """Whole texts of each language until there are ``letters`` characters, at most ``texts`` different ones: the fitting bound.
 
-    Texts are taken in the order of a hash of their content, so the choice doesn't depend on partitioning, ids or
-    sources, and copies count once. Only hashes are ranked; then the chosen texts are read.
+    Texts are taken in the order of a hash of their content, those of over ``longest`` characters after the others, so the
+    choice doesn't depend on partitioning, ids or sources, and copies count once. Only hashes are ranked; then the chosen
+    texts are read. Null texts and languages aren't learnt from; an empty table gives no samples.
     """
-    # ranked by hash alone: the limit is pushed below the exchange, so that a common language sends 64 rows per task
+    text = F.col(f"`{text_col}`").cast("string")
+    # ranked by size class and hash: the limit is pushed below the exchange, so that a common language sends 64 rows per task
     rows = training.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()).select(
-        F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")
+        F.col(f"`{lang_col}`").cast("string").alias("lang"), (F.char_length(text) > longest).alias("long"), F.xxhash64(text).alias("key"), text.alias("text")
     )
-    first = Window.partitionBy("lang").orderBy("key")
-    chosen = rows.select("lang", "key").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts).select("lang", "key")
-    # each chosen text is cut to its share of the bound before it travels
-    share = -(-letters // 8)
-    found = rows.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min(F.substring("text", 1, share)).alias("text"))
+    first = Window.partitionBy("lang").orderBy("long", "key")
+    chosen = rows.select("lang", "long", "key").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts).select("lang", "key", "rank")
+    found = rows.select("lang", "key", "text").join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     samples: dict[str, str] = {}
-    for row in found.orderBy("lang", "key").toLocalIterator():
+    for row in found.orderBy("lang", "rank").toLocalIterator():
         have = samples.get(row.lang, "")
-        samples[row.lang] = (have + "\n" + row.text)[:letters] if len(have) < letters else have
+        if len(have) < letters:
+            samples[row.lang] = have + "\n" + row.text
     return sorted((lang, text) for lang, text in samples.items() if any(c.isalpha() for c in text))
 
 
 def identify_languages(
-    df: DataFrame, samples: Sequence[tuple[str, str]], text_col: str = "text", keep: Sequence[str] = ("doc_id",), stretch: int = 1024, slice_rows: int = 2000
+    df: DataFrame, samples: Sequence[tuple[str, str]], text_col: str = "text", keep: Sequence[str] = ("doc_id",), slice_rows: int = 2000
 ) -> DataFrame:
     """Predict the language of each whole text from its letters alone.
 
     Adds ``lang_pred`` (a language of ``samples``, or ``und`` for a null text, one without letters, or no samples) and
     ``score`` (0 to 1: how much shorter the parse is than the second best; 1 if only one language is known). A text is
-    parsed in stretches of ``stretch`` letters, each from the automaton's start; phrases are normalised by the text's
-    length and the sample's. Ties go to the first language in order. Repeated rows give repeated rows.
+    parsed whole, however long; phrases are normalised by the text's length and the sample's. Ties go to the first
+    language in order. Repeated rows give repeated rows, an empty table an empty one; kept columns named like a result
+    are left out.
     """
     shared = df.sparkSession.sparkContext.broadcast(tuple(samples))
 
     def make():
-        parser = shared_parser(shared.value, stretch)
+        parser = shared_parser(shared.value)
 
         def work(texts: list[bytes | None]):
             names, scores = [], []

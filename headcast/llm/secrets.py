@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,11 @@ ENTROPY = "entropy"
 SPOTS = "array<struct<start:int,kind:int,end:int,value:string>>"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Stands for each character of a base span while the rest is searched; it is no character of any text interchange.
+MASK = "\uffff"
+#: Candidates that border on no mask, and those that do.
+WHOLE = f"(?<![A-Za-z0-9+/_={MASK}-])[A-Za-z0-9+/_=-]{{20,}}+(?!{MASK})"
+CUT = f"(?<={MASK})[A-Za-z0-9+/_=-]{{20,}}+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{20,}}+(?={MASK})"
 #: Strings that look random and are no secrets: UUIDs, plain numbers and dates, words joined by dashes or slashes.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -44,27 +49,56 @@ class CharacterClass:
 CLASSES = (CharacterClass("^[0-9a-fA-F]+$", 3.05), CharacterClass("^[A-Za-z0-9]+$", 3.55), CharacterClass("^.+$", 3.75))
 
 
+def before(values: Column, zero: Column, both: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """For each element of an array, ``both`` folded over those before it.
+
+    Blocks are folded first, then what lies before each block, then within the block: no array grows step by step, so
+    the work stays near proportional to the array's length.
+    """
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, zero, both)
+
+    def of_values(v: Column) -> Column:
+        blocks = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+        def of_ends(ends: Column) -> Column:
+            def at(_: Column, i: Column) -> Column:
+                nth = F.floor(i / block).cast("int")
+                return both(F.get(ends, nth), fold(F.slice(v, nth * block + 1, i % block)))
+
+            return F.transform(v, at)
+
+        totals = F.transform(blocks, lambda k: fold(F.slice(v, k * block + 1, F.lit(block))))
+        return let(let(totals, lambda t: F.transform(t, lambda _, k: fold(F.slice(t, F.lit(1), k)))), of_ends)
+
+    return let(values, of_values)
+
+
 def located(text: Column, pattern: str, group: int, kind: int) -> Column:
     """Leftmost non-overlapping matches as structs (start, kind, end, value) in code points; ``value`` is ``group``.
 
     The pieces between matches, with the matches' lengths, give the places. Texts without a match skip all that.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPOTS).alias("found"))
-
-    def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + part["gap"]
-        end = begin + F.char_length(part["whole"])
-        found = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
-
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    parts = let(
-        F.struct(whole.alias("whole"), values.alias("value"), gaps.alias("gap")),
-        lambda m: F.transform(m["whole"], lambda w, i: F.struct(w.alias("whole"), m["value"][i].alias("value"), m["gap"][i].alias("gap"))),
-    )
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPOTS))
+    sizes = lambda m: F.transform(m["whole"], F.char_length)
+
+    def placed(m: Column) -> Column:
+        steps = F.zip_with(m["size"], F.slice(m["gap"], F.lit(1), F.size(m["size"])), lambda s, g: s + g)
+
+        def spots(p: Column) -> Column:
+            def spot(value: Column, i: Column) -> Column:
+                start = F.get(p, i) + F.get(m["gap"], i)
+                return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.get(m["size"], i)).alias("end"), value.alias("value"))
+
+            return F.transform(m["value"], spot)
+
+        return let(before(steps, F.lit(0), lambda a, b: a + b), spots)
+
+    found = let(F.struct(whole.alias("whole"), values.alias("value"), gaps.alias("gap")), lambda m: let(F.struct(m["value"].alias("value"), m["gap"].alias("gap"), sizes(m).alias("size")), placed))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPOTS))
 
 
 def window_entropy(value: Column, width: int = 20) -> Column:
@@ -113,8 +147,9 @@ def find_secrets(
     counts from 0 in the order assign, access, hex, entropy, and ``base`` holds the first three. An entropy span is a
     string of 20 or more of ``ALPHABET``, or what base spans leave of one, that no ``allowed`` pattern fits and one of
     whose windows of ``width`` characters reaches the bits of its character class. Marks where a string was cut belong
-    to the span but aren't tested. Null and empty texts have no spans.
-    Repeated rows give repeated rows; columns outside ``keep`` and those named like a result are dropped.
+    to the span but aren't tested. Null and empty texts have no spans. Long texts with many spans cost in proportion.
+    Repeated rows give repeated rows, an empty table an empty one; columns outside ``keep`` and those named like a result
+    are dropped.
     """
     text = F.coalesce(F.col("__t"), F.lit(""))
     kept = [c for c in dict.fromkeys(keep) if c not in ("base", "spans")]
@@ -127,26 +162,6 @@ def find_secrets(
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     rows = rows.select(*[F.col(f"`{c}`") for c in kept], "__t", F.sort_array(F.transform(F.concat(*by_kind), place)).alias("base"))
 
-    def pieces(s: Column) -> Column:
-        """What the base spans leave of a candidate; ``value`` then lacks the marks at its ends."""
-
-        def piece(first: Column, last: Column) -> Column:
-            cut_out = F.substring(s["value"], first - s["start"] + 1, last - first)
-            return F.struct(first.alias("start"), s["kind"].alias("kind"), last.alias("end"), F.regexp_replace(cut_out, r"^[+/_=-]+|[+/_=-]+$", "").alias("value"))
-
-        def step(acc: Column, b: Column) -> Column:
-            found = F.when(b["start"] > acc["at"], F.concat(acc["found"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["found"])
-            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), found.alias("found"))
-
-        def tail(acc: Column) -> Column:
-            return F.when(acc["at"] < s["end"], F.concat(acc["found"], F.array(piece(acc["at"], s["end"])))).otherwise(acc["found"])
-
-        start = F.struct(s["start"].alias("at"), F.array().cast(SPOTS).alias("found"))
-        return let(
-            F.filter(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-            lambda touching: F.when(F.size(touching) == 0, F.array(s)).otherwise(F.filter(F.aggregate(touching, start, step, tail), long_enough(width))),
-        )
-
     def random(s: Column) -> Column:
         v = s["value"]
         least = F.lit(math.inf)
@@ -159,7 +174,12 @@ def find_secrets(
 
     # a candidate must mix letters and digits to matter: texts without such a run are passed over
     mixed = r"[A-Za-z+/_=-][0-9]|[0-9][A-Za-z+/_=-]"
-    found = F.when(text.rlike(mixed), F.filter(F.flatten(F.transform(located(text, CANDIDATE, 0, len(BASE)), pieces)), random)).otherwise(F.array().cast(SPOTS))
+    stripped = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.regexp_replace(s["value"], r"^[+/_=-]+|[+/_=-]+$", "").alias("value"))
+    base = F.col("base")
+    # what base spans leave of a candidate borders on their mask; marks where it was cut aren't tested
+    masked = let(replaced(text, base, MASK, keep_length=True), lambda t: F.concat(located(t, WHOLE, 0, len(BASE)), F.filter(F.transform(located(t, CUT, 0, len(BASE)), stripped), long_enough(width))))
+    every = F.when(F.size(base) > 0, masked).otherwise(located(text, CANDIDATE, 0, len(BASE)))
+    found = F.when(text.rlike(mixed), F.filter(every, random)).otherwise(F.array().cast(SPOTS))
     return rows.select(*[F.col(f"`{c}`") for c in kept], "base", F.sort_array(F.concat("base", F.transform(found, place))).alias("spans"))
 
 
@@ -175,13 +195,28 @@ def secrets_report(found: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataF
     return found.select(*keep, *[count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)], F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span replaced by ``mark``; overlapping spans become one. Null stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+def replaced(text: Column, spans: Column, mark: str, keep_length: bool = False) -> Column:
+    """``text`` with every span (sorted) replaced by ``mark``, or by as many marks as it has characters; overlapping spans
+    are one. The text is cut into characters once, so many spans in a long text cost no more than its length."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("parts"))
+    def of_spans(m: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            # the text since the last span's end, then the mark; a span that begins inside the last one adds what it has more
+            gap = F.array_join(F.slice(m["chars"], F.get(m["reach"], i) + 1, F.greatest(s["start"] - F.get(m["reach"], i), F.lit(0))), "")
+            if keep_length:
+                return F.concat(gap, F.repeat(F.lit(mark), F.greatest(s["end"] - F.greatest(s["start"], F.get(m["reach"], i)), F.lit(0))))
+            return F.when(s["start"] >= F.get(m["reach"], i), F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+        last = F.greatest(F.element_at(m["reach"], -1), F.element_at(m["spans"], -1)["end"])
+        return F.concat(F.array_join(F.transform(m["spans"], piece), ""), F.array_join(F.slice(m["chars"], last + 1, F.size(m["chars"])), ""))
+
+    ends = F.transform(spans, lambda s: s["end"])
+    # a text of n characters is cut by an empty pattern into n pieces and an empty rest
+    chars = F.slice(F.split(text, ""), F.lit(1), F.char_length(text))
+    whole = let(F.struct(spans.alias("spans"), chars.alias("chars"), before(ends, F.lit(0), lambda a, b: F.greatest(a, b)).alias("reach")), of_spans)
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with every span replaced by ``mark``; overlapping spans become one. Null stays null."""
+    return replaced(text, spans, mark)

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -326,7 +327,7 @@ def test_token_count_odd_rows(odd):
 
 def test_phrases_equal_brute_force():
     sample, text = "der hund und die katze", "die hunde und der kater zzz"
-    parser = language_id.Parser([("de", sample)], 1 << 20)
+    parser = language_id.Parser([("de", sample)])
     codes, known = parser.read(text).tolist(), "".join(map(chr, parser.read(sample).tolist()))
     phrases, at = 0, 0
     while at < len(codes):
@@ -336,12 +337,55 @@ def test_phrases_equal_brute_force():
         phrases, at = phrases + 1, at + n
     table, place, steps = parser.tables[0], 0, 1
     for k, c in enumerate(codes):
-        v = int(table[place, c])
+        v = int(table(np.array([place]), np.array([c]))[0])
         steps += (v & 1) if k else 0
         place = v >> 1
     assert steps == phrases
 
 
+def brute_language(samples, text):
+    """Language and score by greedy longest substrings, on the letters themselves."""
+    def read(t):
+        return re.sub(r"\s+", " ", "".join(c.lower() if c.isalpha() else " " for c in t)).lstrip(" ") if t else ""
+
+    known, letters = [(name, read(sample)) for name, sample in samples], read(text)
+    if not letters.strip():
+        return "und", 0.0
+    costs = []
+    for name, sample in known:
+        phrases, at = 0, 0
+        while at < len(letters):
+            n = 1
+            while at + n < len(letters) and letters[at : at + n + 1] in sample:
+                n += 1
+            phrases, at = phrases + 1, at + n
+        costs.append(phrases * math.log2(len(sample) + 2) / len(letters))
+    low = sorted(costs)
+    return known[costs.index(low[0])][0], min(1.0, max(0.0, 1 - low[0] / low[1])) if len(low) > 1 else 1.0
+
+
+@pytest.mark.parametrize("few, dense", [(32, 8_000_000), (0, 8_000_000), (3, 10)])
+def test_languages_equal_brute_force(texts, few, dense, monkeypatch):
+    """Whole parses, texts of very different lengths, by every way of stepping."""
+    samples = [("de", "der hund und die katze sitzen auf dem dach des hauses"), ("en", "the dog and the cat sit on the roof of the house"), ("xx", "zq zq zq")]
+    some = [t[:600] for t in list(texts.values())[:25]] + [next(iter(texts.values())) * 3, "der", "q", "1 2", "", None, "ß🙂ß der hund", "  the cat"]
+    monkeypatch.setattr(language_id, "FEW", few)
+    monkeypatch.setattr(language_id.PhraseTable.__init__, "__defaults__", (dense,))
+    got = language_id.Parser(samples).predict(some)
+    for text, name, score in zip(some, *got):
+        want = brute_language(samples, text)
+        assert name == want[0] and score == pytest.approx(want[1], abs=1e-9), text
+
+
+def test_language_samples_are_whole_texts_by_hash(spark):
+    rows = [(f"text number {i} of this language " * (1 + i % 5), "aa") for i in range(30)] + [("long " * 3000, "aa"), ("only long " * 2000, "bb"), (None, "aa"), ("no language", None)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    got = dict(language_id.sample_languages(frame, letters=500))
+    whole = [p for p in got["aa"].split("\n") if p]
+    assert set(whole) <= {t for t, _ in rows} and len(got["aa"]) >= 500 and len("\n".join(whole[:-1])) < 500 and "long long" not in got["aa"]
+    assert got["bb"] == "\n" + "only long " * 2000 and set(got) == {"aa", "bb"}
+
+
 def test_languages_of_held_out_documents(spark, sf, docs):
     rows = registry.op5_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) == docs.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
@@ -384,6 +428,24 @@ def test_secrets_beside_base_spans_and_allowed_words(spark):
     assert [clean[i] for i in range(len(texts))] == [mark * 2, f"a {mark * 2}!", mark * 3, mark, mark, f"{mark}/{uuid}", texts[6], f"{mark}-short1"]
 
 
+def test_secrets_of_long_texts_cost_in_proportion(spark):
+    """A text of a million characters with 20,000 matches: every span, and a clean text, in reasonable time."""
+    piece = "é0123456789abcdef01234567 𝄞 some words in between them "
+    frame = spark.createDataFrame([(1, piece * 20_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secrets.find_secrets(frame, keep=["text"]).select(F.size("spans").alias("n"), F.element_at("spans", -1)["start"].alias("last"), secrets.redact(F.col("text"), F.col("spans")).alias("t")).first()
+    assert row.n == 20_000 and row.last == len(piece) * 19_999 + 1 and row.t == piece.replace("0123456789abcdef01234567", "[SECRET]") * 20_000
+    assert time.perf_counter() - began < 120
+
+
+def test_folds_over_earlier_elements(spark):
+    rng = random.Random(8)
+    arrays = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 63, 64, 65, 1000)]
+    frame = spark.createDataFrame([(v,) for v in arrays], "v array<int>")
+    for r in frame.select("v", secrets.before(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), secrets.before(F.col("v"), F.lit(0), lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))] and r.m == [max([0, *r.v[:i]]) for i in range(len(r.v))]
+
+
 def test_moving_entropy_equals_every_window(spark):
     rng = random.Random(2)
     values = ["".join(rng.choice(secrets.ALPHABET[: rng.choice((3, 16, 60))]) for _ in range(rng.randint(20, 60))) for _ in range(30)]
