@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; make one only where none is set (tests)."""
+    """Use the folder named in ``spark.checkpoint.dir``; make one only in a local session where none is set (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="headcast-checkpoint-"))
 
 
