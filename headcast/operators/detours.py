@@ -79,7 +79,11 @@ def stop_changes(stops: DataFrame, rows: DataFrame) -> DataFrame:
     An array-membership join: ids are exploded and met by equality, then put together again by stop.
     """
     active = rows.where("state = 1").select(F.upper("id").alias("__id")).distinct()
-    each = stops.select("stpid", F.explode(F.concat(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, c=c: F.struct(F.upper(x).alias("id"), F.lit(c).alias("how"))) for c in ("added", "removed")])).alias("e"))
+
+    def named(column: str) -> Column:
+        return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: F.struct(F.upper(x).alias("id"), F.lit(column).alias("how")))
+
+    each = stops.select("stpid", F.explode(F.concat(named("added"), named("removed"))).alias("e"))
     hit = each.join(active, F.col("e.id") == F.col("__id")).groupBy("stpid").agg(F.bool_or(F.col("e.how") == "added").alias("__a"), F.bool_or(F.col("e.how") == "removed").alias("__r"))
     return stops.join(hit, "stpid", "left").withColumns({"stop_added": F.coalesce("__a", F.lit(False)), "stop_removed": F.coalesce("__r", F.lit(False))}).drop("__a", "__r")
 

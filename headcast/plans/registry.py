@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcast.plans import arrivals, calibration, estimates, lifecycle, predictions, reports
+from headcast.plans import arrivals, calibration, estimates, lifecycle, payloads, predictions, reports
 
-FAMILIES = (calibration, arrivals, predictions, estimates, reports, lifecycle)
+FAMILIES = (calibration, arrivals, predictions, estimates, reports, lifecycle, payloads)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,33 +60,82 @@ def train_positions(payloads: DataFrame, body: str = "body") -> DataFrame:
     trains = routes.select(*keep, F.col("r.`@name`").alias("line"), F.explode(object_or_list(F.col("r.train"), POSITION)).alias("p"))
     return trains.select(
         *keep, "line", F.col("p.rn").alias("run"), F.col("p.nextStaId").try_cast("int").alias("station"), F.col("p.nextStaNm").alias("station_name"), clock(F.col("p.arrT")).alias("arrival_at"), flag(F.col("p.isApp")).alias("approaching"),
-        flag(F.col("p.isDly")).alias("delayed"), F.col("p.lat").try_cast("double").alias("lat"), F.col("p.lon").try_cast("double").alias("lon"), F.col("p.heading").try_cast("double").alias("heading"),
+        clock(F.col("p.prdt")).alias("predicted_at"), F.col("p.trDr").alias("direction_code"), F.col("p.destNm").alias("destination"), flag(F.col("p.isDly")).alias("delayed"), F.col("p.lat").try_cast("double").alias("lat"), F.col("p.lon").try_cast("double").alias("lon"), F.col("p.heading").try_cast("double").alias("heading"),
     ).where("run is not null")
 
 
 def bus_predictions(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Predictions of ``{bustime-response: {prd: [...]}}`` with countdown minutes; within a minute counts as approaching."""
-    item = "STRUCT<tmstmp: STRING, stpid: STRING, vid: STRING, dstp: STRING, rt: STRING, rtdir: STRING, prdtm: STRING, prdctdn: STRING, dly: STRING, dyn: STRING>"
+    """Predictions of ``{bustime-response: {prd: [...]}}`` with countdown minutes; within a minute counts as approaching.
+
+    If the payloads have a ``server_at`` time, the prediction's age and what is left until the arrival are given too.
+    """
+    item = "STRUCT<tmstmp: STRING, typ: STRING, stpid: STRING, stpnm: STRING, vid: STRING, dstp: STRING, rt: STRING, rtdir: STRING, des: STRING, prdtm: STRING, prdctdn: STRING, dly: STRING, dyn: STRING, tatripid: STRING, flagstop: STRING>"
     head = F.from_json(body, "STRUCT<`bustime-response`: STRUCT<prd: STRING>>")["bustime-response"]["prd"]
     keep = [c for c in payloads.columns if c != body]
     rows = payloads.select(*keep, F.explode(object_or_list(head, item)).alias("p"))
     minutes = countdown(F.col("p.prdctdn"))
-    return rows.select(
+    made = rows.select(
         *keep, F.col("p.rt").alias("line"), F.col("p.vid").alias("vehicle"), F.col("p.stpid").alias("stop"), clock(F.col("p.tmstmp")).alias("stamped_at"), clock(F.col("p.prdtm")).alias("arrival_at"), minutes.alias("minutes"),
         (F.coalesce(minutes, F.lit(99.0)) <= 1).alias("approaching"), flag(F.col("p.dly")).alias("delayed"), F.col("p.dstp").try_cast("double").alias("distance_ft"), F.coalesce(F.col("p.dyn").try_cast("int"), F.lit(0)).alias("dyn"),
+        F.col("p.typ").alias("typ"), F.col("p.rtdir").alias("direction"), F.col("p.des").alias("destination"), F.col("p.tatripid").alias("trip"), F.col("p.flagstop").try_cast("int").alias("flagstop"),
     ).where("line is not null and stop is not null")
+    return made.withColumns({"prediction_age_s": _seconds("server_at", "stamped_at"), "eta_s": _seconds("arrival_at", "server_at")}) if "server_at" in keep else made
+
+
+def _seconds(later: str, earlier: str) -> Column:
+    return (F.unix_micros(F.col(later).cast("timestamp")) - F.unix_micros(F.col(earlier).cast("timestamp"))) / 1e6
 
 
 def bus_vehicles(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Vehicle positions of ``{bustime-response: {vehicle: [...]}}`` with pattern and distance along it."""
+    """Vehicle positions of ``{bustime-response: {vehicle: [...]}}`` with pattern and distance along it, and their age if the
+    payloads have a ``server_at`` time."""
     item = "STRUCT<vid: STRING, tmstmp: STRING, lat: STRING, lon: STRING, hdg: STRING, pid: STRING, rt: STRING, pdist: STRING, dly: STRING>"
     head = F.from_json(body, "STRUCT<`bustime-response`: STRUCT<vehicle: STRING>>")["bustime-response"]["vehicle"]
     keep = [c for c in payloads.columns if c != body]
     rows = payloads.select(*keep, F.explode(object_or_list(head, item)).alias("v"))
-    return rows.select(
+    made = rows.select(
         *keep, F.col("v.vid").alias("vehicle"), F.col("v.rt").alias("line"), clock(F.col("v.tmstmp")).alias("stamped_at"), F.col("v.lat").try_cast("double").alias("lat"), F.col("v.lon").try_cast("double").alias("lon"), F.col("v.hdg").try_cast("double").alias("heading"),
         F.col("v.pid").try_cast("int").alias("pid"), F.col("v.pdist").try_cast("double").alias("pdist_ft"), flag(F.col("v.dly")).alias("delayed"),
     ).where("vehicle is not null")
+    return made.withColumn("vehicle_age_s", _seconds("server_at", "stamped_at")) if "server_at" in keep else made
+
+
+def train_follow(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Arrivals of one run, ``{ctatt: {tmst, errCd, eta: [...]}}``, with the order of its stops (``seq`` from 0)."""
+    head = F.from_json(body, "STRUCT<ctatt: STRUCT<tmst: STRING, errCd: STRING, eta: STRING>>")["ctatt"]
+    keep = [c for c in payloads.columns if c != body]
+    rows = payloads.select(*keep, head.alias("h")).where("h.errCd is null or h.errCd = '0'")
+    each = rows.select(*keep, clock(F.col("h.tmst")).alias("server_at"), F.posexplode(object_or_list(F.col("h.eta"), ETA)).alias("seq", "e"))
+    return each.select(
+        *keep, "seq", F.col("e.rn").alias("run"), F.col("e.rt").alias("line"), F.col("e.staId").try_cast("int").alias("station"), clock(F.col("e.arrT")).alias("arrival_at"), flag(F.col("e.isApp")).alias("approaching"), "server_at"
+    ).where("run is not null and station is not null").withColumn("eta_s", _seconds("arrival_at", "server_at"))
+
+
+def bus_routes(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Routes of ``{bustime-response: {routes: [...]}}`` with their name and colour; rows without an id are left out."""
+    head = F.from_json(body, "STRUCT<`bustime-response`: STRUCT<routes: STRING>>")["bustime-response"]["routes"]
+    keep = [c for c in payloads.columns if c != body]
+    rows = payloads.select(*keep, F.explode(object_or_list(head, "STRUCT<rt: STRING, rtnm: STRING, rtclr: STRING, rtdd: STRING>")).alias("r"))
+    return rows.where("trim(r.rt) <> ''").select(*keep, F.trim("r.rt").alias("rt"), F.col("r.rtnm").alias("name"), F.col("r.rtclr").alias("colour"), F.col("r.rtdd").alias("shown_as"))
+
+
+def bus_patterns(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Patterns of ``{bustime-response: {ptr: [...]}}`` with ``points``: of the pattern, and those it had before a detour."""
+    point = "STRUCT<seq: STRING, typ: STRING, stpid: STRING, stpnm: STRING, lat: STRING, lon: STRING, pdist: STRING>"
+    head = F.from_json(body, "STRUCT<`bustime-response`: STRUCT<ptr: STRING>>")["bustime-response"]["ptr"]
+    keep = [c for c in payloads.columns if c != body]
+    rows = payloads.select(*keep, F.explode(object_or_list(head, "STRUCT<pid: STRING, rtdir: STRING, ln: STRING, dtrid: STRING, pt: STRING, dtrpt: STRING>")).alias("p"))
+    marked = lambda name, original: F.transform(object_or_list(F.col(f"p.{name}"), point), lambda x: F.struct(x.alias("x"), F.lit(original).alias("original")))
+    made = rows.select(*keep, F.col("p.pid").try_cast("int").alias("pid"), F.col("p.rtdir").alias("rtdir"), F.col("p.ln").try_cast("double").alias("length_ft"), F.col("p.dtrid").alias("detour"), F.concat(marked("pt", False), marked("dtrpt", True)).alias("points"))
+    return made.where("pid is not null")
+
+
+def bus_pattern_points(patterns: DataFrame) -> DataFrame:
+    """The points of ``bus_patterns``, one row each; points without a place in the order are left out."""
+    each = patterns.select("pid", F.explode("points").alias("p"))
+    value = lambda name, kind: F.col(f"p.x.{name}").try_cast(kind)
+    made = each.select("pid", value("seq", "int").alias("seq"), F.col("p.original").alias("is_original"), F.col("p.x.typ").alias("typ"), F.col("p.x.stpid").alias("stop"), value("lat", "double").alias("lat"), value("lon", "double").alias("lon"), value("pdist", "double").alias("pdist_ft"))
+    return made.where("seq is not null")
 
 
 def bus_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
