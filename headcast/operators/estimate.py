@@ -135,7 +135,8 @@ def bus_estimates(evidence: DataFrame) -> DataFrame:
     )
     more = F.array_compact(F.array(F.when(~F.col("abstain") & (gap <= 75), "FEED_GEOMETRY_AGREE"), F.when(~F.col("abstain") & (gap > 75), "FEED_GEOMETRY_DISAGREE"), F.when(~F.col("abstain") & none, "ARRIVAL_ESTIMATE_ABSTAINED")))
     scored = rows.withColumns({"reliability": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + change)), "arrival_s": F.when(~none, F.greatest(F.lit(0.0), blend)), "reasons": F.array_sort(F.array_union("reasons", more)), "abstain": none})
-    plus = lambda c, f, top=None: F.coalesce(F.greatest(F.lit(0.0), F.col(c) - 30) * f if top is None else F.least(F.lit(top), f * F.col(c)), F.lit(0.0))
+    # unknown evidence widens nothing: greatest and least would pass over a null
+    plus = lambda c, f, top=None: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.col(c) - 30) * f if top is None else F.least(F.lit(top), f * F.col(c))).otherwise(0.0)
     half = (28.0 + 0.12 * F.col("arrival_s") + plus("vehicle_age_s", 0.35) + plus("prediction_age_s", 0.25) + plus("gap_s", 0.35, 180.0) + plus("volatility_s", 0.45, 120.0) + F.when(F.col("detour_active"), 60.0).otherwise(0.0)) * (1 + F.greatest(F.lit(0.0), 0.75 - F.col("reliability")))
     ready = scored.withColumn("half_s", F.greatest(F.lit(25.0), F.least(F.lit(600.0), half)))
     return ready.withColumns({**intervals(F.col("arrival_s"), F.col("half_s")), "display": display_state(F.col("reliability"), F.col("abstain"))})
@@ -146,7 +147,7 @@ def train_estimates(evidence: DataFrame) -> DataFrame:
     judged = judge(evidence, TRAIN_RULES, TRAIN_START)
     at = F.when(~F.col("abstain"), F.when(F.col("follow_s").isNotNull(), 0.7 * F.col("eta_s") + 0.3 * F.col("follow_s")).otherwise(F.col("eta_s")))
     rows = judged.withColumns({"reliability": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))), "arrival_s": at})
-    late = lambda c, f: F.coalesce(F.greatest(F.lit(0.0), F.col(c) - 30) * f, F.lit(0.0))
+    late = lambda c, f: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.col(c) - 30) * f).otherwise(0.0)
     half = (25.0 + 0.10 * F.greatest(F.lit(0.0), F.col("arrival_s")) + late("prediction_age_s", 0.25) + late("position_age_s", 0.20)) * (1 + F.greatest(F.lit(0.0), 0.75 - F.col("reliability")))
     ready = rows.withColumn("half_s", F.greatest(F.lit(20.0), F.least(F.lit(480.0), half)))
     return ready.withColumns({**intervals(F.col("arrival_s"), F.col("half_s")), "display": display_state(F.col("reliability"), F.col("abstain"))})

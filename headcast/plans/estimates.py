@@ -10,11 +10,16 @@ from headcast.operators import arrivals as arr
 from headcast.operators import estimate as op
 from headcast.operators import joins, sinks
 from headcast.operators.joins import seconds_of
+from headcast.plans import arrivals as arrival_plans
 from headcast.plans.arrivals import E, NOW, NOW_COLUMN
 from headcast.sources import proxies
 from headcast.sources.proxies import sql
 
 
+#: Added before rounding to hundredths, so that halves that come out a hair apart go the same way.
+TIE = 1e-7
+
+
 def f13_train_estimates(s: SparkSession, d: str) -> DataFrame:
     """Predictions of the last day before now, with their run's latest position and its latest other prediction."""
     now = seconds_of(NOW_COLUMN())
@@ -52,7 +57,7 @@ def f12_bus_estimates(s: SparkSession, d: str) -> DataFrame:
         {"event_id": "bigint", **op.BUS_EVIDENCE},
     )
     out = op.bus_estimates(evidence)
-    return out.select("event_id", rounded(F.col("reliability"), 4).alias("reliability"), "display", F.array_join("reasons", ",").alias("reasons"), *[rounded(F.col(c), 2).alias(c) for c in ("arrival_s", "low80", "high80", "low95", "high95")])
+    return out.select("event_id", rounded(F.col("reliability"), 4).alias("reliability"), "display", F.array_join("reasons", ",").alias("reasons"), *[rounded(F.col(c) + TIE, 2).alias(c) for c in ("arrival_s", "low80", "high80", "low95", "high95")])
 
 
 QUERIES = {f.__name__: f for f in (f12_bus_estimates, f13_train_estimates)}
@@ -67,7 +72,29 @@ def _rule_sql(rules, start: float) -> str:
 
 
 NOW_S = f"epoch(TIMESTAMP '{NOW}')"
+#: The map match is the one of the arrival family: its views, without what goes around them.
+MATCHED = arrival_plans.ORACLE["f6_map_match"].removeprefix("WITH ")
+MATCH_VIEWS, MATCH_BODY = MATCHED[: MATCHED.index("SELECT event_id AS vehicle_row")].rstrip(), MATCHED[MATCHED.index("SELECT event_id AS vehicle_row") :]
+BUS_SCORE = _rule_sql(op.BUS_RULES, op.BUS_START).replace("greatest(0, least(1, ", "(", 1).replace(")) AS rel", ") AS score", 1)
+PLUS = "coalesce(greatest(0, {} - 30) * {}, 0)".format
 ORACLE = {
+    "f12_bus_estimates": f"""WITH {MATCH_VIEWS}, matched AS ({MATCH_BODY.replace("round(pdist1 + t * (pdist2 - pdist1), 3) AS projected", "pdist1 + t * (pdist2 - pdist1) AS projected")}),
+      course AS (SELECT *, list(pdist) OVER (PARTITION BY vid ORDER BY at_s, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM vehicles),
+      evidence AS (SELECT v.event_id, v.event_id % 11 <> 0 AS vehicle_found, v.age_s AS vehicle_age_s, (v.event_id % 200)::DOUBLE AS prediction_age_s, v.event_id % 40 AS dyn, v.event_id % 5 <> 0 AS same_route, (v.event_id % 1500)::DOUBLE AS eta_s,
+        CASE WHEN v.event_id % 2 = 0 THEN 'A' ELSE 'D' END AS typ, CASE WHEN v.event_id % 3 <> 0 THEN 20.0::DOUBLE END AS speed_ftps, s.pdist AS stop_pdist, v.pdist, greatest(0, s.pdist - v.pdist)::DOUBLE AS dstp_ft, v.event_id % 13 = 0 AS delayed, v.event_id % 17 = 0 AS detour_active,
+        m.quality AS map_quality, m.projected, NULL::INTEGER AS flagstop, NULL::BOOLEAN AS stop_removed, NULL::BOOLEAN AS stop_added, NULL::DOUBLE AS distance_stop_m, NULL::VARCHAR AS dstp_trend, NULL::DOUBLE AS volatility_s,
+        CASE WHEN len(c) < 3 THEN 'unknown' WHEN len(list_filter(range(2, len(c) + 1), lambda i: c[i] - c[i - 1] < -1)) > len(list_filter(range(2, len(c) + 1), lambda i: c[i] - c[i - 1] > 1)) THEN 'nonmonotone'
+          WHEN len(list_filter(range(2, len(c) + 1), lambda i: c[i] - c[i - 1] > 1)) = 0 THEN 'stalled' ELSE 'monotone' END AS pdist_trend
+        FROM course v LEFT JOIN (SELECT pid, pdist FROM pattern_points WHERE seq = 3) s ON s.pid = v.pid LEFT JOIN matched m ON m.vehicle_row = v.event_id),
+      judged AS (SELECT *, {BUS_SCORE} FROM evidence),
+      placed AS (SELECT *, abs(eta_s - geo) AS gap FROM (SELECT *, CASE WHEN vehicle_found AND stop_pdist - pdist >= 0 THEN CASE WHEN speed_ftps IS NOT NULL THEN (stop_pdist - pdist) / greatest(speed_ftps, 0.1::DOUBLE) ELSE dstp_ft / 18 END END AS geo FROM judged)),
+      blended AS (SELECT *, CASE WHEN abstain THEN NULL ELSE greatest(0, CASE WHEN gap <= 75 THEN 0.68::DOUBLE * eta_s + 0.32::DOUBLE * geo WHEN gap IS NOT NULL THEN w * eta_s + (1 - w) * geo ELSE coalesce(eta_s, geo) END) END AS t,
+        greatest(0, least(1, score + CASE WHEN abstain THEN 0 WHEN gap <= 75 THEN 0.08::DOUBLE WHEN gap IS NOT NULL THEN -least(0.28::DOUBLE, gap / 600) WHEN vehicle_found THEN -0.02::DOUBLE ELSE -0.06::DOUBLE END)) AS rel
+        FROM (SELECT *, CASE WHEN eta_s <= 90 AND geo > 180 THEN 0.25::DOUBLE WHEN prediction_age_s > 60 THEN 0.35::DOUBLE WHEN speed_ftps IS NULL THEN 0.75::DOUBLE ELSE 0.55::DOUBLE END AS w FROM placed)),
+      ready AS (SELECT *, greatest(25, least(600, (28 + 0.12::DOUBLE * t + {PLUS('vehicle_age_s', '0.35::DOUBLE')} + {PLUS('prediction_age_s', '0.25::DOUBLE')} + CASE WHEN gap IS NOT NULL THEN least(180, 0.35::DOUBLE * gap) ELSE 0 END + CASE WHEN detour_active THEN 60 ELSE 0 END) * (1 + greatest(0, 0.75::DOUBLE - rel)))) AS half,
+        list_sort(list_distinct(list_concat(reasons, CASE WHEN abstain OR gap IS NULL THEN [] WHEN gap <= 75 THEN ['FEED_GEOMETRY_AGREE'] ELSE ['FEED_GEOMETRY_DISAGREE'] END))) AS every FROM blended)
+      SELECT event_id, round(rel, 4) AS reliability, CASE WHEN abstain THEN 'do_not_display' WHEN rel >= 0.82 THEN 'high' WHEN rel >= 0.62 THEN 'medium' WHEN rel >= 0.4 THEN 'low' ELSE 'unreliable' END AS display, array_to_string(every, ',') AS reasons, round(t + {TIE}, 2) AS arrival_s,
+      round(CASE WHEN t IS NOT NULL THEN t - half END + {TIE}, 2) AS low80, round(CASE WHEN t IS NOT NULL THEN t + half END + {TIE}, 2) AS high80, round(CASE WHEN t IS NOT NULL THEN t - 2.05::DOUBLE * half END + {TIE}, 2) AS low95, round(CASE WHEN t IS NOT NULL THEN t + 2.05::DOUBLE * half END + {TIE}, 2) AS high95 FROM ready""",
     "f13_train_estimates": sql(
         """SELECT event_id, round(rel, 4) AS reliability, CASE WHEN abstain THEN 'do_not_display' WHEN rel >= 0.82 THEN 'high' WHEN rel >= 0.62 THEN 'medium' WHEN rel >= 0.4 THEN 'low' ELSE 'unreliable' END AS display, array_to_string(reasons, ',') AS reasons,
         round(t, 2) AS arrival_s, round(t - h, 2) AS low80, round(t + h, 2) AS high80, round(t - 2.05::DOUBLE * h, 2) AS low95, round(t + 2.05::DOUBLE * h, 2) AS high95 FROM (SELECT *, greatest(20, least(480, (25.0::DOUBLE + 0.1::DOUBLE * greatest(0, t)
