@@ -192,22 +192,21 @@ def mcd_estimates(rows: DataFrame, key: Sequence[str], rule: OutlierRule, few: b
     rows = rows.withColumn("s", F.explode(F.array(*[F.lit(s) for s in range(3)])))
     scale, whole = consistency(rule.support), [*key, "s"]
 
-    def dec(e: Column) -> Column:
-        return F.sum(e.cast("decimal(20,0)"))
-
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    products = [F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in pairs]
+    sums = [f"s{i}" for i in range(p)] + [f"s{i}{j}" for i, j in pairs]
     for _ in range(rule.steps):
-        placed = with_distance(rows, now, whole, X, few).withColumn("bin", F.floor(F.least(F.log1p("d2"), F.lit(60.0)) * 256).cast("long"))
-        near = _quantile_bins(placed, whole, "bin", (rule.support,)).select(*whole, "q0", "n")
-        sums = placed.join(F.broadcast(near) if few else near, whole).where(F.col("bin") <= F.col("q0")).groupBy(*whole).agg(
-            F.max("n").alias("n"), F.count("*").alias("k"), *[dec(F.col(c)).alias(f"s{i}") for i, c in enumerate(X)],
-            *[dec(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)],
-        )
+        placed = with_distance(rows, now, whole, X, few, ["sig"]).withColumn("bin", F.floor(F.least(F.log1p("d2"), F.lit(60.0)) * 256).cast("long"))
+        # one pass: sums by distance bin, ahead of the exchange; then the bins of the nearest share are added up
+        binned = placed.groupBy(*whole, "bin").agg(F.max("sig").alias("before"), F.count("*").alias("k"), *products)
+        upto, group = Window.partitionBy(*whole).orderBy("bin"), Window.partitionBy(*whole)
+        near = binned.withColumn("n", F.sum("k").over(group)).withColumn("below", F.sum("k").over(upto) - F.col("k")).where(F.col("below") < F.ceil(F.col("n") * rule.support))
+        added = near.groupBy(*whole).agg(F.max("before").alias("before"), F.max("n").alias("n"), F.sum("k").alias("k"), *[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in sums])
         mean = [F.col(f"s{i}").cast("double") / F.col("k") for i in range(p)]
-        spread = {(i, j): F.col(f"s{i}{j}").cast("double") / F.col("k") - mean[i] * mean[j] for i in range(p) for j in range(i + 1)}
-        sig = F.xxhash64("k", *[f"s{i}" for i in range(p)], *[f"s{i}{j}" for i, j in spread])
-        then = now
-        now = cut(sums.select(*whole, "n", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(v * scale + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in spread.items()], sig.alias("sig")))
-        if now.join(then.select(*whole, F.col("sig").alias("before")), whole).where("sig <> before").isEmpty():
+        spread = {(i, j): F.col(f"s{i}{j}").cast("double") / F.col("k") - mean[i] * mean[j] for i, j in pairs}
+        sig = F.xxhash64("k", *sums)
+        now = cut(added.select(*whole, "n", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(v * scale + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in spread.items()], sig.alias("sig"), (sig != F.col("before")).alias("moved")))
+        if now.where("moved").isEmpty():
             break
     made, _ = distance([F.lit(0.0)] * p, [F.lit(0.0)] * p, [[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(p)] for i in range(p)])
     scored = _with(now, [(name, value) for name, value in made if not name.startswith("__z")])
@@ -235,13 +234,13 @@ GROUP = ["g_lang", "g_source"]
 X = ["x0", "x1", "x2", "x3"]
 
 
-def with_distance(rows: DataFrame, estimates: DataFrame, group: Sequence[str], x: Sequence[str], few: bool) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance from their group's estimate."""
+def with_distance(rows: DataFrame, estimates: DataFrame, group: Sequence[str], x: Sequence[str], few: bool, more: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``d2``, the squared Mahalanobis distance from their group's estimate, and ``more`` columns of that."""
     p = len(x)
-    e = estimates.select(*group, *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i in range(p) for j in range(i + 1)])
+    e = estimates.select(*group, *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i in range(p) for j in range(i + 1)], *more)
     joined = rows.join(F.broadcast(e) if few else e, list(group), "left")
     made, total = distance([F.col(c) for c in x], [F.col(f"m{i}") for i in range(p)], [[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(p)] for i in range(p)])
-    return _with(joined, made).withColumn("d2", total).select(*rows.columns, "d2")
+    return _with(joined, made).withColumn("d2", total).select(*rows.columns, *more, "d2")
 
 
 def measured(df: DataFrame, text_col: str, lang_col: str, source_col: str, keep: Sequence[str]) -> DataFrame:

@@ -83,7 +83,7 @@ def link(prints: DataFrame, radius: int = 4, fp_col: str = "fp", crowd: int = 32
     """Edges ``a``, ``b`` that connect exactly what pairs of different fingerprints within ``radius`` bits connect.
 
     ``prints`` holds each fingerprint once. Table keys are dealt out and sorted; a task walks the runs of equal keys
-    and emits a spanning forest of each run's links, never all pairs. A run of over ``crowd`` fingerprints isn't
+    and emits a spanning forest of each run's links (each of them within the radius), never all pairs. A run of over ``crowd`` fingerprints isn't
     compared: its members go the exact other way, where each emits all fingerprints within half the radius of itself,
     and those that share one of these are within the radius of each other. That costs a fixed number of rows per
     fingerprint however large the crowd, and its groups are streamed.
@@ -161,12 +161,13 @@ def _links(prints: np.ndarray, bounds: np.ndarray, radius: int, crowd: int) -> l
             continue
         left = members
         while len(left):
-            root, left, queue = left[0], left[1:], [left[0]]
+            left, queue = left[1:], [left[0]]
             while queue and len(left):
-                near = np.bitwise_count(left ^ queue.pop()) <= radius
+                at = queue.pop()
+                near = np.bitwise_count(left ^ at) <= radius
                 if near.any():
                     reached = left[near]
-                    out.append(np.stack([np.full(len(reached), root), reached, np.zeros(len(reached), np.uint64)], axis=1))
+                    out.append(np.stack([np.full(len(reached), at), reached, np.zeros(len(reached), np.uint64)], axis=1))
                     left = left[~near]
                     queue.extend(reached)
     return out
@@ -210,6 +211,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     parts = connected_components(link(classes.select("fp"), radius, crowd=crowd)).select(F.col("node").alias("fp"), "root")
     rooted = cut(classes.join(parts, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.where("root <> fp").select("root").distinct().join(rooted, "root").groupBy("root").agg(F.min("least").alias("of_root"))
-    ids = rooted.join(least, "root", "left").select("fp", F.when(F.col("of_root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("component_id"))
+    # minima are aggregated ahead of the exchange; the join that hands them back carries narrow rows, split if a root is hot
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from headcast.llm import bpe, quality_rules, registry, secrets, simhash
+from headcast.llm import bpe, quality_rules, registry, secrets, simhash, similar
 
 
 def alike(x: str, y: str, size: int = 5) -> bool:
@@ -166,3 +166,24 @@ def test_texts_alike_are_one_and_shared_ids_are_not(spark, seed):
     docs = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
     got = {(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
     assert got == {(i, t) for i, t in enumerate(texts) if group[i] == i} | {(2, "another text under a known id"), (1, "a further text of a dropped id")}
+
+
+def test_a_large_group_of_edited_copies_is_one_without_meeting_in_pairs(spark, monkeypatch):
+    """A text and 300 copies with a word changed, and 300 copies of another text that isn't there itself."""
+    rng, texts = random.Random(9), []
+    for k in range(2):
+        base = [f"w{k}x{rng.randrange(10_000)}" for _ in range(60)]
+        texts += [" ".join(base)] if not k else []
+        for _ in range(300):
+            changed = list(base)
+            changed[rng.randrange(60)] = f"y{rng.randrange(10**9)}"
+            texts.append(" ".join(changed))
+    asked = []
+    alike_of = similar.alike
+    monkeypatch.setattr(similar, "alike", lambda pairs, *rest: asked.append(pairs.count()) or alike_of(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = groups_of(texts)
+    got = {r.doc_id: r.root for r in similar.grouped(docs).collect()}
+    linked = sum(1 for i in range(len(texts)) if got[i] == got[group[i]])
+    assert linked >= 0.97 * len(texts) and len(set(group)) == 2 and sum(asked) < 40 * len(texts)
+    assert all(group[i] == group[j] for i in range(0, len(texts), 7) for j in range(0, len(texts), 11) if got[i] == got[j])
