@@ -8,8 +8,8 @@ its (state, word) places.
 
 Words with at least a share ``1 / words_bound`` of all tokens, and pairs with at least ``1 / pairs_bound`` (both at most
 so many, whatever the data), are broadcast. A place whose arc isn't there takes the failure arc, and is also sent to
-the shard of its pair (or of its word, if that isn't broadcast): there all occurrences of the pair meet, training ones are
-counted, and what the arc adds is handed back to the text. So the model grows with the corpus, no group in a shard holds
+the shard of its pair (or of its word, if that isn't broadcast), packed into parcels: there all occurrences of the pair meet,
+training ones are counted, and what the arc adds is handed back to the text. So the model grows with the corpus, no group in a shard holds
 more than the stated shares of all tokens, and the bounds change where something is looked up, never a score.
 """
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,8 +136,8 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-#: How a word that isn't broadcast is marked where a broadcast one has its count: any word, or the end token.
-RARE, RARE_END = -1, -2
+#: Ids of words take up to this many bits: ``words_bound`` must stay below.
+ID_BITS = 24
 
 
 class Automaton:
@@ -146,32 +146,34 @@ class Automaton:
     def __init__(self, tables: Tables):
         self.ids = {w: i for i, w in enumerate(tables.words)}
         n, mass = tables.counts, tables.mass
-        self.counts, self.log_mass = n, math.log10(mass)
-        with np.errstate(divide="ignore"):
-            self.root = np.log10((n + ADDED) / tables.norm)
+        self.log_mass = math.log10(mass)
+        self.root = np.log10((n + ADDED) / tables.norm)
         self.left = -np.log10(n + mass)  # of a context: what each step out of it is divided by
         self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in tables.words], dtype=np.uint64)
         self.codes = tables.codes
         context, word = tables.codes >> 32, tables.codes & 0xFFFFFFFF
         self.arcs = np.log10(tables.pairs + mass * 10 ** self.root[word]) + self.left[context] if len(tables.codes) else np.zeros(0)
 
-    def traverse(self, texts: Sequence[bytes | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Per text: tokens, tokens with a state, base score of these, score so far. And what goes to the shards:
-        text, shard key, subkey (the context's hash, 0 at a text's begin), count of the word (or ``RARE``), times."""
+    def traverse(self, texts: Sequence[bytes | None]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, ...]]]:
+        """Per text: tokens, tokens with a state, base score of these, score so far. And the places for the shards, of three
+        kinds: pairs of two words with a state (text, code), pairs whose context has none (text, pair's hash, word),
+        and words without (text, word's hash, context's hash or 0 at a text's begin, whether it is the end token)."""
         lists = [tokens_of(t) for t in texts]
         sizes = np.array([len(x) for x in lists], dtype=np.int64)
         words = [w for x in lists for w in x]
         get = self.ids.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         text = np.repeat(np.arange(len(texts)), sizes)
-        first = np.zeros(len(ids), dtype=bool)
-        first[np.cumsum(sizes) - sizes] = True
+        ends = np.cumsum(sizes)
+        first, last = np.zeros(len(ids), dtype=bool), np.zeros(len(ids), dtype=bool)
+        first[ends - sizes], last[ends - 1] = True, True
         known, at = ids >= 0, np.maximum(ids, 0)
         plain = np.where(known, self.root[at], 0.0) if len(self.root) else np.zeros(len(ids))
         hashes = self.hashes[at] if len(self.hashes) else np.zeros(len(ids), dtype=np.uint64)
         for i in np.flatnonzero(~known).tolist():
             hashes[i] = xxhash.xxh64_intdigest(words[i])
         before, before_known = np.concatenate([[0], at[:-1]]), np.concatenate([[False], known[:-1]]) & ~first
+        prior = np.where(first, np.uint64(0), np.concatenate([[np.uint64(0)], hashes[:-1]]) | np.uint64(1))
         score = plain.copy()
         # an arc, else the failure arc and the start's arc
         code = before << 32 | at
@@ -181,25 +183,14 @@ class Automaton:
         score[known & ~first & ~arc] += self.log_mass
         away = before_known & ~arc
         score[away] += self.left[before[away]]
-        open_places = np.flatnonzero((known & ~first & ~arc) | ~known)
-        own, prior = hashes[open_places], np.where(first[open_places], np.uint64(0), np.concatenate([[np.uint64(0)], hashes[:-1]])[open_places] | np.uint64(1))
-        has = known[open_places]
-        key = np.where(has, mixed(prior, own), own)
-        sub = np.where(has, np.uint64(0), prior)
-        mark = np.where(has, self.counts[at[open_places]] if len(self.counts) else 0, RARE)
-        last = np.zeros(len(ids), dtype=bool)
-        last[np.cumsum(sizes) - 1] = True
-        mark[~has & last[open_places]] = RARE_END
-        order = np.lexsort((sub, key, text[open_places]))
-        rows = [c[order] for c in (text[open_places], key, sub, mark)]
-        if len(order):
-            new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])])
-            starts = np.flatnonzero(new)
-            rows = [c[starts] for c in rows] + [np.diff(np.append(starts, len(order)))]
-        else:
-            rows.append(np.zeros(0, dtype=np.int64))
+        both = known & before_known & ~arc
+        half = known & ~first & ~before_known
+        rare = ~known
+        places = [
+            (text[both], (before[both] << ID_BITS | at[both]).astype(np.uint64)), (text[half], mixed(prior[half], hashes[half]), at[half]), (text[rare], hashes[rare], prior[rare], last[rare]),
+        ]
         total = lambda values: np.bincount(text, weights=values, minlength=len(texts))
-        return [sizes, total(known).astype(np.int64), total(plain), total(score)], rows
+        return [sizes, total(known).astype(np.int64), total(plain), total(score)], places
 
 
 _AUTOMATA: dict[str, Automaton] = {}
@@ -213,8 +204,90 @@ def automaton_of(tables: Tables) -> Automaton:
     return _AUTOMATA[tables.key]
 
 
+#: Bytes of each column of the three kinds of places; a text's place in its parcel comes first, with the fold in its top bit.
+WIDTHS = ((2, 2 * ID_BITS // 8), (2, 8, ID_BITS // 8), (2, 8, 8, 1))
+MOST_TEXTS = 1 << 15
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, byte by byte of all of them: equal high bytes then lie together."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def packed_places(places: list[tuple[np.ndarray, ...]], held: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """Parcels of places by shard."""
+    sorted_kinds = []
+    for kind in places:
+        text = kind[0].astype(np.uint64) | held[kind[0]].astype(np.uint64) << np.uint64(15)
+        columns = [text, *(c.astype(np.uint64) for c in kind[1:])]
+        shard = mixed(columns[1], np.uint64(17) * np.ones(len(text), dtype=np.uint64)) % np.uint64(shards)
+        order = np.lexsort((columns[1], shard))
+        shard = shard[order]
+        sorted_kinds.append(([c[order] for c in columns], np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))))
+    out = []
+    for k in range(shards):
+        sizes = [int(bounds[k + 1] - bounds[k]) for _, bounds in sorted_kinds]
+        if any(sizes):
+            parts = [np.array(sizes, dtype="<u4").tobytes()]
+            parts += [planes(c[bounds[k] : bounds[k + 1]], w) for (columns, bounds), widths in zip(sorted_kinds, WIDTHS) for c, w in zip(columns, widths)]
+            out.append((k, b"".join(parts)))
+    return out
+
+
+def settle(parcels: list[tuple[int, bytes]], tables: Tables) -> tuple[np.ndarray, ...]:
+    """What all places of one shard add to their texts: row, score, base score, known tokens; one row per text.
+
+    ``parcels``: number of the parcel's first text, packed places.
+    """
+    kinds: list[list[list[np.ndarray]]] = [[], [], []]
+    for number, data in parcels:
+        view = memoryview(data)
+        sizes, at = np.frombuffer(view[:12], dtype="<u4").tolist(), 12
+        for kind, (n, widths) in enumerate(zip(sizes, WIDTHS)):
+            columns = []
+            for width in widths:
+                columns.append(from_planes(view[at : at + n * width], n, width))
+                at += n * width
+            learnt = columns[0] >> np.uint64(15) == 0
+            row = (columns[0] & np.uint64(MOST_TEXTS - 1)).astype(np.int64) + number
+            kinds[kind].append([row, learnt, *columns[1:]])
+    both, half, rare = ([np.concatenate(c) for c in zip(*kind)] for kind in kinds)
+    mass, norm = tables.mass, tables.norm
+
+    def seen(keys: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+        _, place = np.unique(keys, return_inverse=True)
+        return np.bincount(place, weights=learnt)[place]
+
+    rows, scores, bases, known = [], [], [], []
+    for (row, learnt, key), word in ((both, (both[2] & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)), (half[:3], half[3].astype(np.int64))):
+        if len(row):
+            p = (tables.counts[word] + ADDED) / norm
+            rows.append(row)
+            scores.append(np.log10(1 + seen(key, learnt) / (mass * p)))
+            bases.append(np.zeros(len(row)))
+            known.append(np.zeros(len(row)))
+    row, learnt, word, context, end = rare
+    if len(row):
+        n = seen(word, learnt)
+        p, pair = (n + ADDED) / norm, seen(mixed(context, word), learnt)
+        rows.append(row)
+        scores.append(np.where(context == 0, np.log10(p), np.log10(pair + mass * p)) - np.where(end == 0, np.log10(n + mass), 0.0))
+        bases.append(np.log10(p))
+        known.append(n > 0)
+    row, place = np.unique(np.concatenate(rows), return_inverse=True)
+    total = lambda parts: np.bincount(place, weights=np.concatenate(parts))
+    return row, total(scores), total(bases), total(known).astype(np.int64)
+
+
 def score_documents(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, words_bound: int = 1_000_000, pairs_bound: int = 50_000, mass: float = 40.0, slice_rows: int = 200
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, words_bound: int = 1_000_000, pairs_bound: int = 50_000, mass: float = 40.0,
+    parcel_bytes: int = 1_500_000, shard_tokens: int = 1_000_000,
 ) -> DataFrame:
     """Score every whole text with a model of the texts outside the held-out fold.
 
@@ -224,48 +297,74 @@ def score_documents(
     in one end token, so a null or empty one has that token alone. Without training texts all probabilities are one.
     Repeated rows give repeated rows, an empty table an empty one; other columns are dropped, whatever their names.
     ``df`` is to be a stored table: its rows are numbered as they are read, and read again if an executor is lost.
+
+    Places travel in parcels, packed, from texts of about ``parcel_bytes`` to a shard; there are enough shards that one
+    has about ``shard_tokens`` places, which is what a task holds at a time.
     """
     small_batches(df)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("t"), F.coalesce(remainder(id_col, fold) == 0, F.lit(False)).alias("held_out"))
     tables = train_tables(rows.where(~F.col("held_out")).select("t"), words_bound, pairs_bound, mass)
     shared = df.sparkSession.sparkContext.broadcast(tables)
-    # one row per text (times 0; sub holds both counts, mark the fold) and one per place for a shard (held out: times below 0)
+    shards = 1 + tables.total // shard_tokens
+    # a row per text (shard from its number), and rows with a parcel and the number of its first text
     numbered = rows.select("id", F.monotonically_increasing_id().alias("row"), "held_out", "t")
-    schema = T.StructType([numbered.schema["id"], *(T.StructField(n, t) for n, t in (
-        ("row", T.LongType()), ("key", T.LongType()), ("sub", T.LongType()), ("mark", T.LongType()), ("times", T.IntegerType()), ("base", T.DoubleType()), ("score", T.DoubleType())
-    ))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = (("row", T.LongType()), ("shard", T.IntegerType()), ("parcel", T.BinaryType()), ("held_out", T.IntegerType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+    schema = T.StructType([numbered.schema["id"], *(T.StructField(n, t) for n, t in fields)])
+    sent_names = schema.names
+    settled_schema = T.StructType([f for f in schema if f.name not in ("shard", "parcel")])
+    settled_names = settled_schema.names
+
+    def runs(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+        """Stretches of a batch of about ``parcel_bytes``; a longer text is one by itself."""
+        begin = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or b"") + 8
+            if size > parcel_bytes or i + 1 - begin >= MOST_TEXTS:
+                yield begin, i + 1
+                begin, size = i + 1, 0
+        if begin < len(texts):
+            yield begin, len(texts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_of(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(at, slice_rows)
-                number, held = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-                (sizes, known, base, score), (text, key, sub, mark, times) = automaton.traverse(batch.column(3).to_pylist())
-                more = len(text)
-                ints = [(number, number[text]), (number, key.view(np.int64)), (sizes << 32 | known, sub.view(np.int64)), (held.astype(np.int64), mark)]
-                columns = [pa.concat_arrays([batch.column(0), pa.nulls(more, batch.column(0).type)]), *(pa.array(np.concatenate(c)) for c in ints)]
-                columns.append(pa.array(np.concatenate([np.zeros(len(number), np.int32), np.where(held[text], -times, times).astype(np.int32)])))
-                columns += [pa.concat_arrays([pa.array(c, pa.float64()), pa.nulls(more, pa.float64())]) for c in (base, score)]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    learnt, norm = F.greatest("times", F.lit(0)), tables.norm
-    places = numbered.mapInArrow(run, schema).repartition("key")
-    met = places.withColumns({"pair": F.sum(learnt).over(Window.partitionBy("key", "sub")), "word": F.sum(learnt).over(Window.partitionBy("key"))})
-    whole, rare = F.col("times") == 0, F.col("mark") < 0
-    n = F.when(rare, F.col("word")).otherwise(F.col("mark"))
-    p, times = (n + ADDED) / norm, F.abs("times")
-    # what an arc adds to the failure arc and the start's arc; all that a word without a state costs
-    gain = F.log10(1 + F.col("pair") / (mass * p))
-    step = F.when(F.col("sub") == 0, F.log10(p)).otherwise(F.log10(F.col("pair") + mass * p)) - F.when(F.col("mark") == RARE, F.log10(n + mass)).otherwise(0.0)
-    counts = F.when(whole, F.col("sub"))
-    by = met.groupBy("row").agg(
-        F.max("id").alias("id"), F.max(F.when(whole, F.col("mark"))).alias("held_out"), F.max(counts).alias("counts"),
-        F.sum(F.when(~whole & rare & (n > 0), times).otherwise(0)).alias("known"),
-        F.sum(F.when(whole, F.col("base")).when(rare, times * F.log10(p)).otherwise(0.0)).alias("base_score"),
-        F.sum(F.when(whole, F.col("score")).when(rare, times * step).otherwise(times * gain)).alias("score"),
-    )
-    return by.select(
-        F.col("id").alias(id_col), (F.col("held_out") == 1).alias("held_out"), F.shiftright("counts", 32).alias("n_tokens"),
-        (F.col("counts").bitwiseAND(F.lit(0xFFFFFFFF)) + F.col("known")).alias("n_known"), F.lit(tables.total).cast("long").alias("train_tokens"), "base_score", "score",
+        for batch in batches:
+            texts, number = batch.column(3).to_pylist(), batch.column(1).to_numpy()
+            held = batch.column(2).to_numpy(zero_copy_only=False)
+            for begin, end in runs(texts):
+                (sizes, known, base, score), places = automaton.traverse(texts[begin:end])
+                parcels = packed_places(places, held[begin:end], shards)
+                n, more = end - begin, len(parcels)
+                none = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(more, kind)])
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([batch.column(0).slice(begin, n), pa.nulls(more, batch.column(0).type)]), pa.array(np.concatenate([number[begin:end], np.full(more, number[begin])])),
+                    pa.array(np.concatenate([number[begin:end] % shards, np.array([k for k, _ in parcels], dtype=np.int64)]).astype(np.int32)), pa.array([None] * n + [p for _, p in parcels], pa.binary()),
+                    none(held[begin:end].astype(np.int32), pa.int32()), none(sizes, pa.int64()), none(known, pa.int64()), none(base, pa.float64()), none(score, pa.float64()),
+                ], names=sent_names)
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, shard, parcels = shared.value, None, []
+
+        def out() -> pa.RecordBatch:
+            row, score, base, known = settle(parcels, tables)
+            columns = {"row": pa.array(row), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)}
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(row), t)) for f, t in zip(settled_schema, kinds)], names=settled_names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(n).type for n in settled_names]
+            own = batch.filter(batch.column("parcel").is_null())
+            yield pa.RecordBatch.from_arrays([own.column(n) for n in settled_names], names=settled_names)
+            some = batch.filter(batch.column("parcel").is_valid())
+            for k, number, parcel in zip(some.column("shard").to_pylist(), some.column("row").to_pylist(), some.column("parcel").to_pylist()):
+                if k != shard and parcels:
+                    yield out()
+                    parcels = []
+                shard = k
+                parcels.append((number, parcel))
+        if parcels:
+            yield out()
+
+    sent = numbered.mapInArrow(send, schema).repartition("shard").sortWithinPartitions("shard")
+    by = sent.mapInArrow(receive, settled_schema).groupBy("row").agg(
+        F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
     )
+    return by.select(F.col("id").alias(id_col), (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(tables.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -514,7 +514,7 @@ def brute_scores(texts, mass=40.0):
     return out
 
 
-@pytest.mark.parametrize("bounds", [{}, {"words_bound": 200, "pairs_bound": 100}, {"words_bound": 3, "pairs_bound": 2}])
+@pytest.mark.parametrize("bounds", [{}, {"words_bound": 200, "pairs_bound": 100, "shard_tokens": 5000, "parcel_bytes": 3000}, {"words_bound": 3, "pairs_bound": 2, "shard_tokens": 20_000}])
 def test_lm_scores_equal_brute_force_whatever_is_broadcast(docs, texts, bounds):
     ids = sorted(texts)
     want = dict(zip(ids, brute_scores([(i, texts[i]) for i in ids])))
