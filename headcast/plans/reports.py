@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headcast.functions import guards
 from headcast.functions.scores import rounded
 from headcast.operators import calibration, estimate
 from headcast.operators.joins import band_join, newest_set, seconds_of
+from headcast.plans import estimates
 from headcast.plans.arrivals import E, NOW, NOW_COLUMN
 from headcast.plans.calibration import HOD, scored
 from headcast.sources import proxies
@@ -130,13 +132,47 @@ def st15_active_set(s: SparkSession, d: str) -> DataFrame:
     return newest_set(rows, ["line"], "hour").select("line", "run", "station", "event_id")
 
 
+def p_guards(s: SparkSession, d: str) -> DataFrame:
+    """How many rows of each line pass the guards that unknown values need."""
+    k = F.col("event_id")
+    rows = proxies.arrivals(s, d).select(
+        "line", F.when(k % 3 != 0, F.col("fault")).alias("fault"), F.when(k % 4 != 0, F.upper("direction_code")).alias("way"), F.when(k % 5 != 0, F.lit("x")).alias("a"), F.when(k % 7 != 0, F.lit("x")).otherwise(F.lit("")).alias("b"),
+        F.when(k % 11 == 0, F.lit(float("nan"))).when(k % 13 == 0, F.lit(float("inf"))).when(k % 17 != 0, k.cast("double")).alias("n"),
+        (k % 9 - 4).cast("double").alias("u"), (k % 7 - 3).cast("double").alias("v"),
+    )
+    zero, one = F.lit(0.0), F.lit(1.0)
+    conditions = {
+        "optional": guards.optional(F.col("way"), None) & guards.optional(F.col("a"), "x"), "same": guards.same_or_empty(F.col("a"), F.col("b")), "no_fault": guards.known_false(F.col("fault")),
+        "towards": guards.towards(F.col("way"), "North"), "anywhere": guards.towards(F.col("way"), ""), "finite": guards.finite(F.col("n")), "heads": guards.heads_for(zero, zero, F.col("u"), F.col("v"), one, one),
+    }
+    return rows.groupBy("line").agg(*[F.count_if(c).alias(f"n_{name}") for name, c in conditions.items()])
+
+
+def t5_best_estimates(s: SparkSession, d: str) -> DataFrame:
+    """The first thirty train estimates: known arrivals first, the earliest ahead, then the more reliable."""
+    from headcast.plans.estimates import f13_train_estimates
+
+    rows = f13_train_estimates(s, d).select("event_id", "arrival_s", "reliability")
+    return rows.orderBy(F.col("arrival_s").asc_nulls_last(), F.col("reliability").desc(), "event_id").limit(30)
+
+
+def t8_top_buckets(s: SparkSession, d: str) -> DataFrame:
+    """The ten fullest buckets of line, direction and hour."""
+    return scored(s, d).groupBy("line", "direction_code", F.hour("leave_at").alias("hod")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "line", "direction_code", "hod").limit(10)
+
+
 FAMILY = (
-    g20_audit_summary, g22_candidate_groups, g34_labels, g36_speeds, g38_empirical, g40_versions, g42_corridors_served, g43_active_runs, f22_active_versions, f38_residuals, f41_coverage_delta, f45_sources, a39_vehicles_near, a41_follow_next,
+    p_guards, t5_best_estimates, t8_top_buckets, g20_audit_summary, g22_candidate_groups, g34_labels, g36_speeds, g38_empirical, g40_versions, g42_corridors_served, g43_active_runs, f22_active_versions, f38_residuals, f41_coverage_delta, f45_sources, a39_vehicles_near, a41_follow_next,
     j16_observations, w7_trends, st14_first_completed, st15_active_set,
 )
 QUERIES = {f.__name__: f for f in FAMILY}
 
 ORACLE = {
+    "p_guards": sql("""SELECT line, count(*) FILTER (WHERE a = 'x') AS n_optional, count(*) FILTER (WHERE coalesce(a, '') = coalesce(b, '')) AS n_same, count(*) FILTER (WHERE NOT coalesce(fault, false)) AS n_no_fault, count(*) FILTER (WHERE lower(way) = 'north') AS n_towards,
+      count(*) AS n_anywhere, count(*) FILTER (WHERE n IS NOT NULL AND isfinite(n)) AS n_finite, count(*) FILTER (WHERE u + v > 0) AS n_heads FROM (SELECT line, CASE WHEN event_id % 3 <> 0 THEN fault END AS fault, CASE WHEN event_id % 4 <> 0 THEN upper(direction_code) END AS way,
+      CASE WHEN event_id % 5 <> 0 THEN 'x' END AS a, CASE WHEN event_id % 7 <> 0 THEN 'x' ELSE '' END AS b, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE WHEN event_id % 13 = 0 THEN 'inf'::DOUBLE WHEN event_id % 17 <> 0 THEN event_id END AS n, event_id % 9 - 4 AS u, event_id % 7 - 3 AS v FROM arrivals) GROUP BY line""", "arrivals"),
+    "t5_best_estimates": "SELECT event_id, arrival_s, reliability FROM (" + estimates.ORACLE["f13_train_estimates"] + ") ORDER BY arrival_s NULLS LAST, reliability DESC, event_id LIMIT 30",
+    "t8_top_buckets": sql("SELECT line, direction_code, CAST(extract(hour FROM leave_at) AS INTEGER) AS hod, count(*) AS n FROM scored GROUP BY ALL ORDER BY n DESC, line, direction_code, hod LIMIT 10", "scored"),
     "g20_audit_summary": sql(f"""SELECT line, count(*) AS n, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(m / c::DOUBLE), 6) AS precision FROM (SELECT r.request_id, r.line, count(*) AS c,
       count(*) FILTER (WHERE a.direction_code = CASE WHEN r.alight >= r.board THEN 'north' ELSE 'south' END) AS m FROM trip_requests r JOIN arrivals a ON a.line = r.line AND a.station = r.board AND NOT a.fault AND {E('a.arrival_at')} - {E('r.leave_at')} BETWEEN 0 AND 86400
       GROUP BY ALL) GROUP BY line HAVING count(*) >= 5""", "arrivals", "trip_requests"),
