@@ -613,3 +613,91 @@ def test_quality_lm_odd_rows(spark, odd):
     rows = quality_lm.classify(odd, labels).collect()
     assert len(rows) == len(ODD) and all(not r.kept and r.perplexity is None for r in rows if r.doc_id in (1, 2, 3))
     assert quality_lm.classify(odd.limit(0), labels.limit(0)).count() == 0
+
+
+# awkward rows of the others
+
+
+def test_url_odd_rows(spark):
+    urls = [(1, "http://a.com/en/" + "x" * 200_000), (1, "http://a.com/en/" + "x" * 200_000), (2, None), (None, "http://b.org/es/")]
+    frame = spark.createDataFrame([(i, u, "h", "p", "r", 5) for i, u in urls], "page_id long, url string, host string, path string, rule string, verdict int")
+    rows = url_filter.judge_urls(frame, registry.URL_RULES, registry.URL_GLOBS).collect()
+    assert sorted((r.page_id or 0, r.rule or "", r.verdict) for r in rows) == [(0, "org/es/", "block"), (1, "com/en/", "block"), (1, "com/en/", "block"), (2, "", "allow")]
+    assert all(len(r.path) == 200_004 for r in rows if r.page_id == 1)
+    assert url_filter.judge_urls(frame.limit(0), registry.URL_RULES, registry.URL_GLOBS).count() == 0
+
+
+def test_contamination_odd_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = spark.createDataFrame([("a", passage, 1), ("a", passage, 1), ("b", None, 2)], "item_id string, text string, hits int")
+    long = "word " * 150_000 + passage + " word" * 10
+    frame = spark.createDataFrame([(1, long, 0, 9), (2, passage, 1, 9), (2, passage, 1, 9), (3, "", 1, 9)], "doc_id long, text string, n_words int, items int")
+    rows = decontaminate.contamination_report(decontaminate.mark_contamination(frame, items)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in rows) == [(1, 150_022, 12, 1), (2, 12, 12, 1), (2, 12, 12, 1), (3, 0, 0, 0)]
+    assert decontaminate.mark_contamination(frame.limit(0), items).count() == 0
+
+
+def test_language_clashing_names_and_long_texts(spark):
+    frame = spark.createDataFrame([(1, "the dog and the cat " * 8000, "x", 5), (1, "der hund", "y", 6), (None, "der hund", "y", 6)], "doc_id long, text string, lang_pred string, score int")
+    rows = language_id.identify_languages(frame, [("de", "der hund und die katze"), ("en", "the dog and the cat")], keep=["doc_id", "lang_pred"]).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in rows) == [(0, "de"), (1, "de"), (1, "en")] and all(0 <= r.score <= 1 for r in rows)
+    assert language_id.identify_languages(frame.limit(0), [("de", "der hund")]).count() == 0
+
+
+def test_quality_lm_clashing_names_and_long_texts(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(k, " ".join(rng.choices(words, k=60)), "en") for k in range(40)] + [(50, " ".join(rng.choices(words, k=60_000)), "en"), (51, "!!! ### $$$ " * 50, "en"), (51, "!!! ### $$$ " * 50, "en")]
+    frame = spark.createDataFrame([(i, t, lang, 1.0, "k", 7) for i, t, lang in texts], "doc_id long, text string, lang string, perplexity double, kept string, row int")
+    labels = spark.createDataFrame([(k, 1, "x") for k in range(40)], "doc_id long, quality int, text string")
+    rows = quality_lm.classify(frame, labels).collect()
+    assert len(rows) == len(texts) and [r.kept for r in rows if r.doc_id == 50] == [True] and [r.kept for r in rows if r.doc_id == 51] == [False, False]
+
+
+def brute_kneser_ney(trained, text):
+    """Log-perplexity of a text under the interpolated modified Kneser-Ney bigram model of ``trained``, from its definition."""
+    lower = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    shape = lambda w: " " + re.sub(r"(.)\1+", r"\1", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", w))))
+    counts = collections.Counter(lower(w) for t in trained for w in t.split())
+    names = {w for w, n in counts.items() if n > 1}
+    names |= {shape(w) for t in trained for w in t.split() if lower(w) not in names}
+    read = lambda t: ["<s>", *(lower(w) if lower(w) in names else shape(w) if shape(w) in names else "<unk>" for w in t.split()), "</s>"]
+    pairs = collections.Counter(p for t in trained for p in zip(read(t), read(t)[1:]))
+    after, words = collections.defaultdict(dict), collections.Counter(w for _, w in pairs)
+    for (h, w), c in pairs.items():
+        after[h][w] = c
+
+    def discounts(table):
+        of = collections.Counter(table)
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+        raw = [k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k for k in (1, 2, 3)]
+        return [min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), raw)]
+
+    d2, d1 = discounts(pairs.values()), discounts(words.values())
+    cut = lambda c, d: d[min(c, 3) - 1]
+    total, size = sum(words.values()), len(names) + 3
+    floor = sum(cut(c, d1) for c in words.values()) / total / size
+    p1 = lambda w: (words[w] - cut(words[w], d1)) / total + floor if words[w] else floor
+    out = []
+    tokens = read(text)
+    for h, w in zip(tokens, tokens[1:]):
+        if h in after:
+            n = sum(after[h].values())
+            rest = sum(cut(c, d2) for c in after[h].values()) / n
+            c = after[h].get(w, 0)
+            out.append(math.log(((c - cut(c, d2)) / n if c else 0.0) + rest * p1(w)))
+        else:
+            out.append(math.log(p1(w)))
+    return -sum(out) / len(out)
+
+
+def test_quality_lm_equals_kneser_ney_by_definition(spark):
+    rng = random.Random(6)
+    words = ["Apple", "pear", "PLUM", "fig9", "42", "kiwi", "lime!"] + [f"w{i}" for i in range(15)]
+    trained = [" ".join(rng.choices(words, weights=range(len(words), 0, -1), k=40)) for _ in range(12)]
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in trained], "text string"))
+    tests = [trained[0], "pear pear unseen WORD9 42 43", "w1 w2 zz!! lime!", "Xyz"]
+    rows = quality_lm.log_perplexity(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(tests)], "row long, t binary"), model).collect()
+    assert sorted(r.row for r in rows) == list(range(len(tests)))
+    for r in rows:
+        assert r.lnppl == pytest.approx(brute_kneser_ney(trained, tests[r.row]), rel=1e-9)
