@@ -285,6 +285,28 @@ def settle(parcels: list[tuple[int, bytes]], tables: Tables) -> tuple[np.ndarray
     return row, total(scores), total(bases), total(known).astype(np.int64)
 
 
+#: What a shard hands back for a text: its place in the parcel, score, base score, known tokens.
+RETURN = np.dtype([("text", "<u2"), ("score", "<f8"), ("base", "<f8"), ("known", "<u4")])
+
+
+def returned(parcels: list[tuple[int, bytes]], tables: Tables) -> list[tuple[int, bytes]]:
+    """``settle`` for each parcel's texts, packed, by the parcel's run."""
+    row, score, base, known = settle(parcels, tables)
+    runs = np.unique(np.array([run for run, _ in parcels], dtype=np.int64))
+    of = np.searchsorted(runs, row, side="right") - 1
+    out = np.empty(len(row), dtype=RETURN)
+    out["text"], out["score"], out["base"], out["known"] = row - runs[of], score, base, known
+    bounds = np.searchsorted(of, np.arange(len(runs) + 1))
+    return [(int(run), out[bounds[k] : bounds[k + 1]].tobytes()) for k, run in enumerate(runs)]
+
+
+def added_up(parcels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, base score and known tokens by place of the text, over all shards."""
+    back = np.frombuffer(b"".join(parcels), dtype=RETURN)
+    total = lambda name: np.bincount(back["text"], weights=back[name], minlength=MOST_TEXTS)
+    return total("score"), total("base"), total("known").astype(np.int64)
+
+
 def score_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, words_bound: int = 1_000_000, pairs_bound: int = 50_000, mass: float = 40.0,
     parcel_bytes: int = 1_500_000, shard_tokens: int = 1_000_000,
@@ -306,13 +328,12 @@ def score_documents(
     tables = train_tables(rows.where(~F.col("held_out")).select("t"), words_bound, pairs_bound, mass)
     shared = df.sparkSession.sparkContext.broadcast(tables)
     shards = 1 + tables.total // shard_tokens
-    # a row per text (shard from its number), and rows with a parcel and the number of its first text
+    # a row per text, and rows with a parcel; both know their run, the number of its first text
     numbered = rows.select("id", F.monotonically_increasing_id().alias("row"), "held_out", "t")
-    fields = (("row", T.LongType()), ("shard", T.IntegerType()), ("parcel", T.BinaryType()), ("held_out", T.IntegerType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+    fields = (("row", T.LongType()), ("run", T.LongType()), ("shard", T.IntegerType()), ("parcel", T.BinaryType()), ("held_out", T.IntegerType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
     schema = T.StructType([numbered.schema["id"], *(T.StructField(n, t) for n, t in fields)])
-    sent_names = schema.names
-    settled_schema = T.StructType([f for f in schema if f.name not in ("shard", "parcel")])
-    settled_names = settled_schema.names
+    names = schema.names
+    results = T.StructType([f for f in schema if f.name not in ("row", "run", "shard", "parcel")])
 
     def runs(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         """Stretches of a batch of about ``parcel_bytes``; a longer text is one by itself."""
@@ -336,35 +357,58 @@ def score_documents(
                 n, more = end - begin, len(parcels)
                 none = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(more, kind)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([batch.column(0).slice(begin, n), pa.nulls(more, batch.column(0).type)]), pa.array(np.concatenate([number[begin:end], np.full(more, number[begin])])),
+                    pa.concat_arrays([batch.column(0).slice(begin, n), pa.nulls(more, batch.column(0).type)]), none(number[begin:end], pa.int64()), pa.array(np.full(n + more, number[begin])),
                     pa.array(np.concatenate([number[begin:end] % shards, np.array([k for k, _ in parcels], dtype=np.int64)]).astype(np.int32)), pa.array([None] * n + [p for _, p in parcels], pa.binary()),
                     none(held[begin:end].astype(np.int32), pa.int32()), none(sizes, pa.int64()), none(known, pa.int64()), none(base, pa.float64()), none(score, pa.float64()),
-                ], names=sent_names)
+                ], names=names)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, shard, parcels = shared.value, None, []
 
-        def out() -> pa.RecordBatch:
-            row, score, base, known = settle(parcels, tables)
-            columns = {"row": pa.array(row), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)}
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(row), t)) for f, t in zip(settled_schema, kinds)], names=settled_names)
+        def out(kinds: list[pa.DataType]) -> pa.RecordBatch:
+            back = returned(parcels, tables)
+            columns = {"run": pa.array([r for r, _ in back], pa.int64()), "parcel": pa.array([p for _, p in back], pa.binary())}
+            return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(len(back), t)) for n, t in zip(names, kinds)], names=names)
 
         for batch in batches:
-            kinds = [batch.schema.field(n).type for n in settled_names]
-            own = batch.filter(batch.column("parcel").is_null())
-            yield pa.RecordBatch.from_arrays([own.column(n) for n in settled_names], names=settled_names)
+            kinds = [batch.schema.field(n).type for n in names]
+            yield batch.filter(batch.column("parcel").is_null())
             some = batch.filter(batch.column("parcel").is_valid())
-            for k, number, parcel in zip(some.column("shard").to_pylist(), some.column("row").to_pylist(), some.column("parcel").to_pylist()):
+            for k, run, parcel in zip(some.column("shard").to_pylist(), some.column("run").to_pylist(), some.column("parcel").to_pylist()):
                 if k != shard and parcels:
-                    yield out()
+                    yield out(kinds)
                     parcels = []
                 shard = k
-                parcels.append((number, parcel))
+                parcels.append((run, parcel))
         if parcels:
+            yield out(kinds)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            texts = whole.filter(whole.column("parcel").is_null())
+            place = texts.column("row").to_numpy() - texts.column("run")[0].as_py()
+            score, base, known = added_up(whole.column("parcel").drop_null().to_pylist())
+            columns = {
+                "n_known": texts.column("n_known").to_numpy() + known[place], "base_score": texts.column("base_score").to_numpy() + base[place], "score": texts.column("score").to_numpy() + score[place],
+            }
+            return pa.RecordBatch.from_arrays([pa.array(columns[n]) if n in columns else texts.column(n).combine_chunks() for n in results.names], names=results.names)
+
+        for batch in batches:
+            run = batch.column("run").to_numpy()
+            starts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+            for begin, end in zip(starts, starts[1:]):
+                if begin == end:
+                    continue
+                if held and held[0].column("run")[0].as_py() != int(run[begin]):
+                    yield out()
+                    held.clear()
+                held.append(batch.slice(begin, end - begin))
+        if held:
             yield out()
 
     sent = numbered.mapInArrow(send, schema).repartition("shard").sortWithinPartitions("shard")
-    by = sent.mapInArrow(receive, settled_schema).groupBy("row").agg(
-        F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
-    )
-    return by.select(F.col("id").alias(id_col), (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(tables.total).cast("long").alias("train_tokens"), "base_score", "score")
+    back = sent.mapInArrow(receive, schema).repartition("run").sortWithinPartitions("run")
+    return back.mapInArrow(finish, results).select(F.col("id").alias(id_col), (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(tables.total).cast("long").alias("train_tokens"), "base_score", "score")
