@@ -41,7 +41,8 @@ def f15_live_features(s: SparkSession, d: str) -> DataFrame:
         F.col("event_type").alias("line"), F.when(F.col("user_id") % 2 == 0, "north").otherwise("south").alias("direction_code"), F.hour("ts").alias("hod"), F.col("ts").alias("resolved_at"), (F.col("value") - 100).alias("residual")
     )
     made = features.live_features(asked(s, d), far_arrivals(s, d), positions, known, POLLED, AHEAD, STATE, BIAS)
-    scaled = made.withColumn("run_arrival_variance_s", F.col("run_arrival_variance_s") / 1e6)
+    # a hair is added to means, so that those half way between two thousandths go the same way in any engine
+    scaled = made.withColumns({"run_arrival_variance_s": F.col("run_arrival_variance_s") / 1e6, "line_dir_hour_recent_mean_residual_s": F.col("line_dir_hour_recent_mean_residual_s") + 1e-7})
     return scaled.select("request_id", *features.TEXT, *[rounded(F.col(c), 3).alias(c) for c in (*features.STATIC, *features.DYNAMIC, "completeness")])
 
 
@@ -245,7 +246,7 @@ ORACLE = {
         made=f"""SELECT request_id, line, direction_code, CAST(board AS VARCHAR) AS boarding_map_id, CAST(alight AS VARCHAR) AS alighting_map_id, CASE WHEN extract(dow FROM at_) BETWEEN 1 AND 5 THEN 'weekday' ELSE 'weekend' END AS weekday_or_weekend, 'L' AS mode,
           extract(hour FROM at_)::DOUBLE AS hour_of_day, round(meters, 3) AS haversine_meters, round(c[1].arrives, 3) AS seconds_until_next_arrival, c[1].app::INTEGER::DOUBLE AS next_is_approaching, coalesce(len(c), 0)::DOUBLE AS n_upcoming_arrivals_30m, {HEADWAYS},
           seen AS run_n_predictions_seen, round(variance, 3) AS run_arrival_variance_s, round(drift, 3) AS run_drift_s, coalesce(d, 0)::DOUBLE AS line_delayed_5m, coalesce(f, 0)::DOUBLE AS line_fault_5m, coalesce(n, 0)::DOUBLE AS line_n_runs_5m,
-          round(age, 3) AS position_age_s, round(ahead, 3) AS position_next_arrival_offset_s, round(m, 3) AS line_dir_hour_recent_mean_residual_s
+          round(age, 3) AS position_age_s, round(ahead, 3) AS position_next_arrival_offset_s, round(m + 1e-7, 3) AS line_dir_hour_recent_mean_residual_s
           FROM (SELECT *, {GAPS.format('list_transform(c, lambda x: x.arrives)')} AS g FROM next_) LEFT JOIN hist USING (request_id) LEFT JOIN pos USING (request_id) LEFT JOIN sys USING (request_id) LEFT JOIN bias USING (request_id)"""),
     "f16_departure_snapshots": sql("""SELECT request_id, coalesce('[' || array_to_string(list_transform(c[1:10], lambda x: '{"arrives_s":' || CAST(x.arrives AS DOUBLE)::VARCHAR || ',"is_approaching":' || x.app || ',"run":"' || x.run || '"}'), ',') || ']', '[]') AS live_departures,
       CAST(coalesce(len(c[1:10]), 0) AS INTEGER) AS n FROM asked LEFT JOIN coming USING (request_id)""", "arrivals", "trip_requests", **LIVE),
