@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcast.llm import bpe, decontaminate, language_id, lm_score, merkle, merkle_sql, quality_lm, quality_rules, runs, secrets, simhash, token_counts, url_filter
+from headcast.llm import bpe, decontaminate, language_id, lm_score, merkle, merkle_sql, minhash, quality_lm, quality_rules, runs, secrets, simhash, token_counts, url_filter
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +70,10 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.find_periodic(table(spark, sf_dir, "documents"), tail=runs.id_tail())
 
@@ -79,7 +83,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_bpe, op3_quality, op4_token_counts, op5_language, op6_secrets, op7_urls, op8_decontaminate, op9_lm_score, op10_quality_lm, op12_runs, op13_merkle)
+    every = (op1_simhash, op2_bpe, op3_quality, op4_token_counts, op5_language, op6_secrets, op7_urls, op8_decontaminate, op9_lm_score, op10_quality_lm, op11_minhash, op12_runs, op13_merkle)
     return {f.__name__: f for f in every}
 
 
