@@ -70,29 +70,30 @@ def _segment(levels: Column, place: Column, rounds: Column) -> Column:
     return F.array_join(F.transform(F.slice(levels, F.lit(1), rounds), entry), "")
 
 
-def climb(nodes: DataFrame, tree: str, bits: int = 10) -> DataFrame:
-    """``tree``, ``pos``, ``path`` (entries from the node up to its tree's root) and ``top`` (that root).
+def climb(nodes: DataFrame, tree: str, bits: int = 10, carry: Sequence[str] = ()) -> DataFrame:
+    """``tree``, ``pos``, ``digest``, ``carry``, ``path`` (entries from the node up to its tree's root) and ``top`` (that root).
 
-    ``nodes``: tree, pos, n, digest. While a tree has more nodes than one they are hashed in twos, the last alone if odd.
+    ``nodes``: tree, pos, n, digest, and ``carry``. While a tree has more nodes than one they are hashed in twos, the last
+    alone if odd. What a node carries travels with its block, so that paths, the widest rows, never meet it by an exchange.
     """
     size = 1 << bits
     depth = F.when(F.col("n") <= 1, 0).otherwise(F.length(F.bin(F.col("n") - 1)))
-    members = F.sort_array(F.collect_list(F.struct("pos", "digest")))
+    members = F.sort_array(F.collect_list(F.struct("pos", "digest", *carry)))
     blocks = nodes.withColumn("block", F.floor(F.col("pos") / size)).groupBy(tree, "block").agg(members.alias("members"), F.max("n").alias("n"))
     blocks = blocks.withColumn("rounds", F.least(F.lit(bits), depth).cast("int"))
     first = F.array(F.array_join("members.digest", "").cast("binary"))
     steps = F.when(F.col("rounds") > 0, F.sequence(F.lit(1), F.col("rounds"))).otherwise(F.array().cast("array<int>"))
     levels = F.aggregate(steps, first, lambda acc, _: F.concat(acc, F.array(_parents(F.element_at(acc, -1)))))
-    blocks = cut(blocks.select(tree, "block", "n", "rounds", F.col("members.pos").alias("places"), levels.alias("levels")))
+    blocks = cut(blocks.withColumn("levels", levels))
     up = F.floor((F.col("n") - 1) / size) + 1
     tops = blocks.select(tree, F.col("block").alias("pos"), up.alias("n"), F.element_at("levels", -1).cast("string").alias("digest"))
-    place = F.posexplode("places").alias("inner", "pos")
-    own = blocks.select(tree, "block", "rounds", "levels", place).select(tree, "block", "pos", _segment(F.col("levels"), F.col("inner"), F.col("rounds")).alias("segment"))
     if (tops.agg(F.max("n")).first()[0] or 1) <= 1:
         above = tops.select(tree, F.col("pos").alias("block"), F.lit("").alias("rest"), F.col("digest").alias("top"))
     else:
         above = climb(tops, tree, bits).select(tree, F.col("pos").alias("block"), F.col("path").alias("rest"), "top")
-    return own.join(above, [tree, "block"]).select(tree, "pos", F.concat("segment", "rest").alias("path"), "top")
+    each = blocks.join(above, [tree, "block"]).select(tree, "rounds", "levels", "rest", "top", F.posexplode("members").alias("inner", "m"))
+    path = F.concat(_segment(F.col("levels"), F.col("inner"), F.col("rounds")), "rest")
+    return each.select(tree, "m.*", path.alias("path"), "top")
 
 
 def siblings(path: Column) -> Column:
@@ -124,13 +125,10 @@ def manifest(df: DataFrame, fields: Sequence[str] = FIELDS, group: str = "lang",
     # a null group comes before the empty one, and others keep their order
     tree = F.coalesce(F.concat(F.lit("1"), F.col(f"`{group}`").cast("string")), F.lit("0"))
     leaves = df.select(tree.alias("tree"), F.col(f"`{id_col}`").alias("id"), leaf_of(list(named.values())).alias("digest"), *[v.alias(c) for c, v in extra.items()])
-    placed = cut(ranked(leaves, "tree", ["id", "digest"]))
-    low = climb(placed.select("tree", "pos", "n", "digest"), "tree", bits)
-    groups = cut(placed.where("pos = 0").select("tree").join(low.where("pos = 0").select("tree", F.col("top").alias("digest")), "tree"))
-    whole = ranked(groups.withColumn("all", F.lit(0)), "all", ["tree"])
-    high = climb(whole.select("all", "pos", "n", "digest"), "all", bits).join(whole.select("all", "pos", "tree"), ["all", "pos"])
-    high = high.select("tree", F.col("path").alias("rest"), F.col("top").alias("root"))
-    rows = placed.drop("n").join(low, ["tree", "pos"]).join(high, "tree")
+    low = climb(ranked(leaves, "tree", ["id", "digest"]), "tree", bits, ["id", *extra])
+    groups = cut(low.where("pos = 0").select("tree", F.col("top").alias("digest")))
+    high = climb(ranked(groups.withColumn("all", F.lit(0)), "all", ["tree"]), "all", bits, ["tree"])
+    rows = low.join(high.select("tree", F.col("path").alias("rest"), F.col("top").alias("root")), "tree")
     out = [F.col("id").alias(id_col), F.col("digest").alias("leaf"), F.col("top").alias("subroot"), "root", F.concat("path", "rest").alias("path")]
     return rows.select(*out, *[F.col(c).alias(name) for c, name in zip(extra, carry or {})])
 
