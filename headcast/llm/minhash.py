@@ -3,7 +3,9 @@
 Each different set of shingles is one node. Its ``SAMPLES`` MinHash values give 32 bands of 4, and all of them are folded
 into a bitmap of parities, the odd sketch: of two sketches' exclusive or, samples in common cancel out. Sets alike by 0.8
 miss each other in all bands with probability (1 - 0.8^4)^32 < 5e-8, and their sketches differ in 93 bits with a deviation of 12, in more
-than ``FAR_BITS`` with probability below 1e-8; at 0.5 it is 200 bits.
+than ``FAR_BITS`` with probability below 1e-8; at 0.5 it is 200 bits. A second odd sketch takes every shingle for a sample: there no
+more bits can differ than shingles, for sets alike by 0.8 a ninth of both sizes, which tells 0.78 from 0.8 in texts of some hundred
+words; where that ninth is large, fewer bits are expected (some meet on one place), and six deviations more than expected rule a pair out.
 
 Members of a band's bucket meet in three steps. Twice, two pivots of each bucket (least and largest by node, then by mixed node) meet
 all others that aren't in their group yet, each going on only to the pivot with the nearest sketch; what the full sets confirm is
@@ -72,27 +74,46 @@ def odd_sketches(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(values), SKETCH_BITS), axis=1).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The odd sketch of a whole set."""
+    place = (hashes ^ hashes >> np.uint64(32)) * MIX[1] >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+#: Bits that may differ between the whole sets' sketches of texts alike by 0.8, by the number of their shingles together.
+ALLOWED_SQL = f"least(floor(({{0}} + {{1}}) / 9), {SKETCH_BITS / 2} * (1 - exp(-2 * floor(({{0}} + {{1}}) / 9) / {SKETCH_BITS})) + {3 * SKETCH_BITS**0.5})"
+LONGS = SKETCH_BITS // 64
+
+
+def allowed(sizes: np.ndarray) -> np.ndarray:
+    """``ALLOWED_SQL`` for sums of sizes."""
+    most = sizes // 9
+    return np.minimum(most, SKETCH_BITS / 2 * (1 - np.exp(-2 * most / SKETCH_BITS)) + 3 * SKETCH_BITS**0.5)
+
+
 def similar_sets(x: np.ndarray, y: np.ndarray) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= 80 * (len(x) + len(y) - common)
 
 
 def signed_texts(rows: DataFrame, keep: list[str], shingle: int) -> DataFrame:
-    """``keep``, ``node`` (hash of the text's set; null without words), ``size``, ``sketch`` and ``bands`` of each row's text."""
+    """``keep``, ``node`` (hash of the text's set; null without words), ``size``, ``sketch`` (of the samples, then of the set) and ``bands`` of each row's text."""
 
     def work(texts: list[bytes | None]) -> list:
-        nodes, sizes, place, values, known = [], [], [], [], {}
+        nodes, sizes, place, values, whole, known = [], [], [], [], [], {}
         for t in texts:
             found = shingle_set(t, shingle)
             node = xxhash.xxh64_intdigest(found.tobytes()) if len(found) else None
             if node is not None and node not in known:
                 known[node] = len(values)
                 values.append(samples(found))
+                whole.append(parities(found))
             nodes.append(None if node is None else node - (1 << 64) if node >> 63 else node)
             sizes.append(len(found))
             place.append(-1 if node is None else known[node])
         many = np.array(values, dtype=np.uint32).reshape(-1, SAMPLES)
-        keys, sketches = band_keys(many), odd_sketches(many)
+        keys = band_keys(many)
+        sketches = np.concatenate([odd_sketches(many), np.array(whole, dtype=np.int64).reshape(-1, LONGS)], axis=1)
         return [nodes, sizes, [None if p < 0 else sketches[p] for p in place], [None if p < 0 else keys[p] for p in place]]
 
     longs = T.ArrayType(T.LongType())
@@ -112,9 +133,11 @@ def star_pairs(shared: DataFrame, nodes: DataFrame, settled: DataFrame, mix: int
     met = met.where("node <> pivot").distinct()
     other = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch"))
     met = met.join(settled.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot").where("root <> p_root").drop("root", "p_root")
-    bits = F.aggregate(F.zip_with("sketch", "p_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = met.join(nodes.select("node", "size", "sketch"), "node").join(other, "pivot").where("4 * size <= 5 * p_size and 4 * p_size <= 5 * size").select("node", "pivot", bits.alias("far"))
-    nearest = near.where(F.col("far") <= FAR_BITS).groupBy("node").agg(F.min_by("pivot", "far").alias("pivot"))
+    apart = F.zip_with("sketch", "p_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = lambda first: F.aggregate(F.slice(F.col("apart"), first, LONGS), F.lit(0), lambda n, x: n + x)
+    near = met.join(nodes.select("node", "size", "sketch"), "node").join(other, "pivot").where("4 * size <= 5 * p_size and 4 * p_size <= 5 * size").select("node", "pivot", "size", "p_size", apart.alias("apart"))
+    near = near.where((bits(1) <= FAR_BITS) & (bits(LONGS + 1) <= F.expr(ALLOWED_SQL.format("size", "p_size")))).select("node", "pivot", bits(1).alias("far"))
+    nearest = near.groupBy("node").agg(F.min_by("pivot", "far").alias("pivot"))
     return _ordered(nearest, F.col("node"), F.col("pivot")).distinct()
 
 
@@ -149,9 +172,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few, step = int((~big).sum()), max(1, at_once // len(node))
         for begin in range(0, few, step):
             i = np.arange(begin, min(begin + step, few))
-            bits = np.bitwise_count(sketch[i][:, None, :] ^ sketch[None, begin:, :]).sum(axis=2, dtype=np.int64)
+            apart = np.bitwise_count(sketch[i][:, None, :] ^ sketch[None, begin:, :])
             j = np.arange(begin, len(node))
-            good = (bits <= FAR_BITS) & (j[None, :] > i[:, None]) & (root[i][:, None] != root[None, begin:])
+            good = (apart[:, :, :LONGS].sum(axis=2, dtype=np.int64) <= FAR_BITS) & (j[None, :] > i[:, None]) & (root[i][:, None] != root[None, begin:])
+            good &= apart[:, :, LONGS:].sum(axis=2, dtype=np.int64) <= allowed(size[i][:, None] + size[None, begin:])
             good &= (4 * size[i][:, None] <= 5 * size[None, begin:]) & (4 * size[None, begin:] <= 5 * size[i][:, None])
             if not inside:
                 good &= own[i][:, None] != own[None, begin:]
