@@ -125,6 +125,8 @@ def test_sketches_estimate_high_similarity():
             b[: round(n * (1 - share) / (1 + share))] = rng.integers(0, 1 << 63, round(n * (1 - share) / (1 + share)), dtype=np.uint64) << np.uint64(1)
             x, y = minhash.odd_sketches(np.array([minhash.samples(a), minhash.samples(b)])).view(np.uint64)
             bits.append(int(np.bitwise_count(x ^ y).sum()))
+            p, q = (minhash.parities(z).view(np.uint64) for z in (np.unique(a), np.unique(b)))
+            assert share < 0.8 or int(np.bitwise_count(p ^ q).sum()) <= minhash.allowed(np.array(len(a) + len(b))) + 1
         assert low < np.mean(bits) < high
         assert share < 0.8 or max(bits) <= minhash.FAR_BITS
 
