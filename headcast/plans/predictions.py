@@ -46,10 +46,15 @@ def f18_conformal_offsets(s: SparkSession, d: str) -> DataFrame:
     return out.select("predictor_version", "line", rounded(F.col("offset_s")).alias("offset_s"), rounded(F.col("step_size")).alias("step_size"), "n", "missed")
 
 
-def f21_promotions(s: SparkSession, d: str) -> DataFrame:
+def evaluations(s: SparkSession, d: str) -> DataFrame:
+    """Daily scores of each version on each corridor, beside an incumbent's score."""
     day = F.to_date("resolved_at").alias("at")
     scores = scored(s, d).where(F.col("status") == "resolved").groupBy("corridor_id", day, F.col("predictor_version").alias("candidate")).agg(rounded(F.avg(F.abs("p50_residual"))).alias("score"))
-    return online.promotions(scores.withColumn("incumbent_score", F.lit(300.0)), "pv0")
+    return scores.withColumn("incumbent_score", F.lit(300.0))
+
+
+def f21_promotions(s: SparkSession, d: str) -> DataFrame:
+    return online.promotions(evaluations(s, d), "pv0")
 
 
 def f24_due_corridors(s: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,43 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 m
     return by.select(F.col("w.start").alias("start_at"), "event_type", "n", "total")
 
 
+def sliding_counts(polled: DataFrame, length: str, every: str, late: str) -> DataFrame:
+    """Polls, delays and faults per line in windows of ``length`` that begin ``every`` so often, each given out once closed.
+
+    A row counts in each of its windows that is still open: what comes later than a window's end and the delay misses it.
+    """
+    timed = polled.withColumn("at", F.col("polled_at").cast("timestamp")).withWatermark("at", late)
+    by = timed.groupBy(F.window("at", length, every).alias("w"), "line").agg(F.count("*").alias("n_polls"), F.count_if("delayed").alias("n_delayed"), F.count_if("fault").alias("n_fault"))
+    return by.select(F.col("w.start").alias("start_at"), "line", "n_polls", "n_delayed", "n_fault")
+
+
+def rolling_promotions(requests: DataFrame, least: int = 50, length: str = "7 days", every: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Pairs asked for ``least`` times or more within any ``length``, as a stream of requests shows them.
+
+    Windowed counts go, in update mode, into a keyed sink: a batch adds the pairs that no earlier batch has added, under its
+    own number, so a repeated batch writes the same again and nothing twice. Returns origin, destination, n and batch.
+    """
+    spark = requests.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/promoted-{uuid.uuid4().hex}"
+    schema = T.StructType([*(requests.schema[c] for c in ("origin", "destination")), T.StructField("n", T.LongType())])
+    timed = requests.where("success").withColumn("at", F.col("queried_at").cast("timestamp")).withWatermark("at", late)
+    counts = timed.groupBy(F.window("at", length, every), "origin", "destination").agg(F.count("*").alias("n"))
+    numbers: list[int] = []
+
+    def add(batch: DataFrame, number: int) -> None:
+        popular = batch.where(F.col("n") >= least).groupBy("origin", "destination").agg(F.max("n").alias("n"))
+        for before in range(number):
+            popular = popular.join(batch.sparkSession.read.schema(schema).parquet(f"{folder}/batch={before}"), ["origin", "destination"], "left_anti")
+        popular.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        numbers.append(number)
+
+    query = counts.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    every_row = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(every_row).parquet(folder) if numbers else spark.createDataFrame([], every_row)
+
+
 def first_seen(events: DataFrame, keys: list[str], late: str = "6 hours") -> DataFrame:
     """Insert-if-absent on a stream: the first row of each key within the watermark."""
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
