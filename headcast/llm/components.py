@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from headcast.checkpoints import cut
 
 
+#: Edges to a part.
+PART_ROWS = 50_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) for every node of ``edges``; null ends and loops are ignored.
 
@@ -18,8 +22,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _mark(pairs)
+    # small tables in few parts: each part that writes to an exchange costs files, however little it holds
+    parts = 1 + seen[0] // PART_ROWS
+    pairs = pairs.coalesce(parts)
     for _ in range(max_rounds):
-        pairs = cut(_small_star(_large_star(pairs)))
+        pairs = cut(_small_star(_large_star(pairs).coalesce(parts)).coalesce(parts))
         now = _mark(pairs)
         if now == seen:
             break

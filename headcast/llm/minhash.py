@@ -8,8 +8,8 @@ more bits can differ than shingles, for sets alike by 0.8 a ninth of both sizes,
 words; where that ninth is large, fewer bits are expected (some meet on one place), and six deviations more than expected rule a pair out.
 
 Members of a band's bucket meet in three steps. Twice, two pivots of each bucket (least and largest by node, then by mixed node) meet
-all others that aren't in their group yet, each going on only to the pivot with the nearest sketch; what the full sets confirm is
-merged. So a group of near copies becomes one in a number of pairs that follows its size. Last, in buckets that still hold several
+all others that aren't in their group yet, each going on only to the pivot with the nearest sketch; groups that the full sets confirm
+to be linked are joined. So a group of near copies becomes one in a number of pairs that follows its size. Last, in buckets that still hold several
 groups all members of different groups are compared by sketch, and those near enough by their sets: no pair that a band proposes is
 left out, however crowded its bucket. Buckets of over ``block`` members are dealt out as pairs of blocks, so that no task holds a bucket.
 """
@@ -28,11 +28,14 @@ from pyspark.sql import types as T
 
 from headcast.checkpoints import cut, ensure_checkpoint_dir
 from headcast.llm.arrowmap import small_batches, with_document_columns
-from headcast.llm.similar import _merged, shingle_set
+from headcast.llm.components import connected_components
+from headcast.llm.similar import shingle_set
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS, FAR_BITS = 256, 32, 4, 1024, 160
 #: No more rows than this are broadcast; beyond, Spark joins them by exchange.
 FEW_ROWS = 1_000_000
+#: Rows of documents to a part of the tables made from them.
+PART_ROWS = 20_000
 _RANDOM = np.random.Generator(np.random.PCG64(20_240))
 FACTORS = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 MIX = [np.uint64(int(x) | 1) for x in _RANDOM.integers(1 << 62, 1 << 63, ROWS + 2, dtype=np.uint64)]
@@ -200,14 +203,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from near(held[1:])
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, ones: DataFrame, shingle: int) -> DataFrame:
+def confirmed(pairs: DataFrame, rows: DataFrame, ones: DataFrame, shingle: int, parts: int) -> DataFrame:
     """Those of ``pairs`` (nodes a, b) whose full sets are alike by 0.8 or more. ``ones`` names a row of ``rows`` for each node."""
-    pairs = cut(pairs)
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ones, "node"))
+    pairs = cut(pairs.coalesce(parts))
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ones, "node").coalesce(parts))
     side = F.broadcast(needed) if needed.count() <= FEW_ROWS else needed
     on = F.col("row_id").eqNullSafe(F.col("one_id")) & (F.col("row_hash") == F.col("one_hash"))
     # rows that share id and text are one: any of them will do
-    texts = stored(rows.join(side, on).select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]))
+    texts = stored(rows.join(side, on).select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]).coalesce(parts))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +232,17 @@ def confirmed(pairs: DataFrame, rows: DataFrame, ones: DataFrame, shingle: int)
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def hooked(settled: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """``node`` and ``root`` after linked groups took the least root beside them, and then that one's: groups that are joined
+    are linked, but not all linked ones need be joined. That takes a fixed number of exchanges; the links themselves decide in the end."""
+    root = lambda side, name: settled.select(F.col("node").alias(side), F.col("root").alias(name))
+    ends = links.join(root("a", "u"), "a").join(root("b", "v"), "b").select("u", "v")
+    least = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(least.select("u", F.least("u", "m").alias("m")).coalesce(parts))
+    jumped = least.join(least.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m").select(F.col("u").alias("root"), "mm")
+    return cut(settled.join(jumped, "root", "left").select("node", F.coalesce("mm", "root").alias("root")).coalesce(parts))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, block: int = 4096) -> DataFrame:
     """One row per input row: the id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -242,15 +256,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
     made = cut(signed_texts(rows, ["row_id", "row_hash"], shingle))
     # equal sets fold into one node, ahead of the exchange; one row stands for it
-    nodes = cut(made.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct("row_id", "row_hash")).alias("one")))
+    nodes = made.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct("row_id", "row_hash")).alias("one"))
+    # a small table in few parts: each part that writes to an exchange costs files, however little it holds
+    parts = 1 + made.count() // PART_ROWS
+    nodes = cut(nodes.coalesce(parts))
     ones = nodes.select("node", F.col("one.row_id").alias("one_id"), F.col("one.row_hash").alias("one_hash"))
     posted = nodes.select(F.explode("bands").alias("key"), "node")
     several = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = stored(posted.join(several, "key"))
+    shared = stored(posted.join(several, "key").coalesce(parts))
     settled = nodes.select("node", F.col("node").alias("root"))
+    links = None
     for mix in (0, 0x5DEECE66D1CE4E5B):
-        settled = _merged(settled, confirmed(star_pairs(shared, nodes, settled, mix), rows, ones, shingle))
-    settled = _merged(settled, confirmed(bucket_pairs(shared, nodes, settled, block), rows, ones, shingle))
+        found = confirmed(star_pairs(shared, nodes, settled, mix), rows, ones, shingle, parts)
+        links = found if links is None else links.unionByName(found)
+        settled = hooked(settled, found, parts)
+    links = links.unionByName(confirmed(bucket_pairs(shared, nodes, settled, block), rows, ones, shingle, parts))
+    whole = connected_components(links).select("node", "root")
+    settled = nodes.select("node").join(whole, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     least = made.where("node is not null").groupBy("node").agg(F.min("row_id").alias("least")).join(settled, "node").groupBy("root").agg(F.min("least").alias("component"))
     found = made.select("row_id", "size", "node").join(settled.join(least, "root").select("node", "component"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("row_id")).otherwise(F.col("component"))
