@@ -211,7 +211,7 @@ def s35_feature_json(s: SparkSession, d: str) -> DataFrame:
 
 def f36_shifted_quantiles(s: SparkSession, d: str) -> DataFrame:
     """Forecasts shifted by a fixed model's residual quantiles, kept in order and at zero or more."""
-    frame = training.training_frame(scored(s, d), 0.25)
+    frame = training.training_frame(scored(s, d), F.col("p50") - 200, 0.25)
     model = frame.select("line").distinct().select("line", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(a).alias("b0"), F.lit(b).alias("b1")) for q, a, b in ((0.5, -400.0, 0.5), (0.8, 60.0, -0.25), (0.9, 90.0, 0.125))])).alias("m")).select("line", "m.*")
     rows = training.apply_residual_quantiles(frame, model, ["horizon_s"])
     at = lambda q: F.col("p50") + F.element_at("residual_q", F.lit(q))

@@ -73,21 +73,21 @@ def f29_popular_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def f33_training_frame(s: SparkSession, d: str) -> DataFrame:
-    frame = training.training_frame(scored(s, d), 0.25)
+    frame = training.training_frame(scored(s, d), F.col("p50") - 200, 0.25)
     return frame.select("forecast_id", "hod", "weekday", rounded(F.col("horizon_s")).alias("horizon_s"), rounded(F.col("residual")).alias("residual"))
 
 
 def f34_time_split(s: SparkSession, d: str) -> DataFrame:
-    return training.time_split(training.training_frame(scored(s, d), 0.25)).groupBy("is_validation").agg(F.count("*").alias("n"), F.min(F.to_date("leave_at")).cast("string").alias("first_day"), F.max(F.to_date("leave_at")).cast("string").alias("last_day"))
+    return training.time_split(training.training_frame(scored(s, d), F.col("p50") - 200, 0.25)).groupBy("is_validation").agg(F.count("*").alias("n"), F.min(F.to_date("leave_at")).cast("string").alias("first_day"), F.max(F.to_date("leave_at")).cast("string").alias("last_day"))
 
 
 def f35_residual_model(s: SparkSession, d: str) -> DataFrame:
-    return training.fit_residual_quantiles(training.training_frame(scored(s, d), 0.25), ["horizon_s", "hod"])
+    return training.fit_residual_quantiles(training.training_frame(scored(s, d), F.col("p50") - 200, 0.25), ["horizon_s", "hod"])
 
 
 def f36_quantile_predictions(s: SparkSession, d: str) -> DataFrame:
     """Forecasts shifted by their line's modelled residuals, in order and never below zero, with coverage of the result."""
-    frame = training.training_frame(scored(s, d), 0.25)
+    frame = training.training_frame(scored(s, d), F.col("p50") - 200, 0.25)
     rows = training.apply_residual_quantiles(frame, training.fit_residual_quantiles(frame, ["horizon_s", "hod"]), ["horizon_s", "hod"])
     at = lambda q: F.col("p50") + F.element_at("residual_q", F.lit(q))
     ordered = rows.withColumns(dict(zip(("q50", "q80", "q90"), predict.monotone(at(0.5), at(0.8), at(0.9))))).withColumn("actual", F.col("p50") + F.col("residual"))

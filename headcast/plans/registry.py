@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcast.plans import arrivals, calibration, estimates, lifecycle, payloads, predictions, reports, streams
+from headcast.plans import arrivals, calibration, estimates, lifecycle, payloads, predictions, reports, streams, trainings
 
-FAMILIES = (calibration, arrivals, predictions, estimates, reports, lifecycle, payloads, streams)
+FAMILIES = (calibration, arrivals, predictions, estimates, reports, lifecycle, payloads, streams, trainings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
