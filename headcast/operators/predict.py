@@ -7,41 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headcast.operators.joins import anti_null_safe, next_items, seconds_of
+from headcast.operators.joins import anti_null_safe, seconds_of
+from headcast.operators.sliding import Departures, micros, over_windows
 
 Z80, Z90 = 0.8416212335729143, 1.2815515655446004
 
 
-def middle(values: Column) -> Column:
-    """Median of a sorted array; null if it is empty."""
-    n = F.size(values)
-    return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2)
-
-
 def saturating(rate: Column, seconds: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.exp(-rate * seconds)))
 
 
-def wait_forecasts(requests: DataFrame, departures: DataFrame, window: float, headway: Column | None = None, first: int = 32) -> DataFrame:
-    """Wait at a stop for each request (request_id, line, station, leave_at) from the departures after it.
+def wait_forecasts(requests: DataFrame, departures: DataFrame, window: float, headway: Column | None = None) -> DataFrame:
+    """Wait at a stop for each request (request_id, line, station, leave_at) from all departures of the ``window`` seconds after it.
 
-    ``departures``: line, station, arrival_at, approaching; of several rows for one time an approaching one counts.
-    The next ``first`` departures within ``window`` seconds are looked at, taken from one sorted stream per stop, so a
-    request's array is bounded. Without any, the scheduled headway gives half of it as the wait; without that too,
-    nothing is known.
+    ``departures``: line, station, arrival_at, approaching; of several rows for one time an approaching one counts. Gaps and
+    their medians are kept along one sorted stream per stop, however many departures a window holds. Without any, the
+    scheduled headway gives half of it as the wait; without that too, nothing is known.
     """
     one = departures.groupBy("line", "station", "arrival_at").agg(F.max("approaching").alias("approaching"))
-    rows = next_items(requests, one, ["line", "station"], seconds_of(F.col("leave_at")), seconds_of(F.col("arrival_at")), window, first)
-    rows = rows.withColumn("headway", headway if headway is not None else F.lit(None).cast("double"))
-    rows = rows.withColumn("waits", F.transform("next", lambda d: d["at"] - seconds_of(F.col("leave_at")))).withColumn("gaps", F.when(F.size("next") > 1, F.zip_with(F.slice("waits", 2, F.size("waits") - 1), F.slice("waits", 1, F.size("waits") - 1), lambda b, a: b - a)))
-    rows = rows.withColumns({"wait": F.get("waits", F.lit(0)), "n_gaps": F.coalesce(F.size("gaps"), F.lit(0)), "gap": middle(F.array_sort("gaps")), "rest": middle(F.array_sort(F.slice("gaps", 2, F.greatest(F.size("gaps") - 1, F.lit(0))))), "first_gap": F.get("gaps", F.lit(0))})
-    w, live, scheduled = F.col("wait"), F.col("next").isNotNull(), F.coalesce("headway", F.lit(0.0)) > 0
+    rows = over_windows(requests, one, ["line", "station"], micros(F.col("leave_at")), micros(F.col("arrival_at")), 0, round(window * 1e6), Departures, ["approaching"])
+    rows = rows.withColumns({"headway": headway if headway is not None else F.lit(None).cast("double"), "wait": (F.col("first_at") - micros(F.col("leave_at"))) / 1e6})
+    w, live, scheduled = F.col("wait"), F.col("first_at").isNotNull(), F.coalesce("headway", F.lit(0.0)) > 0
     mean = F.when(live, w).when(scheduled, F.col("headway") / 2).otherwise(0.0)
     sigma = F.when(live & (F.col("n_gaps") <= 0), F.greatest(F.lit(60.0), 0.2 * w)).when(live, F.greatest(F.lit(45.0), 0.3 * F.col("gap"))).when(scheduled, F.col("headway") / 3).otherwise(0.0)
     confidence = F.when(live & (F.col("n_gaps") <= 0), 0.55).when(live, F.least(F.lit(1.0), 0.5 + 0.1 * F.least(F.col("n_gaps"), F.lit(4)))).when(scheduled, 0.4).otherwise(0.0)
     two = (F.col("n_gaps") >= 2) & (F.col("rest") > 0)
     state = (
-        F.when(~live & scheduled, "feed_unreliable").when(~live, "unknown").when(F.get("next", F.lit(0))["approaching"] | (w <= 240), "good")
+        F.when(~live & scheduled, "feed_unreliable").when(~live, "unknown").when(F.coalesce("first_near", F.lit(False)) | (w <= 240), "good")
         .when(two & (F.col("first_gap") > 0) & (F.col("first_gap") < 0.5 * F.col("rest")) & (F.col("first_gap") <= 240), "bunched")
         .when((two & (F.col("first_gap") > 2 * F.col("rest")) & (F.col("first_gap") > 720)) | (w > 720), "bad_gap").when(w > 420, "risky").otherwise("acceptable")
     )

@@ -201,14 +201,14 @@ FAMILY = (
 )
 QUERIES = {f.__name__: f for f in FAMILY}
 
-WAITS = f"""SELECT r.request_id, any_value(r.board) AS station, (list({{'wait': {E('a.arrival_at')} - {E('r.leave_at')}, 'app': a.app}} ORDER BY a.arrival_at) FILTER (WHERE a.arrival_at IS NOT NULL))[1:32] AS next
+WAITS = f"""SELECT r.request_id, any_value(r.board) AS station, (list({{'wait': epoch_us(a.arrival_at) - epoch_us(r.leave_at), 'app': a.app}} ORDER BY a.arrival_at) FILTER (WHERE a.arrival_at IS NOT NULL)) AS next
   FROM trip_requests r LEFT JOIN (SELECT line, station, arrival_at, bool_or(approaching) AS app FROM arrivals GROUP BY ALL) a ON a.line = r.line AND a.station = r.board AND {E('a.arrival_at')} - {E('r.leave_at')} BETWEEN 0 AND {WAIT_WINDOW} GROUP BY r.request_id"""
-GAPS = """SELECT *, next[1].wait AS w, next IS NOT NULL AS live, station % 2 = 0 AS sched, list_transform(range(2, coalesce(len(next), 0) + 1), lambda i: next[i].wait - next[i - 1].wait) AS gaps FROM waits"""
-STATS = "SELECT *, len(gaps) AS ng, list_median(gaps) AS gap, list_median(gaps[2:]) AS rest FROM gapped"
+GAPS = """SELECT *, next[1].wait / 1e6 AS w, next IS NOT NULL AS live, station % 2 = 0 AS sched, list_transform(range(2, coalesce(len(next), 0) + 1), lambda i: next[i].wait - next[i - 1].wait) AS gaps FROM waits"""
+STATS = "SELECT *, len(gaps) AS ng, list_median(gaps) / 1e6 AS gap, list_median(gaps[2:]) / 1e6 AS rest, gaps[1] / 1e6 AS g1 FROM gapped"
 MODEL = """SELECT request_id, CASE WHEN live THEN w WHEN sched THEN 450 ELSE 0 END::DOUBLE AS mean, CASE WHEN live AND ng = 0 THEN greatest(60, 0.2 * w) WHEN live THEN greatest(45, 0.3 * gap) WHEN sched THEN 300 ELSE 0 END::DOUBLE AS sigma,
   CASE WHEN live AND ng = 0 THEN 0.55 WHEN live THEN least(1, 0.5 + 0.1 * least(ng, 4)) WHEN sched THEN 0.4 ELSE 0 END::DOUBLE AS confidence,
-  CASE WHEN NOT live AND sched THEN 'feed_unreliable' WHEN NOT live THEN 'unknown' WHEN next[1].app OR w <= 240 THEN 'good' WHEN ng >= 2 AND rest > 0 AND gaps[1] > 0 AND gaps[1] < 0.5 * rest AND gaps[1] <= 240 THEN 'bunched'
-  WHEN (ng >= 2 AND rest > 0 AND gaps[1] > 2 * rest AND gaps[1] > 720) OR w > 720 THEN 'bad_gap' WHEN w > 420 THEN 'risky' ELSE 'acceptable' END AS state, live, sched, w FROM stats"""
+  CASE WHEN NOT live AND sched THEN 'feed_unreliable' WHEN NOT live THEN 'unknown' WHEN next[1].app OR w <= 240 THEN 'good' WHEN ng >= 2 AND rest > 0 AND g1 > 0 AND g1 < 0.5 * rest AND g1 <= 240 THEN 'bunched'
+  WHEN (ng >= 2 AND rest > 0 AND g1 > 2 * rest AND g1 > 720) OR w > 720 THEN 'bad_gap' WHEN w > 420 THEN 'risky' ELSE 'acceptable' END AS state, live, sched, w FROM stats"""
 WAIT_OUT = "SELECT request_id, state, round(mean, 4) AS mean, round(sigma, 4) AS sigma, round(confidence, 4) AS confidence, " + ", ".join(
     f"round(CASE WHEN live THEN (w <= {x})::INTEGER WHEN sched THEN 1 - exp(-{x} / 450.0::DOUBLE) ELSE 0 END::DOUBLE, 4) AS p_{x // 60}min" for x in (300, 600, 900)
 ) + f", round(greatest(0, mean), 4) AS p50, round(greatest(0, mean + {predict.Z80!r}::DOUBLE * sigma), 4) AS p80, round(greatest(0, mean + {predict.Z90!r}::DOUBLE * sigma), 4) AS p90 FROM model"
