@@ -8,8 +8,8 @@ more bits can differ than shingles, for sets alike by 0.8 a ninth of both sizes,
 words; where that ninth is large, fewer bits are expected (some meet on one place), and six deviations more than expected rule a pair out.
 
 Members of a band's bucket meet in three steps. Twice, two pivots of each bucket (least and largest by node, then by mixed node) meet
-all others that aren't in their group yet, each going on only to the pivot with the nearest sketch; groups that the full sets confirm
-to be linked are joined. So a group of near copies becomes one in a number of pairs that follows its size. Last, in buckets that still hold several
+all others that aren't in their group yet, each going on only to the pivot with the nearest sketch; what the full sets confirm is
+merged. So a group of near copies becomes one in a number of pairs that follows its size. Last, in buckets that still hold several
 groups all members of different groups are compared by sketch, and those near enough by their sets: no pair that a band proposes is
 left out, however crowded its bucket. Buckets of over ``block`` members are dealt out as pairs of blocks, so that no task holds a bucket.
 """
@@ -17,7 +17,7 @@ left out, however crowded its bucket. Buckets of over ``block`` members are deal
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from headcast.checkpoints import cut, ensure_checkpoint_dir
 from headcast.llm.arrowmap import small_batches, with_document_columns
 from headcast.llm.components import connected_components
-from headcast.llm.similar import shingle_set
+from headcast.llm.simhash import UPPER_TO_LOWER, fingerprint
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS, FAR_BITS = 256, 32, 4, 1024, 160
 #: No more rows than this are broadcast; beyond, Spark joins them by exchange.
@@ -49,6 +49,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the shingles; one shingle for a text of fewer words, none without words."""
+    words = text.translate(UPPER_TO_LOWER).split() if text else []
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    line, size = b" ".join(words), min(shingle, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    n = len(words) - size + 1
+    first, last, of = np.concatenate([[0], ends[:-1]])[:n].tolist(), (ends[size - 1 :] - 1).tolist(), xxhash.xxh64_intdigest
+    return np.unique(np.array([of(line[i:j]) for i, j in zip(first, last)], dtype=np.uint64))
+
+
 def samples(hashes: np.ndarray, at_once: int = 512) -> np.ndarray:
     """MinHash values of a set: the least of its hashes under each of ``SAMPLES`` multiplications modulo 2 ** 32."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -99,8 +111,9 @@ def similar_sets(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(x) + len(y) - common)
 
 
-def signed_texts(rows: DataFrame, keep: list[str], shingle: int) -> DataFrame:
-    """``keep``, ``node`` (hash of the text's set; null without words), ``size``, ``sketch`` (of the samples, then of the set) and ``bands`` of each row's text."""
+def signed_texts(rows: DataFrame, keep: list[str], shingle: int, prints: int | None = None) -> DataFrame:
+    """``keep``, ``node`` (hash of the text's set; null without words), ``size``, ``sketch`` (of the samples, then of the set) and ``bands`` of each row's text, and with
+    ``prints`` the SimHash fingerprint ``fp`` of its set of so long shingles (else null)."""
 
     def work(texts: list[bytes | None]) -> list:
         nodes, sizes, place, values, whole, known = [], [], [], [], [], {}
@@ -117,10 +130,12 @@ def signed_texts(rows: DataFrame, keep: list[str], shingle: int) -> DataFrame:
         many = np.array(values, dtype=np.uint32).reshape(-1, SAMPLES)
         keys = band_keys(many)
         sketches = np.concatenate([odd_sketches(many), np.array(whole, dtype=np.int64).reshape(-1, LONGS)], axis=1)
-        return [nodes, sizes, [None if p < 0 else sketches[p] for p in place], [None if p < 0 else keys[p] for p in place]]
+        marks = [None if prints is None else fingerprint(t, prints, distinct=True) for t in texts]
+        marks = [m if m is None or m < 1 << 63 else m - (1 << 64) for m in marks]
+        return [nodes, marks, sizes, [None if p < 0 else sketches[p] for p in place], [None if p < 0 else keys[p] for p in place]]
 
     longs = T.ArrayType(T.LongType())
-    return with_document_columns(rows, "text", keep, [("node", T.LongType()), ("size", T.LongType()), ("sketch", longs), ("bands", longs)], lambda: work, slice_rows=500)
+    return with_document_columns(rows, "text", keep, [("node", T.LongType()), ("fp", T.LongType()), ("size", T.LongType()), ("sketch", longs), ("bands", longs)], lambda: work, slice_rows=500)
 
 
 def _ordered(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -232,31 +247,23 @@ def confirmed(pairs: DataFrame, rows: DataFrame, ones: DataFrame, shingle: int,
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def hooked(settled: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    """``node`` and ``root`` after linked groups took the least root beside them, and then that one's: groups that are joined
-    are linked, but not all linked ones need be joined. That takes a fixed number of exchanges; the links themselves decide in the end."""
+def merged(settled: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """``node`` and ``root`` after groups that ``links`` tie together have become one; only groups go through the components."""
     root = lambda side, name: settled.select(F.col("node").alias(side), F.col("root").alias(name))
-    ends = links.join(root("a", "u"), "a").join(root("b", "v"), "b").select("u", "v")
-    least = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
-    least = cut(least.select("u", F.least("u", "m").alias("m")).coalesce(parts))
-    jumped = least.join(least.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m").select(F.col("u").alias("root"), "mm")
-    return cut(settled.join(jumped, "root", "left").select("node", F.coalesce("mm", "root").alias("root")).coalesce(parts))
+    ends = links.join(root("a", "u"), "a").join(root("b", "v"), "b").select("u", "v").distinct()
+    whole = connected_components(ends, "u", "v").select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return cut(settled.join(whole, "root", "left").select("node", F.coalesce("whole", "root").alias("root")).coalesce(parts))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, block: int = 4096) -> DataFrame:
-    """One row per input row: the id, ``n_shingles``, ``component_id`` and ``kept``.
+def linked_texts(rows: DataFrame, shingle: int, block: int = 4096, prints: int | None = None, proposals: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows' nodes (row_id, row_hash, node, size; null without words), and ``root`` of each ``node``, equal for what links connect.
 
-    Texts are linked whose sets of ``shingle``-word shingles have 80 % or more of their union in common; a text of fewer words
-    has its whole sequence as one shingle. ``component_id`` is the smallest id that links reach, itself included, null if no reachable row has
-    one; a row is ``kept`` if it has that id (or both are null). Null and wordless texts have no shingles and are linked with nothing, not
-    even each other. Rows with equal sets are linked, repeated rows give repeated rows, an empty table an empty one; other
-    columns are dropped, so none can clash. Sets and texts are known by 64-bit hashes.
+    ``rows``: row_id, row_hash, text. ``proposals``, if given, names further pairs (a, b) of nodes to begin with, from the nodes with
+    their SimHash fingerprints ``fp`` of ``prints``-word shingle sets; they are confirmed like all others.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = df.select(F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
-    made = cut(signed_texts(rows, ["row_id", "row_hash"], shingle))
+    made = cut(signed_texts(rows, ["row_id", "row_hash"], shingle, prints))
     # equal sets fold into one node, ahead of the exchange; one row stands for it
-    nodes = made.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct("row_id", "row_hash")).alias("one"))
+    nodes = made.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.min(F.struct("row_id", "row_hash")).alias("one"))
     # a small table in few parts: each part that writes to an exchange costs files, however little it holds
     parts = 1 + made.count() // PART_ROWS
     nodes = cut(nodes.coalesce(parts))
@@ -265,14 +272,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = stored(posted.join(several, "key").coalesce(parts))
     settled = nodes.select("node", F.col("node").alias("root"))
-    links = None
+    if proposals is not None:
+        settled = merged(settled, confirmed(proposals(nodes), rows, ones, shingle, parts), parts)
     for mix in (0, 0x5DEECE66D1CE4E5B):
-        found = confirmed(star_pairs(shared, nodes, settled, mix), rows, ones, shingle, parts)
-        links = found if links is None else links.unionByName(found)
-        settled = hooked(settled, found, parts)
-    links = links.unionByName(confirmed(bucket_pairs(shared, nodes, settled, block), rows, ones, shingle, parts))
-    whole = connected_components(links).select("node", "root")
-    settled = nodes.select("node").join(whole, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        settled = merged(settled, confirmed(star_pairs(shared, nodes, settled, mix), rows, ones, shingle, parts), parts)
+    settled = merged(settled, confirmed(bucket_pairs(shared, nodes, settled, block), rows, ones, shingle, parts), parts)
+    return made, settled
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, block: int = 4096) -> DataFrame:
+    """One row per input row: the id, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Texts are linked whose sets of ``shingle``-word shingles have 80 % or more of their union in common; a text of fewer words
+    has its whole sequence as one shingle. ``component_id`` is the smallest id that links reach, itself included, null if no reachable row has
+    one; a row is ``kept`` if it has that id (or both are null). Null and wordless texts have no shingles and are linked with nothing, not
+    even each other. Rows with equal sets are linked, repeated rows give repeated rows, an empty table an empty one; other
+    columns are dropped, so none can clash. Sets and texts are known by 64-bit hashes.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    made, settled = linked_texts(rows, shingle, block)
     least = made.where("node is not null").groupBy("node").agg(F.min("row_id").alias("least")).join(settled, "node").groupBy("root").agg(F.min("least").alias("component"))
     found = made.select("row_id", "size", "node").join(settled.join(least, "root").select("node", "component"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("row_id")).otherwise(F.col("component"))

@@ -1,193 +1,29 @@
 """Groups of texts whose sets of word shingles are alike by Jaccard similarity, each link verified on the sets themselves.
 
-SimHash fingerprints within a radius are the first candidates; those whose sets prove alike form parts. What SimHash
-misses comes from prefixes: with the shingles of all texts in one order, two sets alike by 0.8 or more share some among the
-first |s| - ceil(0.8 |s|) + 1 of each, and enough of them that the rest can make up the similarity. Only texts of different
-parts are compared there. Any order is right; with the shingles of many texts last, few texts meet. Shingles are 64-bit
-hashes. Where over ``MANY_PARTS`` parts share a shingle they meet its pivots instead of each other, in rounds with other
-pivots as parts grow together: all pairs of such a crowd can't be looked at. Elsewhere the result is that of comparing all pairs.
+SimHash fingerprints within a radius are the first proposals; those whose sets prove alike form groups. What SimHash misses
+comes from MinHash bands, which two sets alike by 0.8 share with all but certainty (``minhash``): only texts of different groups
+are compared there, crowded buckets in blocks, and every link is proved as well. The result is that of comparing all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from headcast.checkpoints import cut
-from headcast.llm.arrowmap import with_document_columns
-from headcast.llm.components import connected_components
-from headcast.llm.simhash import UPPER_TO_LOWER, fingerprint, link
+from headcast.llm.minhash import linked_texts
+from headcast.llm.simhash import link
 
-#: About so many texts show which shingles many texts have. It decides the order only, so which texts meet, never a result.
-ORDER_TEXTS = 20_000
-#: No more rows than this are broadcast; beyond, Spark joins them by exchange.
-FEW_ROWS = 2_000_000
 
-
-def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the shingles; one shingle for a text of fewer words, none without words."""
-    words = text.translate(UPPER_TO_LOWER).split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    line, size = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    n = len(words) - size + 1
-    first, last, of = np.concatenate([[0], ends[:-1]])[:n].tolist(), (ends[size - 1 :] - 1).tolist(), xxhash.xxh64_intdigest
-    return np.unique(np.array([of(line[i:j]) for i, j in zip(first, last)], dtype=np.uint64))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first hashes, those in ``common`` (sorted) last by ``rank``, that a set alike by 0.8 can't miss altogether."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    late = np.zeros(n, dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        late = np.where(common[at] == hashes, rank[at] + 1, 0)
-    return hashes[np.lexsort((hashes, late))][: n - (4 * n + 4) // 5 + 1]
-
-
-def common_shingles(rows: DataFrame, n_rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a thousandth or more of some texts, sorted, and their ranks by count."""
-    if not n_rows:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    some = rows.where(F.pmod(F.xxhash64("th", F.lit("order")), F.lit(1_000_000)) < int(min(1.0, ORDER_TEXTS / n_rows) * 1_000_000))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], names=["h"])
-
-    least = max(20, min(n_rows, ORDER_TEXTS) // 1000)
-    table = some.select(F.col("text").cast("binary")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).toArrow()
-    hashes, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    rank = np.empty(len(n), dtype=np.int64)
-    rank[np.lexsort((hashes, n))] = np.arange(len(n))
-    order = np.argsort(hashes)
-    return hashes[order], rank[order]
-
-
-PAIR = "a long, b long, size_a long, size_b long"
-#: Runs of more parts than this are compared through pivots, so that what a run proposes stays in proportion to it.
-MANY_PARTS = 24
-PIVOTS = 4
-#: Shingles of each prefix that the rounds before the last go by, and how many such rounds there are at most.
-SHORT, ROUNDS = 8, 2
-
-
-def _meet(turn: int = 0, at_once: int = 1 << 20):
-    """Pairs of a run of equal keys that lie in different parts and whose sizes don't rule them out.
-
-    Runs of few parts give all such pairs. In others the members meet the run's pivots: the one whose fingerprint is
-    nearest to the majority of all (the likely source of edited copies), and some by a hash that ``turn`` changes.
-    """
-
-    def near(i: np.ndarray, j: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        good = (4 * size[i] <= 5 * size[j]) & (4 * size[j] <= 5 * size[i])
-        i, j = i[good], j[good]
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i], node[j], size[i], size[j])], names=["a", "b", "size_a", "size_b"])
-
-    def pivots(node: np.ndarray, fp: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1)
-        middle = 2 * bits.sum(axis=0, dtype=np.int64) > len(fp)
-        chosen = [int((bits != middle).sum(axis=1).argmin())]
-        for k in range(PIVOTS - 1):
-            with np.errstate(over="ignore"):
-                mixed = (node.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (1 + turn * PIVOTS + k) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-            chosen.append(int((mixed ^ mixed >> np.uint64(32)).argmin()))
-        return np.unique(chosen)
-
-    def pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        parts, part, members = np.unique(root, return_inverse=True, return_counts=True)
-        if len(parts) < 2:
-            return
-        if len(parts) > MANY_PARTS:
-            for at in pivots(node, fp).tolist():
-                others = np.flatnonzero(part != part[at])
-                yield near(np.full(len(others), at), others, node, size)
-            return
-        # part by part against all that follow it, the largest last: members of one part never meet
-        rank = np.empty(len(parts), dtype=np.int64)
-        rank[np.argsort(members, kind="stable")] = np.arange(len(parts))
-        order = np.argsort(rank[part], kind="stable")
-        node, size, part = node[order], size[order], rank[part][order]
-        follow = np.searchsorted(part, part, side="right")
-        counts, begin = len(node) - follow, 0
-        while begin < len(node):
-            end = begin + max(1, int(np.searchsorted(np.cumsum(counts[begin:]), at_once)))
-            some = counts[begin:end]
-            i = np.repeat(np.arange(begin, min(end, len(node))), some)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(follow[begin:end], some)
-            yield near(i, j, node, size)
-            begin = end
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            columns = columns if held is None else [np.concatenate(c) for c in zip(held, columns)]
-            if not len(columns[0]):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]])).tolist()
-            for b, e in zip(starts, starts[1:]):
-                if e - b > 1:
-                    yield from pairs(*[c[b:e] for c in columns[1:]])
-            held = [c[starts[-1] :] for c in columns]
-        if held is not None:
-            yield from pairs(*held[1:])
-
-    return work
-
-
-def prefix_pairs(wide: DataFrame, turn: int, short: int | None = None) -> DataFrame:
-    """``a``, ``b``: nodes of different parts whose prefixes have enough in common. ``wide``: node, root, size, fp, prefix.
-
-    With c common shingles in the prefixes, all other common ones lie in the rest of one of the two sets, so the sets
-    share at most c plus the larger rest; pairs for which that can't reach 4/9 of both sizes together aren't alike. By the
-    first ``short`` shingles alone, two common ones (or all of one that has fewer) make a candidate.
-    """
-    keys = F.col("prefix") if short is None else F.slice("prefix", 1, short)
-    posted = wide.select(F.explode(keys).alias("key"), "node", "root", F.col("size").cast("long").alias("size"), "fp").repartition("key").sortWithinPartitions("key", "node")
-    met = posted.mapInArrow(_meet(turn), PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("common"))
-    if short is not None:
-        return met.where((F.col("common") >= 2) | (F.least("size_a", "size_b") < 10)).select("a", "b")
-    rest = F.greatest("size_a", "size_b")
-    rest = F.floor((4 * rest + 4) / 5) - 1
-    return met.where(9 * (F.col("common") + rest) >= 4 * (F.col("size_a") + F.col("size_b"))).select("a", "b")
-
-
-def alike(pairs: DataFrame, rows: DataFrame, ones: DataFrame, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (nodes a, b) whose sets are alike by 0.8 or more. ``ones`` names a row of ``rows`` for each node."""
-    pairs = cut(pairs)
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ones, "node"))
-    keys = [c for c in ones.columns if c != "node"]
-    side = F.broadcast(needed) if needed.count() <= FEW_ROWS else needed
-    texts = rows.join(side, keys).select("node", "text")
-
-    def make():
-        return lambda found: [[shingle_set(t, shingle).view(np.int64) for t in found]]
-
-    # rows that share id and text are one node: any of them will do
-    sets = with_document_columns(texts, "text", ["node"], [("hashes", T.ArrayType(T.LongType()))], make)
-    sets = cut(sets.dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return cut(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
-
-
-def _merged(settled: DataFrame, links: DataFrame) -> DataFrame:
-    """``node`` and ``root`` after parts that ``links`` tie together have become one; only parts go through the components."""
-    ends = links.join(settled.select(F.col("node").alias("a"), F.col("root").alias("u")), "a").join(settled.select(F.col("node").alias("b"), F.col("root").alias("v")), "b")
-    joined = connected_components(ends.select("u", "v").distinct(), "u", "v").select(F.col("node").alias("root"), F.col("root").alias("whole"))
-    return cut(settled.join(joined, "root", "left").select("node", F.coalesce("whole", "root").alias("root")))
+def print_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """``a``, ``b``: nodes that fingerprints within ``radius`` bits tie together; those of one fingerprint are tied to its least node."""
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    near = link(heads.select("fp"), radius)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("u")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("v")), "b").select("u", "v")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    return near.unionByName(same).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: Sequence[str] = ("doc_id", "th"), shingle: int = 5, print_shingle: int = 2, radius: int = 4) -> DataFrame:
@@ -197,41 +33,9 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     fingerprints that propose links are those of ``print_shingle``-word sets. Wordless and null texts are copies of each
     other. Repeated rows give repeated rows, an empty table an empty one; other columns are dropped.
     """
-    key, th = keys
-    rows = df.select(F.col(f"`{id_col}`").alias(key), F.xxhash64(F.col(f"`{text_col}`")).alias(th), F.col(f"`{text_col}`").cast("string").alias("text"))
-    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows.withColumnRenamed(th, "th"), rows.count(), shingle))
-
-    def make():
-        hashes, rank = common.value
-
-        def work(texts: list[bytes | None]):
-            sets = [shingle_set(t, shingle) for t in texts]
-            prints = np.array([fingerprint(t, print_shingle, distinct=True) for t in texts], dtype=np.uint64).view(np.int64)
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            return [prints.tolist(), nodes.tolist(), [len(s) for s in sets], [prefix(s, hashes, rank).view(np.int64) for s in sets]]
-
-        return work
-
-    fields = [("fp", T.LongType()), ("node", T.LongType()), ("size", T.IntegerType()), ("prefix", T.ArrayType(T.LongType()))]
-    made = cut(with_document_columns(rows, "text", [key, th], fields, make))
-    # copies fold into one node; a node's fingerprint follows from its words, so any of its rows has it
-    nodes = cut(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col(key), F.col(th))).alias("one")))
-    ones = nodes.select("node", "one.*")
-    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
-    near = link(heads.select("fp"), radius)
-    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("u")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("v")), "b").select("u", "v")
-    same = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    proposed = near.unionByName(same).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    proved = alike(proposed, rows, ones, shingle)
-    one_each = made.select("node", "size", "fp", "prefix").dropDuplicates(["node"])
-    settled, turn = _merged(nodes.select("node", F.col("node").alias("root")), proved), 0
-    while turn <= ROUNDS:
-        last = turn == ROUNDS
-        found = alike(prefix_pairs(one_each.join(settled, "node"), turn, None if last else SHORT), rows, ones, shingle)
-        if not found.isEmpty():
-            settled = _merged(settled, found)
-            turn += 1
-        else:
-            # the shortened prefixes show no more: on to the whole ones
-            turn = ROUNDS + 1 if last else ROUNDS
-    return made.select(key, th, "node").join(settled, "node").select(key, th, "root")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"), text.alias("text"))
+    made, settled = linked_texts(rows, shingle, prints=print_shingle, proposals=lambda nodes: print_pairs(nodes, radius))
+    # texts without words have no node: they share the root null, which no other group has
+    found = made.select("row_id", "row_hash", "node").join(settled, "node", "left")
+    return found.select(F.col("row_id").alias(keys[0]), F.col("row_hash").alias(keys[1]), F.coalesce("root", F.lit(0)).alias("root"))
