@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from headcast.llm import bpe, quality_rules, registry, secrets, simhash, similar
+from headcast.llm import bpe, minhash, quality_rules, registry, secrets, simhash, similar
 
 
 def alike(x: str, y: str, size: int = 5) -> bool:
@@ -179,11 +179,27 @@ def test_a_large_group_of_edited_copies_is_one_without_meeting_in_pairs(spark, m
             changed[rng.randrange(60)] = f"y{rng.randrange(10**9)}"
             texts.append(" ".join(changed))
     asked = []
-    alike_of = similar.alike
-    monkeypatch.setattr(similar, "alike", lambda pairs, *rest: asked.append(pairs.count()) or alike_of(pairs, *rest))
+    confirmed = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirmed(pairs, *rest))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     group = groups_of(texts)
     got = {r.doc_id: r.root for r in similar.grouped(docs).collect()}
     linked = sum(1 for i in range(len(texts)) if got[i] == got[group[i]])
-    assert linked >= 0.97 * len(texts) and len(set(group)) == 2 and sum(asked) < 40 * len(texts)
+    assert linked == len(texts) and len(set(group)) == 2 and sum(asked) < 40 * len(texts)
     assert all(group[i] == group[j] for i in range(0, len(texts), 7) for j in range(0, len(texts), 11) if got[i] == got[j])
+
+
+@pytest.mark.parametrize("shared", [120, 145])
+def test_shared_boilerplate_hides_no_link(spark, shared):
+    """Texts that share most of their words with many others, each with one twin: every twin is found, and nothing else."""
+    rng, texts = random.Random(shared), []
+    for _ in range(16):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(shared)]
+        for _ in range(30):
+            own = [f"o{rng.randrange(10**6)}" for _ in range(200 - shared)]
+            texts.append(" ".join(passage + own))
+            own[rng.randrange(5, len(own) - 5)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(passage + own))
+    got = {r.doc_id: r.root for r in similar.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(alike(texts[i], texts[i + 1]) and got[i] == got[i + 1] for i in range(0, len(texts), 2))
+    assert len(set(got.values())) == len(texts) // 2
