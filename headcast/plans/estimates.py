@@ -10,6 +10,7 @@ from headcast.operators import arrivals as arr
 from headcast.operators import estimate as op
 from headcast.operators import joins, sinks
 from headcast.operators.joins import seconds_of
+from headcast.operators.sliding import Spread, micros, over_windows
 from headcast.plans import arrivals as arrival_plans
 from headcast.plans.arrivals import E, NOW, NOW_COLUMN
 from headcast.sources import proxies
@@ -20,6 +21,22 @@ from headcast.sources.proxies import sql
 TIE = 1e-7
 
 
+#: Microseconds that recent predictions lie back; the test tables have one event in minutes.
+RECENT_US = 86_400_000_000
+
+
+def with_volatility(rows: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``n_recent`` and ``volatility``: how far the predicted times of their key scattered up to their own poll."""
+    told = predictions.select(*keys, F.col("polled_at").alias("told_at"), (F.unix_micros(F.col("arrival_at").cast("timestamp")) / 1e6).alias("predicted_s"))
+    return over_windows(rows, told, keys, micros(F.col("polled_at")), micros(F.col("told_at")), -RECENT_US, 0, Spread, ["predicted_s"])
+
+
+def g37_volatility(s: SparkSession, d: str) -> DataFrame:
+    """Of each prediction, how far those of its run and stop scattered in the day up to it (interquartile range / 1.349)."""
+    rows = with_volatility(proxies.arrivals(s, d).select("event_id", "line", "station", "polled_at"), proxies.arrivals(s, d), ["line", "station"])
+    return rows.select("event_id", "n_recent", rounded(F.coalesce("volatility", F.lit(-1.0)), 3).alias("volatility"))
+
+
 def f13_train_estimates(s: SparkSession, d: str) -> DataFrame:
     """Predictions of the last day before now, with their run's latest position and its latest other prediction."""
     now = seconds_of(NOW_COLUMN())
@@ -28,10 +45,13 @@ def f13_train_estimates(s: SparkSession, d: str) -> DataFrame:
     position = last.select("line", "run", "next_station", "position_fault", F.col("polled_at").alias("position_at"))
     follow = a.groupBy("line", "run", "station").agg(F.max_by(F.struct("arrival_at", "event_id"), F.struct("polled_at", "event_id")).alias("f")).select("line", "run", "station", F.col("f.arrival_at").alias("follow_at"), F.col("f.event_id").alias("follow_id"))
     rows = a.join(position, ["line", "run"], "left").join(follow, ["line", "run", "station"], "left")
+    third = joins.latest_by(proxies.arrivals(s, d).where((F.col("event_id") % 4 == 1) & (F.col("polled_at") <= NOW_COLUMN())).select("line", "station", "polled_at", "event_id", F.col("arrival_at").alias("third_at")), ["line", "station"], "polled_at", "event_id")
+    rows = rows.join(third.select("line", "station", "third_at"), ["line", "station"], "left")
+    rows = with_volatility(rows, proxies.arrivals(s, d), ["line", "run", "station"])
     other = F.when(F.col("follow_id") != F.col("event_id"), F.col("follow_at"))
     evidence = rows.withColumns({
         "prediction_age_s": now - seconds_of(F.col("polled_at")), "position_found": F.col("position_at").isNotNull(), "position_age_s": now - seconds_of(F.col("position_at")), "eta_s": seconds_of(F.col("arrival_at")) - now, "follow_s": seconds_of(other) - now,
-        "follow_gap_s": F.abs(seconds_of(other) - seconds_of(F.col("arrival_at"))), "gtfsrt_gap_s": F.lit(None).cast("double"), "volatility_s": F.lit(None).cast("double"), "downstream": F.when(F.col("next_station") % 7 != 0, F.col("next_station") < F.col("station")),
+        "follow_gap_s": F.abs(seconds_of(other) - seconds_of(F.col("arrival_at"))), "gtfsrt_gap_s": F.abs(seconds_of(F.col("third_at")) - seconds_of(F.col("arrival_at"))), "volatility_s": F.col("volatility"), "downstream": F.when(F.col("next_station") % 7 != 0, F.col("next_station") < F.col("station")),
     })
     out = op.train_estimates(evidence)
     return out.select("event_id", rounded(F.col("reliability"), 4).alias("reliability"), "display", F.array_join("reasons", ",").alias("reasons"), *[rounded(F.col(c), 2).alias(c) for c in ("arrival_s", "low80", "high80", "low95", "high95")])
@@ -60,7 +80,7 @@ def f12_bus_estimates(s: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", rounded(F.col("reliability"), 4).alias("reliability"), "display", F.array_join("reasons", ",").alias("reasons"), *[rounded(F.col(c) + TIE, 2).alias(c) for c in ("arrival_s", "low80", "high80", "low95", "high95")])
 
 
-QUERIES = {f.__name__: f for f in (f12_bus_estimates, f13_train_estimates)}
+QUERIES = {f.__name__: f for f in (f12_bus_estimates, f13_train_estimates, g37_volatility)}
 
 
 def _rule_sql(rules, start: float) -> str:
@@ -71,6 +91,11 @@ def _rule_sql(rules, start: float) -> str:
     return f"greatest(0, least(1, {score})) AS rel, {reasons} AS reasons, {abstain} AS abstain"
 
 
+def _scatter_sql(keys: str) -> str:
+    return f"""SELECT event_id, n AS n_recent, CASE WHEN n >= 3 THEN abs(hi - lo) / 1.349 END AS volatility FROM (SELECT event_id, count(*) OVER w AS n, quantile_cont(epoch_us(arrival_at) / 1e6, 0.75) OVER w AS hi, quantile_cont(epoch_us(arrival_at) / 1e6, 0.25) OVER w AS lo
+      FROM arrivals WINDOW w AS (PARTITION BY {keys} ORDER BY epoch_us(polled_at) RANGE BETWEEN {RECENT_US} PRECEDING AND CURRENT ROW))"""
+
+
 NOW_S = f"epoch(TIMESTAMP '{NOW}')"
 #: The map match is the one of the arrival family: its views, without what goes around them.
 MATCHED = arrival_plans.ORACLE["f6_map_match"].removeprefix("WITH ")
@@ -78,6 +103,7 @@ MATCH_VIEWS, MATCH_BODY = MATCHED[: MATCHED.index("SELECT event_id AS vehicle_ro
 BUS_SCORE = _rule_sql(op.BUS_RULES, op.BUS_START).replace("greatest(0, least(1, ", "(", 1).replace(")) AS rel", ") AS score", 1)
 PLUS = "coalesce(greatest(0, {} - 30) * {}, 0)".format
 ORACLE = {
+    "g37_volatility": sql(f"SELECT event_id, CAST(n_recent AS INTEGER) AS n_recent, round(coalesce(volatility, -1.0), 3) AS volatility FROM ({_scatter_sql('line, station')})", "arrivals"),
     "f12_bus_estimates": f"""WITH {MATCH_VIEWS}, matched AS ({MATCH_BODY.replace("round(pdist1 + t * (pdist2 - pdist1), 3) AS projected", "pdist1 + t * (pdist2 - pdist1) AS projected")}),
       course AS (SELECT *, list(pdist) OVER (PARTITION BY vid ORDER BY at_s, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM vehicles),
       evidence AS (SELECT v.event_id, v.event_id % 11 <> 0 AS vehicle_found, v.age_s AS vehicle_age_s, (v.event_id % 200)::DOUBLE AS prediction_age_s, v.event_id % 40 AS dyn, v.event_id % 5 <> 0 AS same_route, (v.event_id % 1500)::DOUBLE AS eta_s,
@@ -104,9 +130,11 @@ ORACLE = {
         recent=f"SELECT * FROM arrivals WHERE polled_at <= TIMESTAMP '{NOW}' AND {NOW_S} - {E('polled_at')} <= 86400",
         pos=f"SELECT line, run, station AS next_station, fault AS position_fault, polled_at AS position_at FROM (SELECT *, row_number() OVER (PARTITION BY line, run ORDER BY polled_at DESC, event_id DESC) AS n FROM positions WHERE polled_at <= TIMESTAMP '{NOW}') WHERE n = 1",
         fol="SELECT line, run, station, arrival_at AS follow_at, event_id AS follow_id FROM (SELECT *, row_number() OVER (PARTITION BY line, run, station ORDER BY polled_at DESC, event_id DESC) AS n FROM recent) WHERE n = 1",
+        third=f"SELECT line, station, arrival_at AS third_at FROM (SELECT *, row_number() OVER (PARTITION BY line, station ORDER BY polled_at DESC, event_id DESC) AS n FROM arrivals WHERE event_id % 4 = 1 AND polled_at <= TIMESTAMP '{NOW}') WHERE n = 1",
+        scatter=_scatter_sql("line, run, station"),
         evidence=f"""SELECT a.*, p.next_station, p.position_fault, {NOW_S} - {E('a.polled_at')} AS prediction_age_s, p.position_at IS NOT NULL AS position_found, {NOW_S} - {E('p.position_at')} AS position_age_s, {E('a.arrival_at')} - {NOW_S} AS eta_s,
-        CASE WHEN f.follow_id <> a.event_id THEN {E('f.follow_at')} - {NOW_S} END AS follow_s, CASE WHEN f.follow_id <> a.event_id THEN abs({E('f.follow_at')} - {E('a.arrival_at')}) END AS follow_gap_s, NULL::DOUBLE AS gtfsrt_gap_s, NULL::DOUBLE AS volatility_s,
-        CASE WHEN p.next_station % 7 <> 0 THEN p.next_station < a.station END AS downstream FROM recent a LEFT JOIN pos p USING (line, run) LEFT JOIN fol f USING (line, run, station)""",
+        CASE WHEN f.follow_id <> a.event_id THEN {E('f.follow_at')} - {NOW_S} END AS follow_s, CASE WHEN f.follow_id <> a.event_id THEN abs({E('f.follow_at')} - {E('a.arrival_at')}) END AS follow_gap_s, abs({E('t.third_at')} - {E('a.arrival_at')}) AS gtfsrt_gap_s, w.volatility AS volatility_s,
+        CASE WHEN p.next_station % 7 <> 0 THEN p.next_station < a.station END AS downstream FROM recent a LEFT JOIN pos p USING (line, run) LEFT JOIN fol f USING (line, run, station) LEFT JOIN third t USING (line, station) LEFT JOIN scatter w USING (event_id)""",
         judged=f"SELECT *, {_rule_sql(op.TRAIN_RULES, op.TRAIN_START)} FROM evidence",
     ),
 }
