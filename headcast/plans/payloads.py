@@ -161,7 +161,7 @@ def j17_stop_changes(s: SparkSession, d: str) -> DataFrame:
 
 def j14_pattern_choice(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    patterns = proxies.table(s, d, "part").where("p_partkey <= 60").select(k.cast("int").alias("pid"), F.concat(F.lit("r"), k % 6).alias("rt"), F.when(k % 2 == 0, "north").otherwise("south").alias("rtdir"), (100.0 * (k % 10)).alias("length_ft"))
+    patterns = proxies.table(s, d, "part").select(k.cast("int").alias("pid"), F.concat(F.lit("r"), k % 6).alias("rt"), F.when(k % 2 == 0, "north").otherwise("south").alias("rtdir"), (100.0 * (k % 10)).alias("length_ft"))
     rows = proxies.arrivals(s, d).select("event_id", F.concat(F.lit("r"), F.col("run") % 7).alias("rt"), F.col("direction_code").alias("rtdir"), F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 90).cast("int")).alias("pid"))
     return detours.pattern_choice(rows, patterns).select("event_id", F.coalesce("pattern", F.lit(-1)).alias("pattern"))
 
@@ -218,7 +218,7 @@ ORACLE = {
       p_partkey % 3 = 0 AND ('D' || ((p_partkey + 1) % 120)) IN (SELECT id FROM act) AS stop_removed FROM part""",
     "j14_pattern_choice": sql("""SELECT event_id, CAST(coalesce(k.pid, b.pid, -1) AS INTEGER) AS pattern FROM (SELECT event_id, 'r' || (run % 7) AS rt, direction_code AS rtdir, CASE WHEN event_id % 3 = 0 THEN event_id % 90 END AS pid FROM arrivals) a LEFT JOIN pat k ON k.pid = a.pid
       LEFT JOIN (SELECT rt, rtdir, arg_max(pid, (len, -pid)) AS pid FROM pat GROUP BY ALL) b ON b.rt = a.rt AND b.rtdir = a.rtdir""", "arrivals",
-      pat="SELECT p_partkey AS pid, 'r' || (p_partkey % 6) AS rt, CASE WHEN p_partkey % 2 = 0 THEN 'north' ELSE 'south' END AS rtdir, 100.0 * (p_partkey % 10) AS len FROM part WHERE p_partkey <= 60"),
+      pat="SELECT p_partkey AS pid, 'r' || (p_partkey % 6) AS rt, CASE WHEN p_partkey % 2 = 0 THEN 'north' ELSE 'south' END AS rtdir, 100.0 * (p_partkey % 10) AS len FROM part"),
     "a31_new_archives": """WITH r AS (SELECT o_orderpriority AS agency, sha256(concat_ws('|', o_orderstatus, CAST(o_custkey % 40 AS VARCHAR))) AS hash, o_orderkey AS archive_id FROM orders) SELECT agency, hash, min(archive_id) AS archive_id FROM r WHERE archive_id % 10 <> 0
       AND NOT EXISTS (SELECT 1 FROM r t WHERE t.archive_id % 10 = 0 AND t.agency = r.agency AND t.hash = r.hash) GROUP BY ALL""",
     "j19_fallback_places": sql("""SELECT a.line, a.station, a.n, round(coalesce(k.lat, s.lat), 4) AS lat, CASE WHEN k.lat IS NOT NULL THEN 'catalogue' WHEN s.lat IS NOT NULL THEN 'seen' ELSE 'none' END AS source FROM (SELECT line, station, count(*) AS n FROM arrivals GROUP BY ALL) a

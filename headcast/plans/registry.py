@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcast.plans import arrivals, calibration, estimates, lifecycle, payloads, predictions, reports, stores, streams, trainings
+from headcast.plans import arrivals, bodies, calibration, estimates, lifecycle, payloads, predictions, reports, stores, streams, trainings
 
-FAMILIES = (calibration, arrivals, predictions, estimates, reports, lifecycle, payloads, streams, stores, trainings)
+FAMILIES = (calibration, arrivals, predictions, estimates, reports, lifecycle, payloads, bodies, streams, stores, trainings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
