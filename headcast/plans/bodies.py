@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headcast.operators import sinks
 from headcast.sources import feeds, ingest, proxies
 from headcast.sources.proxies import sql
 
@@ -160,7 +161,76 @@ def a36_catalogue(s: SparkSession, d: str) -> DataFrame:
     return made["by_line"].join(made["by_name"].select("name", F.col("map_id").alias("first_id")), "name").select("map_id", "name", "line", "first_id")
 
 
+def _bustime(rows: DataFrame, item: Column, name: str, *keep: str) -> DataFrame:
+    """Bodies of one item each, with the columns ``keep``."""
+    return rows.select(*keep, F.to_json(F.struct(F.struct(F.array(item).alias(name)).alias("bustime-response"))).alias("body"))
+
+
+def a6_legacy_predictions(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    told = F.when(n % 17 == 0, "DLY").when(n % 5 == 0, "due ").when(n % 7 == 0, "soon").when(n % 11 != 0, text(n % 40))
+    item = F.struct(text("station").alias("stpid"), text("event_id").alias("vid"), F.col("line").alias("rt"), told.alias("prdctdn"))
+    return ingest.legacy_bus_predictions(_bustime(proxies.arrivals(s, d), item, "prd")).select("vehicle", "line", "stop", "minutes", "approaching")
+
+
+def a10_directions(s: SparkSession, d: str) -> DataFrame:
+    """Directions of routes as the newest poll names them; the feed has them with an id or without."""
+    n = F.col("event_id")
+    item = F.struct(F.when(n % 2 == 0, F.col("direction_code")).alias("id"), F.when(n % 2 == 0, F.concat("direction_code", F.lit("bound "), text("station"))).alias("name"), F.when(n % 2 == 1, F.concat(F.lit(" "), "direction_code")).alias("dir"))
+    rows = ingest.bus_directions(_bustime(proxies.arrivals(s, d), item, "directions", F.col("line").alias("rt"), n.alias("poll_id")))
+    return sinks.overwrite(rows.limit(0), rows, ["rt", "direction"], "poll_id").select("rt", "direction", "name", "poll_id")
+
+
+def a11_stops(s: SparkSession, d: str) -> DataFrame:
+    """Stops where a poll without coordinates or route keeps those that were known."""
+    n = F.col("event_id")
+    item = F.struct(text("station").alias("stpid"), F.concat(F.lit("Stop "), text(n % 3)).alias("stpnm"), F.when(n % 4 == 0, text("lat")).alias("lat"), F.when(n % 4 == 0, "east").when(n % 4 == 1, text("lon")).alias("lon"))
+    rows = ingest.bus_stops(_bustime(events(s, d), item, "stops", F.when(n % 6 == 0, F.col("line")).alias("rt"), n.alias("poll_id")))
+    out = sinks.coalescing_upsert(rows.limit(0), rows, ["stop"], "poll_id")
+    return out.select("stop", "name", F.coalesce("rt", F.lit("none")).alias("rt"), F.round(F.coalesce("lat", F.lit(0.0)), 6).alias("lat"), F.round(F.coalesce("lon", F.lit(0.0)), 6).alias("lon"), "poll_id")
+
+
+def _targets(s: SparkSession, d: str) -> DataFrame:
+    a = proxies.arrivals(s, d)
+    known = a.where("station % 3 <> 0").select(F.col("line").alias("route"), F.col("station").alias("stop"), F.concat(F.col("direction_code"), F.lit("bound")).alias("direction_label"))
+    return feeds.monitored_targets(a.select(F.col("line").alias("route"), F.col("station").alias("stop")), known)
+
+
+def a37_targets(s: SparkSession, d: str) -> DataFrame:
+    return _targets(s, d).select("rt", "stpid", F.coalesce("direction", F.lit("none")).alias("direction"))
+
+
+def a37_target_lists(s: SparkSession, d: str) -> DataFrame:
+    return feeds.target_lists(_targets(s, d)).select(*[F.array_join(c, ",").alias(c) for c in ("routes", "stops", "directions")])
+
+
+def a37_station_targets(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    stations = proxies.table(s, d, "supplier").select(k.alias("map_id"), F.col("s_name").alias("name"), F.filter(F.array(F.when(k % 2 == 0, "Red"), F.when(k % 3 == 0, "Blue"), F.when(k % 5 == 0, "Pink")), lambda x: x.isNotNull()).alias("served_lines"))
+    return feeds.station_targets(stations, ["Pink", "Red"]).select("map_id", "name", F.array_join("lines", ",").alias("lines"))
+
+
+def g22_group_keys(s: SparkSession, d: str) -> DataFrame:
+    """Prediction groups by all ten keys, unknown ones being equal to each other."""
+    n = F.col("event_id")
+    rows = proxies.arrivals(s, d).select(
+        F.col("line").alias("rt"), "direction_code", text("station").alias("stpid"), text("run").alias("vid"), F.when(n % 3 == 0, text(n % 5)).alias("tatripid"), F.when(n % 2 == 0, "A").otherwise("D").alias("typ"), F.when(n % 4 == 0, "Loop").alias("des"),
+        F.when(n % 5 == 0, (n % 3).cast("int")).alias("dyn"), (n % 7 == 0).alias("dly"), F.when(n % 9 == 0, 1).alias("flagstop"), "polled_at", "arrival_at",
+    )
+    keys = rows.columns[:10]
+    by = rows.groupBy(*keys).agg(F.min("polled_at").alias("first_seen_at"), F.max("arrival_at").alias("last_predicted_at"), F.count("*").alias("n"))
+    return by.select(*[F.coalesce(text(c), F.lit("-")).alias(c) for c in keys], "first_seen_at", "last_predicted_at", "n")
+
+
+def g40_all_versions(s: SparkSession, d: str) -> DataFrame:
+    """Versions that are built in, that have made forecasts, and that the registry names."""
+    used = proxies.forecasts(s, d).select(F.col("predictor_version").alias("version"))
+    fitted = proxies.table(s, d, "part").select(F.concat(F.lit("gbm-v"), text(F.col("p_size") % 4)).alias("version"))
+    return used.union(fitted).union(s.createDataFrame([("kernel-v1",), ("kernel-v1+eb",)], "version string")).distinct()
+
+
 QUERIES = {f.__name__: f for f in (
+    a6_legacy_predictions, a10_directions, a11_stops, a37_targets, a37_target_lists, a37_station_targets, g22_group_keys, g40_all_versions,
     a16_stop_times, a17_vehicle_positions, a18_realtime_alerts, a21_service_alerts, a22_weather, a23_air_quality, a24_sports, a25_venues, a26_social, a27_traffic, a28_open_data, a36_catalogue,
 )}
 
@@ -173,7 +243,20 @@ def _sql(body: str) -> str:
     return sql(body, "arrivals", "vehicles", **BOTH)
 
 
+TARGETS = """SELECT DISTINCT line AS rt, CAST(station AS VARCHAR) AS stpid, CASE WHEN station % 3 <> 0 THEN (SELECT min(b.direction_code || 'bound') FROM arrivals b WHERE b.line = a.line AND b.station = a.station) END AS direction FROM arrivals a"""
+KEYS = {"tatripid": "CASE WHEN event_id % 3 = 0 THEN event_id % 5 END", "typ": "CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'D' END", "des": "CASE WHEN event_id % 4 = 0 THEN 'Loop' END", "dyn": "CASE WHEN event_id % 5 = 0 THEN event_id % 3 END", "dly": "event_id % 7 = 0", "flagstop": "CASE WHEN event_id % 9 = 0 THEN 1 END"}
 ORACLE = {
+    "a6_legacy_predictions": sql(f"""SELECT {ID} AS vehicle, line, CAST(station AS VARCHAR) AS stop, m AS minutes, m <= 1 AS approaching FROM (SELECT *, CASE WHEN event_id % 17 = 0 THEN 99 WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 7 = 0 THEN 99 WHEN event_id % 11 <> 0 THEN event_id % 40 ELSE 99 END::DOUBLE AS m FROM arrivals)""", "arrivals"),
+    "a10_directions": sql("""SELECT rt, direction, name, poll_id FROM (SELECT line AS rt, direction_code AS direction, CASE WHEN event_id % 2 = 0 THEN direction_code || 'bound ' || station ELSE ' ' || direction_code END AS name, event_id AS poll_id,
+      row_number() OVER (PARTITION BY line, direction_code ORDER BY event_id DESC) AS k FROM arrivals) WHERE k = 1""", "arrivals"),
+    "a11_stops": _sql("""SELECT CAST(station AS VARCHAR) AS stop, arg_max('Stop ' || (event_id % 3), event_id) AS name, coalesce(arg_max(line, event_id) FILTER (WHERE event_id % 6 = 0), 'none') AS rt, round(coalesce(arg_max(lat, event_id) FILTER (WHERE event_id % 4 = 0), 0), 6) AS lat,
+      round(coalesce(arg_max(lon, event_id) FILTER (WHERE event_id % 4 = 1), 0), 6) AS lon, max(event_id) AS poll_id FROM both_ GROUP BY station"""),
+    "a37_targets": sql(f"SELECT rt, stpid, coalesce(direction, 'none') AS direction FROM ({TARGETS})", "arrivals"),
+    "a37_target_lists": sql(f"SELECT string_agg(DISTINCT rt, ',' ORDER BY rt) AS routes, string_agg(DISTINCT stpid, ',' ORDER BY stpid) AS stops, string_agg(DISTINCT direction, ',' ORDER BY direction) AS directions FROM ({TARGETS})", "arrivals"),
+    "a37_station_targets": "SELECT s_suppkey AS map_id, s_name AS name, concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 'Pink' END, CASE WHEN s_suppkey % 2 = 0 THEN 'Red' END) AS lines FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 2 = 0",
+    "g22_group_keys": sql("SELECT rt, direction_code, stpid, vid, " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '-') AS {k}" for k in KEYS) + """, min(polled_at) AS first_seen_at, max(arrival_at) AS last_predicted_at, count(*) AS n
+      FROM (SELECT line AS rt, direction_code, CAST(station AS VARCHAR) AS stpid, CAST(run AS VARCHAR) AS vid, polled_at, arrival_at, """ + ", ".join(f"{v} AS {k}" for k, v in KEYS.items()) + " FROM arrivals) GROUP BY ALL", "arrivals"),
+    "g40_all_versions": sql("SELECT predictor_version AS version FROM forecasts UNION SELECT 'gbm-v' || (p_size % 4) FROM part UNION SELECT 'kernel-v1' UNION SELECT 'kernel-v1+eb'", "forecasts"),
     "a16_stop_times": _sql("""SELECT event_id, line || ':' || run AS trip_id, line, CAST(station AS VARCHAR) AS stop, CAST(run AS VARCHAR) AS vehicle, p AS predicted_s, dl AS delay_s, dl > 60 AS delayed
       FROM (SELECT *, CAST(floor(epoch(arrival_at)) AS BIGINT) + CASE WHEN event_id % 3 = 1 THEN 30 ELSE 0 END AS p, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN event_id % 90 ELSE event_id % 120 END AS dl FROM both_)"""),
     "a17_vehicle_positions": _sql(f"""SELECT {ID} AS vehicle, CAST(run AS VARCHAR) AS trip_id, line, round(lat, 6) AS lat, round(lon, 6) AS lon, round(coalesce(heading, 1.5), 6) AS heading, CASE WHEN approaching THEN 'incoming_at' ELSE 'in_transit_to' END AS status, 'running_smoothly' AS congestion,

@@ -131,3 +131,25 @@ def station_catalogue(stations: DataFrame) -> dict[str, DataFrame]:
     by_line = stations.select("map_id", "name", F.explode("served_lines").alias("line"))
     by_name = stations.groupBy("name").agg(F.min_by(F.struct(*[c for c in stations.columns if c != "name"]), "map_id").alias("s")).select("name", "s.*")
     return {"by_line": by_line, "by_name": by_name}
+
+
+def monitored_targets(monitored: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """What to poll: ``rt``, ``stpid`` and the direction's label where the catalogue (route, stop, direction_label) knows it.
+
+    ``monitored``: route, stop; each pair once.
+    """
+    known = catalogue.groupBy(F.col("route").cast("string").alias("rt"), F.col("stop").cast("string").alias("stpid")).agg(F.min("direction_label").alias("direction"))
+    pairs = monitored.select(F.col("route").cast("string").alias("rt"), F.col("stop").cast("string").alias("stpid")).distinct()
+    return pairs.join(known, ["rt", "stpid"], "left")
+
+
+def target_lists(targets: DataFrame) -> DataFrame:
+    """One row: the different routes, stops and known directions of the targets, in order."""
+    every = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
+    return targets.agg(every("rt").alias("routes"), every("stpid").alias("stops"), every("direction").alias("directions"))
+
+
+def station_targets(stations: DataFrame, lines: list[str]) -> DataFrame:
+    """Stations (map_id, name, served_lines) that serve any of ``lines``, with those that they serve."""
+    served = F.array_intersect("served_lines", F.array(*map(F.lit, lines)))
+    return stations.select("map_id", "name", F.array_sort(served).alias("lines")).where(F.size("lines") > 0)

@@ -82,6 +82,11 @@ def bus_predictions(payloads: DataFrame, body: str = "body") -> DataFrame:
     return made.withColumns({"prediction_age_s": _seconds("server_at", "stamped_at"), "eta_s": _seconds("arrival_at", "server_at")}) if "server_at" in keep else made
 
 
+def legacy_bus_predictions(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """``bus_predictions`` of the older feed: a countdown that is missing or no number counts as 99 minutes."""
+    return bus_predictions(payloads, body).withColumn("minutes", F.coalesce("minutes", F.lit(99.0)))
+
+
 def _seconds(later: str, earlier: str) -> Column:
     return (F.unix_micros(F.col(later).cast("timestamp")) - F.unix_micros(F.col(earlier).cast("timestamp"))) / 1e6
 
@@ -119,6 +124,24 @@ def bus_routes(payloads: DataFrame, body: str = "body") -> DataFrame:
     return rows.where("trim(r.rt) <> ''").select(*keep, F.trim("r.rt").alias("rt"), F.col("r.rtnm").alias("name"), F.col("r.rtclr").alias("colour"), F.col("r.rtdd").alias("shown_as"))
 
 
+def bus_directions(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Directions of ``{bustime-response: {directions: [...]}}`` of a route: id and name, or one field for both."""
+    head = F.from_json(body, "STRUCT<`bustime-response`: STRUCT<directions: STRING>>")["bustime-response"]["directions"]
+    keep = [c for c in payloads.columns if c != body]
+    rows = payloads.select(*keep, F.explode(object_or_list(head, "STRUCT<id: STRING, name: STRING, dir: STRING>")).alias("d"))
+    ident = F.trim(F.coalesce("d.id", "d.dir", "d.name"))
+    return rows.where(ident != "").select(*keep, ident.alias("direction"), F.coalesce("d.name", "d.dir", "d.id").alias("name"))
+
+
+def bus_stops(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Stops of ``{bustime-response: {stops: [...]}}``; the route and direction asked for come with the payload."""
+    head = F.from_json(body, "STRUCT<`bustime-response`: STRUCT<stops: STRING>>")["bustime-response"]["stops"]
+    keep = [c for c in payloads.columns if c != body]
+    rows = payloads.select(*keep, F.explode(object_or_list(head, "STRUCT<stpid: STRING, stpnm: STRING, lat: STRING, lon: STRING>")).alias("s"))
+    number = lambda c: F.col(f"s.{c}").try_cast("double").alias(c)
+    return rows.where("trim(s.stpid) <> ''").select(*keep, F.trim("s.stpid").alias("stop"), F.col("s.stpnm").alias("name"), number("lat"), number("lon"))
+
+
 def bus_patterns(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Patterns of ``{bustime-response: {ptr: [...]}}`` with ``points``: of the pattern, and those it had before a detour."""
     point = "STRUCT<seq: STRING, typ: STRING, stpid: STRING, stpnm: STRING, lat: STRING, lon: STRING, pdist: STRING>"
