@@ -112,6 +112,19 @@ def op8_sql(n: int = 10) -> str:
       FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)"""
 
 
+def op11_sql(size: int = 2) -> str:
+    """Links by counting common shingles, components by reaching on from row to row."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+    shingles = f"CASE WHEN len(w) < {size} THEN w ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size} - 1], ' '))) END"
+    return f"""WITH RECURSIVE d AS (SELECT rid, doc_id, {shingles} AS s FROM (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents)),
+      posted AS (SELECT rid, len(s) AS n, unnest(s) AS x FROM d),
+      common AS (SELECT a.rid AS i, b.rid AS j, a.n AS ni, b.n AS nj, count(*) AS c FROM posted a JOIN posted b ON a.x = b.x AND a.rid < b.rid AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n GROUP BY ALL),
+      links AS (SELECT i, j FROM common WHERE 100 * c >= 80 * (ni + nj - c)), edges AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+      reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.j FROM reach r JOIN edges e ON e.i = r.b),
+      least AS (SELECT r.a AS rid, min(t.doc_id) AS component_id FROM reach r JOIN d t ON t.rid = r.b GROUP BY r.a)
+      SELECT d.doc_id, len(d.s) AS n_shingles, l.component_id, d.doc_id IS NOT DISTINCT FROM l.component_id AS kept FROM d JOIN least l USING (rid)"""
+
+
 def op6_sql() -> str:
     """Entropy is computed afresh for every window here; the query moves counts from window to window."""
     either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
@@ -138,4 +151,4 @@ def op6_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL form (hashes, merges, iterated estimates, automata); tests/llm holds brute-force versions."""
-    return {"op6_secrets": op6_sql(), "op7_urls": op7_sql(), "op8_decontaminate": op8_sql(), "op13_merkle": merkle_sql.manifest_sql()}
+    return {"op6_secrets": op6_sql(), "op7_urls": op7_sql(), "op8_decontaminate": op8_sql(), "op11_minhash": op11_sql(), "op13_merkle": merkle_sql.manifest_sql()}
