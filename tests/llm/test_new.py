@@ -96,7 +96,12 @@ def near_copies(rng, start, n_groups, size, words, most):
 
 def test_minhash_on_documents(spark, sf, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert got_groups(registry.queries()["op11_minhash"](spark, sf)) == brute_groups(rows)
+    want = brute_groups(rows)
+    assert got_groups(registry.queries()["op11_minhash"](spark, sf)) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    told = con.execute(registry.oracle_sql()["op11_minhash"]).df()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in told.itertuples()) == want
 
 
 def test_minhash_links_at_the_border_and_in_crowds(spark):
