@@ -98,6 +98,37 @@ class Departures:
         return (at, near, n, median, None if first is None else first / 1e6, rest)
 
 
+class Directions:
+    """Rows of a window, and of each known direction (in lower case) the rows and the different runs."""
+
+    schema = "n_seen bigint, by array<struct<direction: string, shown: string, n: bigint, runs: bigint>>"
+
+    def __init__(self) -> None:
+        self.held: deque = deque()
+        self.by: dict[str, tuple[dict, dict]] = {}
+
+    def _count(self, values: tuple, step: int) -> None:
+        run, shown = values
+        if shown is None:
+            return
+        names, runs = self.by.setdefault(shown.lower(), ({}, {}))
+        for counts, key in ((names, shown), (runs, run)):
+            counts[key] = counts.get(key, 0) + step
+            if not counts[key]:
+                del counts[key]
+
+    def push(self, at: int, values: tuple) -> None:
+        self.held.append((at, values))
+        self._count(values, 1)
+
+    def pop(self) -> None:
+        self._count(self.held.popleft()[1], -1)
+
+    def answer(self) -> tuple:
+        rows = [(d, shown, n, sum(r is not None for r in runs)) for d, (names, runs) in sorted(self.by.items()) for shown, n in sorted(names.items())]
+        return (len(self.held), [dict(zip(("direction", "shown", "n", "runs"), r)) for r in rows])
+
+
 def over_windows(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: Column, at_right: Column, low: int, high: int, make: Callable[[], Any], values: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """``left`` with what ``make()`` answers for the right rows with ``low <= at_right - at_left <= high`` (microseconds).
 

@@ -9,6 +9,7 @@ from headcast.functions.scores import rounded
 from headcast.operators import arrivals as op
 from headcast.operators import joins
 from headcast.operators.joins import seconds_of
+from headcast.operators.sliding import Directions, micros, over_windows
 from headcast.sources import proxies
 from headcast.sources.proxies import sql
 
@@ -48,10 +49,12 @@ def f5_direction_audit(s: SparkSession, d: str) -> DataFrame:
     """For each request, what came by in the hours after it, and how much of that went the way it asked."""
     asked = proxies.trip_requests(s, d).withColumn("wanted", F.when(F.col("alight") >= F.col("board"), "north").otherwise("south")).select("request_id", "line", F.col("board").alias("station"), "leave_at", "wanted")
     seen = proxies.arrivals(s, d).where(~F.coalesce("fault", F.lit(False))).select("line", "station", "arrival_at", "run", "direction_code")
-    pairs = joins.band_join(asked, seen, ["line", "station"], seconds_of(F.col("leave_at")), seconds_of(F.col("arrival_at")), 0.0, 86_400.0)
-    match = F.lower("direction_code") == F.lower("wanted")
-    return pairs.groupBy("request_id", "line").agg(
-        F.count("*").alias("n_seen"), F.count_if(match).alias("n_match"), F.array_join(F.array_sort(F.collect_set("direction_code")), ",").alias("directions"), F.countDistinct(F.when(match, F.col("run"))).alias("n_runs")
+    # one window slides along each stop's arrivals: pairs of requests and arrivals are never made
+    rows = over_windows(asked, seen, ["line", "station"], micros(F.col("leave_at")), micros(F.col("arrival_at")), 0, 86_400_000_000, Directions, ["run", "direction_code"])
+    own = F.filter("by", lambda x: x["direction"] == F.lower("wanted"))
+    return rows.where("n_seen > 0").select(
+        "request_id", "line", "n_seen", F.aggregate(own, F.lit(0).cast("bigint"), lambda n, x: n + x["n"]).alias("n_match"), F.array_join(F.array_sort(F.transform("by", lambda x: x["shown"])), ",").alias("directions"),
+        F.coalesce(F.get(own, F.lit(0))["runs"], F.lit(0)).alias("n_runs"),
     )
 
 
