@@ -16,7 +16,11 @@ FEW_IDS = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go.
+
+    Null, empty and wordless texts fail the base rules. Repeated rows are judged alike, each by itself; an empty table gives
+    an empty one. Columns of any name are kept as they are.
+    """
     return quality_rules.keep_good(docs)
 
 
@@ -54,7 +58,11 @@ def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; a document goes if they were over half of its words."""
+    """Benchmark passages are cut out; a document goes if they were over half of its words.
+
+    Null and wordless texts hold no passage and stay. Repeated rows are cut alike; empty tables of documents or of the
+    benchmark are no exception. Columns of any name are carried along; ``n_chars`` follows the new text.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     marked = decontaminate.mark_contamination(_packed(docs), benchmark, keep=["row", "text"])
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["first"]))
@@ -63,13 +71,19 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark.
+
+    Null texts stay null. Repeated rows are changed alike, an empty table gives an empty one, columns of any name are kept.
+    """
     found = secrets.find_secrets(_packed(docs), keep=["row", "text"])
     return _with_text(docs, found.select("row", secrets.redact(F.col("text"), F.col("spans")).alias("text")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids' count and hashes; these replace columns of the same names."""
+    """Documents with their token ids' count and hashes; these replace columns of the same names.
+
+    A null text counts as empty: no tokens, the hashes of nothing. Repeated rows give repeated rows, an empty table an empty one.
+    """
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN, keep=docs.columns)
 
