@@ -203,3 +203,19 @@ def test_shared_boilerplate_hides_no_link(spark, shared):
     got = {r.doc_id: r.root for r in similar.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(alike(texts[i], texts[i + 1]) and got[i] == got[i + 1] for i in range(0, len(texts), 2))
     assert len(set(got.values())) == len(texts) // 2
+
+
+def test_stages_on_null_empty_and_very_long_texts(spark, sf, tmp_path):
+    """What stages after the first do with texts that the first would drop, and a run over an empty table."""
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (4, long), (5, "a plain text of some words"), (None, "no id here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.decontaminated, corpus_pipeline.without_secrets):
+        assert sorted(map(repr, stage(spark, docs, sf).select("doc_id", "text").collect())) == sorted(map(repr, docs.select("doc_id", "text").collect()))
+    got = {(r.doc_id, r.text): r.n_tokens for r in corpus_pipeline.tokens(spark, docs, sf).collect()}
+    assert got[1, None] == got[2, ""] == 0 and got[4, long] > 60_000
+    kept = corpus_pipeline.near_copies(spark, docs, sf).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 4), (False, 5), (True, 0)]
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
