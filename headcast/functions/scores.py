@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NORMAL = NormalDist()
 #: The normal quantile at 0.8 to the digits that the log-normal fit is defined with.
 Z80 = 0.8416212335729143
 
 
+@F.pandas_udf(T.DoubleType())
+def libm_log(values: pd.Series) -> pd.Series:
+    """Logarithm as the C library rounds it (the JVM's differs in last bits), for comparisons that have ties; null at 0 and below."""
+    return pd.Series([math.log(v) if v > 0 else None for v in values], dtype="float64")
+
+
 def lognormal_mu(p50: Column) -> Column:
     """Logarithm of the median; null where no log-normal fits."""
     return F.when(p50 > 0, F.log(p50))

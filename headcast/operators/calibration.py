@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headcast.functions.scores import NORMAL, crps, interval_score, lognormal_mu, lognormal_quantile, lognormal_sigma, pinball, rounded
+from headcast.functions.scores import NORMAL, Z80, crps, interval_score, libm_log, lognormal_mu, lognormal_quantile, lognormal_sigma, pinball, rounded
 
 QUANTILES = tuple(k / 10 for k in range(1, 10))
 
@@ -74,15 +74,18 @@ def pit_histogram(rows: DataFrame, n_bins: int = 10, min_samples: int = 30, pool
     """Histogram of the probability integral transform; every bin of a line is there, empty ones with count 0.
 
     A value falls into a bin exactly if its normal score lies between the bin's edges, which are constants: no
-    distribution function is computed per row, and a line's bins are conditional counts of one aggregate.
+    distribution function is computed per row, and a line's bins are conditional counts of one aggregate. An actual at
+    p80, or as far below the median, lies on an edge: the last bits of the logarithms decide, so they are the C library's.
     """
-    z = (F.log("actual") - lognormal_mu(F.col("p50"))) / lognormal_sigma(F.col("p50"), F.col("p80"))
+    fits = (F.col("p50") > 0) & (F.col("p80") > F.col("p50"))
+    z = F.when(fits, (F.col("__a") - F.col("__m")) / ((F.col("__h") - F.col("__m")) / Z80))
     edges = [NORMAL.inv_cdf(k / n_bins) for k in range(1, n_bins)]
     place = F.when(F.col("actual") <= 0, 0)
     for i, edge in enumerate(edges):
         place = place.when(z < edge, i)
     line = F.lit("ALL") if pooled else F.col("line")
-    binned = rows.select(line.alias("line"), place.otherwise(n_bins - 1).alias("bin"))
+    logs = {name: libm_log(F.col(c)) for name, c in (("__a", "actual"), ("__m", "p50"), ("__h", "p80"))}
+    binned = rows.withColumns(logs).select(line.alias("line"), place.otherwise(n_bins - 1).alias("bin"))
     wide = binned.groupBy("line").agg(F.count("*").alias("n"), *[F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(n_bins)])
     bars = F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"b{i}").alias("count")) for i in range(n_bins)])
     long = wide.where(F.col("n") >= (0 if pooled else min_samples)).select("line", "n", F.inline(bars))

@@ -32,3 +32,26 @@ def test_departure_seconds_below_a_thousandth(spark):
     (row,) = features.departure_snapshot(asked, seen, 60.0, 60.0).collect()
     (gone,) = json.loads(row.live_departures)
     assert row.live_departures.startswith('[{"arrives_s":0.000') and gone["run"] == 'a"arrives_s":"1"' and gone["arrives_s"] == pytest.approx(2e-4, abs=1e-6)
+
+
+def test_histogram_of_actuals_on_edges(spark):
+    """Actuals at p80 and as far below the median lie on edges of bins; each goes where the SQL's logarithms put it."""
+    rows = [(f"l{p50}:{share}", float(p50), p50 * 1.25, p50 * share) for p50 in range(300, 1270, 10) for share in (0.8, 1.0, 1.25)]
+    frame = spark.createDataFrame(rows, "line string, p50 double, p80 double, actual double")
+    got = {r.line: r.bin for r in cal.pit_histogram(frame, min_samples=0).where("count = 1").collect()}
+    edges = " ".join(f"WHEN (ln(a) - ln(m)) / ((ln(h) - ln(m)) / {Z80!r}::DOUBLE) < {NORMAL.inv_cdf(k / 10)!r}::DOUBLE THEN {k - 1}" for k in range(1, 10))
+    want = {n: duckdb.execute(f"SELECT CASE {edges} ELSE 9 END FROM (SELECT ?::DOUBLE AS m, ?::DOUBLE AS h, ?::DOUBLE AS a)", [m, h, a]).fetchone()[0] for n, m, h, a in rows}
+    assert got == want
+
+
+def test_histogram_pooled_over_edges(spark):
+    """All lines together, with actuals that fit no logarithm."""
+    rows = [(float(p50), p50 * 1.25, p50 * share) for p50 in range(300, 1270, 10) for share in (0.8, 1.25)] + [(300.0, 375.0, 0.0), (300.0, 300.0, 310.0)]
+    z = lambda m, h, a: (math.log(a) - math.log(m)) / ((math.log(h) - math.log(m)) / Z80)
+    want = [0] * 10
+    for m, h, a in rows[:-2]:
+        want[sum(z(m, h, a) >= NORMAL.inv_cdf(k / 10) for k in range(1, 10))] += 1
+    want[0] += 1
+    want[9] += 1
+    got = cal.pit_histogram(spark.createDataFrame(rows, "p50 double, p80 double, actual double").withColumn("line", F.lit("x")), pooled=True).collect()
+    assert [r["count"] for r in sorted(got, key=lambda r: r.bin)] == want
