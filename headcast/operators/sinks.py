@@ -75,5 +75,5 @@ def content_hash(body: Column) -> Column:
 
 
 def body_text(body: Column, content_type: Column) -> Column:
-    """A binary body as text if its type says so, else in base 64 behind a mark."""
-    return F.when(content_type.rlike("(?i)json|xml|text|html|csv"), F.decode(body, "UTF-8")).otherwise(F.concat(F.lit("BASE64:"), F.base64(body)))
+    """A binary body as text if its type says so, else in base 64 behind a mark, however long without line breaks."""
+    return F.when(content_type.rlike("(?i)json|xml|text|html|csv"), F.decode(body, "UTF-8")).otherwise(F.concat(F.lit("BASE64:"), F.translate(F.base64(body), "\r\n", "")))

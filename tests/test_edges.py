@@ -55,3 +55,10 @@ def test_histogram_pooled_over_edges(spark):
     want[9] += 1
     got = cal.pit_histogram(spark.createDataFrame(rows, "p50 double, p80 double, actual double").withColumn("line", F.lit("x")), pooled=True).collect()
     assert [r["count"] for r in sorted(got, key=lambda r: r.bin)] == want
+
+
+def test_long_bodies_in_base64_have_no_line_breaks(spark):
+    bodies = [b"x" * n for n in (0, 1, 57, 58, 1000)]
+    frame = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "i int, b binary")
+    got = [r.t for r in sorted(frame.select("i", sinks.body_text(F.col("b"), F.lit("application/octet-stream")).alias("t")).collect())]
+    assert got == [duckdb.execute("SELECT 'BASE64:' || base64(?::BLOB)", [b]).fetchone()[0] for b in bodies]
