@@ -7,12 +7,15 @@ import math
 from datetime import datetime, timedelta
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from headcast.functions.scores import NORMAL, Z80
 from headcast.operators import features, sinks
 from headcast.operators import calibration as cal
+from headcast.streaming import jobs, stateful
+from headcast.streaming.replay import as_stream, run_through
 
 T0 = datetime(2026, 1, 1, 8)
 
@@ -62,3 +65,63 @@ def test_long_bodies_in_base64_have_no_line_breaks(spark):
     frame = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "i int, b binary")
     got = [r.t for r in sorted(frame.select("i", sinks.body_text(F.col("b"), F.lit("application/octet-stream")).alias("t")).collect())]
     assert got == [duckdb.execute("SELECT 'BASE64:' || base64(?::BLOB)", [b]).fetchone()[0] for b in bodies]
+
+
+class Kept:
+    """A list in the state, and how often it was read."""
+
+    def __init__(self):
+        self.rows, self.reads = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    appendList = lambda self, rows: self.rows.extend(rows)
+    clear = lambda self: self.rows.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.lists = set(), {}
+
+    def getListState(self, name, schema):
+        return self.lists.setdefault(name, Kept())
+
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.discard(at)
+    listTimers = lambda self: iter(sorted(self.timers))
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.now
+
+
+def test_a_crowd_of_forecasts_is_settled_with_one_look(spark):
+    """Lists of a key are read once a batch, however many forecasts are due; the rest waits for its own time."""
+    handle, work = Handle(), stateful.SettleForecasts(300)
+    work.init(handle)
+    second = stateful.SECOND
+    asked = [("forecast", i, i * second, (i + 50) * second) for i in range(500)]
+    came = [("arrival", stateful.NONE, i * second, stateful.NONE) for i in range(7, 400, 7)]
+    list(work.handleInputRows(("Red", 1), iter([pd.DataFrame(asked + came, columns=list(stateful.QUESTION))]), Clock(0)))
+    assert len(handle.timers) == 1
+    out = []
+    for now in (600_000, 2_000_000):
+        while handle.timers and min(handle.timers) <= now:
+            handle.timers.discard(min(handle.timers))
+            out += [r for part in work.handleExpiredTimer(("Red", 1), Clock(now), Clock(now)) for r in part.itertuples(index=False)]
+    assert handle.lists["pending"].reads == 2 and not handle.lists["pending"].rows
+    first = {i: next((a for _, _, a, _ in came if a >= i * second), None) for i in range(500)}
+    assert {r.request_id: (r.status, r.settled_us, r.wait_us) for r in out} == {
+        i: ("unresolvable", (i + 350) * second, None) if a is None or a > (i + 350) * second else ("resolved", max((i + 50) * second, a), a - i * second) for i, a in first.items()
+    }
