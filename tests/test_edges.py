@@ -125,3 +125,17 @@ def test_a_crowd_of_forecasts_is_settled_with_one_look(spark):
     assert {r.request_id: (r.status, r.settled_us, r.wait_us) for r in out} == {
         i: ("unresolvable", (i + 350) * second, None) if a is None or a > (i + 350) * second else ("resolved", max((i + 50) * second, a), a - i * second) for i, a in first.items()
     }
+
+
+def test_interval_join_meets_stretches(spark):
+    """Pairs across borders of stretches, unmet forecasts once, and state buckets of a stretch rather than a key's history."""
+    left = [(i, "a", at(i * 3000)) for i in range(60)] + [(100, "b", at(10))]
+    right = [(i, "a", at(i * 7200)) for i in range(22)] + [(200, "a", at(500_000)), (201, "b", at(500_000))]
+    asked, came = spark.createDataFrame(left, "request_id long, key string, leave_at timestamp"), spark.createDataFrame(right, "event_id long, a_key string, arrived_at timestamp")
+    late = spark.createDataFrame([(999, "z", at(500_000))], "request_id long, key string, leave_at timestamp")
+    streams = as_stream(asked.unionByName(late), F.when(F.col("request_id") == 999, 1).otherwise(0)), as_stream(came, F.when(F.col("event_id") >= 200, 1).otherwise(0))
+    joined = jobs.interval_join(*streams, "2 hours", "1 hour")
+    assert joined.columns == [*asked.columns, *came.columns] and "__a_bin" in joined._jdf.queryExecution().analyzed().toString()
+    got = sorted((r.request_id, -1 if r.event_id is None else r.event_id) for r in run_through(joined).rows.where("request_id < 999").collect())
+    pairs = [(i, e) for i, k, t in left for e, a, u in right if k == a and 0 <= (u - t).total_seconds() <= 7200]
+    assert got == sorted(pairs + [(i, -1) for i, _, _ in left if i not in {p[0] for p in pairs}])
