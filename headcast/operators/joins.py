@@ -86,6 +86,31 @@ def forward_asof(
     return each.select(*left.columns, *[F.col(f"item.{c}").alias(c) for c in values], (F.col("nth") + 1).alias("nth"))
 
 
+def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: Column, at_right: Column, within: float, tie: str) -> DataFrame:
+    """``left`` with ``nearest``: of the right rows of its key within ``within`` seconds the one nearest in time (``gap_s``, columns),
+    of equally near ones that with the least ``tie``; rows without one aren't returned.
+
+    Both sides go once through a sorted stream per key and stretch of time, forwards and backwards, that carries the last
+    right row along: pairs are never made. Null keys and times meet nothing.
+    """
+    keys, width = list(keys), 2 * within + 1
+    values = [c for c in right.columns if c not in (*keys, tie)]
+    some = at_right.isNotNull()
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    own = F.floor(F.col("__t") / width)
+    coming = right.where(some).select(*keys, at_right.alias("__t"), F.struct(at_right.alias("at"), tie, *values).alias("__item")).withColumn("__bin", F.explode(F.array(own, own - 1)))
+    asked = left.select(*keys, at_left.alias("__t"), F.struct(*left.columns).alias("__row"), F.floor((at_left - within) / width).alias("__bin"))
+    stretch = Window.partitionBy(*keys, "__bin")
+    # at equal times right rows come first, that with the least tie last
+    among = (F.col("__row").isNotNull(), F.col(f"__item.{tie}").desc())
+    last = lambda t: F.last("__item", ignorenulls=True).over(stretch.orderBy(t, *among).rowsBetween(Window.unboundedPreceding, 0))
+    met = coming.unionByName(asked, allowMissingColumns=True).withColumn("__before", last(F.col("__t"))).withColumn("__after", last(F.col("__t").desc())).where("__row is not null")
+    gap = lambda item: F.abs(item["at"] - F.col("__t"))
+    candidate = lambda c: F.when(gap(F.col(c)) <= within, F.struct(gap(F.col(c)).alias("gap_s"), F.col(c)[tie].alias(tie), *[F.col(c)[v].alias(v) for v in values]))
+    return met.select("__row.*", F.array_min(F.array(candidate("__before"), candidate("__after"))).alias("nearest")).where("nearest is not null")
+
+
 def anti_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left rows whose keys, nulls equal to nulls, don't occur on the right."""
     other = right.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 from datetime import datetime, timedelta
 
 import duckdb
@@ -12,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from headcast.functions.scores import NORMAL, Z80
-from headcast.operators import features, sinks
+from headcast.operators import features, joins, sinks, sliding
 from headcast.operators import calibration as cal
+from headcast.plans import registry
 from headcast.streaming import jobs, stateful
 from headcast.streaming.replay import as_stream, run_through
 
@@ -139,3 +141,39 @@ def test_interval_join_meets_stretches(spark):
     got = sorted((r.request_id, -1 if r.event_id is None else r.event_id) for r in run_through(joined).rows.where("request_id < 999").collect())
     pairs = [(i, e) for i, k, t in left for e, a, u in right if k == a and 0 <= (u - t).total_seconds() <= 7200]
     assert got == sorted(pairs + [(i, -1) for i, _, _ in left if i not in {p[0] for p in pairs}])
+
+
+@pytest.mark.parametrize("name", ["j11_nearest", "j16_observations", "f15_live_features", "f16_departure_snapshots"])
+def test_no_pairs_of_requests_and_rows(spark, sf, name):
+    """Windows slide along sorted rows; nothing is joined by bins of time, whose pairs grow with the square of the density."""
+    assert "__rbin" not in registry.queries()[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+
+
+def test_nearest_equals_all_pairs(spark):
+    draw = random.Random(5)
+    left = [(i, draw.choice("ab"), at(draw.randrange(0, 4000))) for i in range(200)] + [(900, None, at(5)), (901, "c", at(5)), (902, "a", None)]
+    right = [(draw.choice("ab"), at(draw.randrange(0, 40) * 100), i, i % 3) for i in range(80)] + [("a", None, 500, 0), (None, at(5), 501, 0)]
+    frames = spark.createDataFrame(left, "request_id int, k string, t timestamp_ntz"), spark.createDataFrame(right, "k string, u timestamp_ntz, event_id int, run int")
+    got = joins.nearest(*frames, ["k"], joins.seconds_of(F.col("t")), joins.seconds_of(F.col("u")), 60.0, "event_id")
+    want = {}
+    for i, k, t in left:
+        near = [(abs((u - t).total_seconds()), e, r) for key, u, e, r in right if k is not None and k == key and t and u and abs((u - t).total_seconds()) <= 60]
+        if near:
+            want[i] = min(near)
+    assert {r.request_id: (r.nearest.gap_s, r.nearest.event_id, r.nearest.run) for r in got.collect()} == want
+
+
+def test_windows_of_sightings_marks_and_means(spark):
+    draw = random.Random(6)
+    right = [("a", at(draw.randrange(0, 900)), draw.choice([None, 1, 2, 3]), draw.random() < 0.5, draw.random() < 0.3, draw.choice([None, 0.1, 1e9, -1e9, 0.7])) for _ in range(150)]
+    left = [(i, "a", at(i * 30)) for i in range(30)]
+    rows = spark.createDataFrame(right, "k string, u timestamp_ntz, v int, m1 boolean, m2 boolean, x double")
+    asked = spark.createDataFrame(left, "i int, k string, t timestamp_ntz")
+    over = lambda make, values: {r.i: tuple(r)[3:] for r in sliding.over_windows(asked, rows, ["k"], sliding.micros(F.col("t")), sliding.micros(F.col("u")), -100_000_000, 50_000_000, make, values).collect()}
+    seen, marked, means = over(sliding.Sightings, ["v"]), over(sliding.Marks, ["m1", "m2", "v"]), over(sliding.Mean, ["x"])
+    for i, _, t in left:
+        inside = [r for r in right if -100 <= (r[1] - t).total_seconds() <= 50]
+        different = len({r[2] for r in inside} - {None})
+        assert seen[i][:2] == (len(inside), different) and marked[i] == (sum(r[3] for r in inside), sum(r[4] for r in inside), different)
+        known = [r[5] for r in inside if r[5] is not None]
+        assert means[i][0] == len(known) and (not known or means[i][1] == pytest.approx(math.fsum(known) / len(known), abs=1e-6))
