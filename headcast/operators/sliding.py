@@ -7,11 +7,12 @@ holds the values of one window, kept in order as rows enter and leave.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,10 +130,144 @@ class Directions:
         return (len(self.held), [dict(zip(("direction", "shown", "n", "runs"), r)) for r in rows])
 
 
+class Sightings:
+    """Rows of a window, different values among them, and the time of the first."""
+
+    schema = "n bigint, n_different bigint, first_us bigint"
+
+    def __init__(self) -> None:
+        self.held: deque = deque()
+        self.counts: dict = {}
+
+    def push(self, at: int, values: tuple) -> None:
+        self.held.append((at, values[0]))
+        if values[0] is not None:
+            self.counts[values[0]] = self.counts.get(values[0], 0) + 1
+
+    def pop(self) -> None:
+        value = self.held.popleft()[1]
+        if value is not None:
+            self.counts[value] -= 1
+            if not self.counts[value]:
+                del self.counts[value]
+
+    def answer(self) -> tuple:
+        return (len(self.held), len(self.counts), self.held[0][0] if self.held else None)
+
+
+class Marks(Sightings):
+    """How many rows of a window have each of two marks, and the different values of a third column."""
+
+    schema = "n_first bigint, n_second bigint, n_different bigint"
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.marks: deque = deque()
+        self.n = [0, 0]
+
+    def push(self, at: int, values: tuple) -> None:
+        super().push(at, values[2:])
+        self.marks.append((bool(values[0]), bool(values[1])))
+        self.n = [n + m for n, m in zip(self.n, self.marks[-1])]
+
+    def pop(self) -> None:
+        super().pop()
+        self.n = [n - m for n, m in zip(self.n, self.marks.popleft())]
+
+    def answer(self) -> tuple:
+        return (*self.n, len(self.counts))
+
+
+class Mean:
+    """Number and mean of a window's known values; what a sum's last bits lose is kept beside it, so that nothing drifts."""
+
+    schema = "n bigint, mean double"
+
+    def __init__(self) -> None:
+        self.held: deque = deque()
+        self.n, self.total, self.lost = 0, 0.0, 0.0
+
+    def _add(self, value: float) -> None:
+        total = self.total + value
+        part = total - self.total
+        self.lost += (self.total - (total - part)) + (value - part)
+        self.total = total
+
+    def push(self, at: int, values: tuple) -> None:
+        self.held.append(values[0])
+        if values[0] is not None:
+            self.n += 1
+            self._add(values[0])
+
+    def pop(self) -> None:
+        value = self.held.popleft()
+        if value is not None:
+            self.n -= 1
+            self._add(-value)
+
+    def answer(self) -> tuple:
+        return (self.n, (self.total + self.lost) / self.n if self.n else None)
+
+
+class Coming:
+    """Of the predictions of a window those for the ``horizon`` seconds from now on: of one time the newest counts.
+
+    Values: predicted time (microseconds), approaching, run. Gives the ``first`` ones, the number, and the upper median, the
+    quartile range (below four gaps: of all) and the least of the gaps.
+    """
+
+    timed = True
+
+    def __init__(self, horizon: float, first: int, run: str) -> None:
+        self.schema = f"coming array<struct<arrives: double, approaching: boolean, run: {run}>>, n_coming int, headway_median_s double, headway_iqr_s double, headway_min_s double"
+        self.horizon, self.first = horizon, first
+        self.held: deque = deque()
+        self.times: list[int] = []
+        self.by: dict[int, deque] = {}
+
+    def push(self, at: int, values: tuple) -> None:
+        when = values[0]
+        self.held.append(when)
+        if when is None:
+            return
+        told = self.by.get(when)
+        if told is None:
+            told = self.by[when] = deque()
+            insort(self.times, when)
+        told.append(values[1:])
+
+    def pop(self) -> None:
+        when = self.held.popleft()
+        if when is None:
+            return
+        told = self.by[when]
+        told.popleft()
+        if not told:
+            del self.by[when]
+            del self.times[bisect_left(self.times, when)]
+
+    def answer(self, now: int | None) -> tuple:
+        if now is None:
+            return (None, 0, None, None, None)
+        low, high = bisect_left(self.times, now), bisect_right(self.times, now + round(self.horizon * 1e6))
+        if low == high:
+            return (None, 0, None, None, None)
+        # seconds as doubles, as the differences of the tables' times are taken everywhere
+        ahead = np.array(self.times[low:high], dtype=np.float64) / 1e6 - now / 1e6
+        gaps = np.sort(np.diff(ahead))
+        m = len(gaps)
+        near = [{"arrives": float(t), "approaching": told[0], "run": told[1]} for t, told in ((ahead[i], self.by[self.times[low + i]][-1]) for i in range(min(self.first, high - low)))]
+        if not m:
+            return (near, 1, None, None, None)
+        spread = gaps[m * 3 // 4] - gaps[m // 4] if m >= 4 else gaps[-1] - gaps[0]
+        return (near, m + 1, float(gaps[m // 2]), float(spread), float(gaps[0]))
+
+
 def over_windows(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: Column, at_right: Column, low: int, high: int, make: Callable[[], Any], values: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """``left`` with what ``make()`` answers for the right rows with ``low <= at_right - at_left <= high`` (microseconds).
 
-    ``make()`` has ``schema``, ``push(at, values)``, ``pop()`` of the oldest, and ``answer()``. Right rows of one time come by
+    ``make()`` has ``schema``, ``push(at, values)``, ``pop()`` of the oldest, and ``answer()``, or with ``timed`` ``answer(now)``, the
+    time of the left row (null for one without key or time). Right rows of one time come by
     ``order``. Left rows with a null key or time meet an empty window; right rows with one are left out.
     """
     keys, width = list(keys), max(1, high - low)
@@ -150,7 +285,7 @@ def over_windows(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left
     dealt = both.repartition(*keys, "__bin").sortWithinPartitions(*keys, "__bin", "__t", "__own", *[f"__item.{c}" for c in order])
     fields = T.StructType.fromDDL(make().schema)
     out = T.StructType([T.StructField("__row", both.schema["__row"].dataType), *fields])
-    types, n_keys, span, use = [to_arrow_type(f.dataType) for f in fields], len(keys) + 1, width, list(values)
+    types, n_keys, span, use, timed = [to_arrow_type(f.dataType) for f in fields], len(keys) + 1, width, list(values), getattr(make(), "timed", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, window, held = None, make(), deque()
@@ -170,7 +305,10 @@ def over_windows(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left
                     window.pop()
                     held.popleft()
                 rows.append(i)
-                answers.append(window.answer() if at[i] is not None else make().answer())
+                if timed:
+                    answers.append(window.answer(None if at[i] is None else at[i] - high))
+                else:
+                    answers.append(window.answer() if at[i] is not None else make().answer())
             if rows:
                 taken = batch.column(n_keys + 3).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([taken, *[pa.array(c, t) for c, t in zip(zip(*answers), types)]], names=["__row", *fields.names])
