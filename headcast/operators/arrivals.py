@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from headcast.functions.geo import bearing_deg, haversine_m, heading_error, segment_projection
+from headcast.functions.geo import EARTH_M, bearing_deg, heading_error, segment_projection
 from headcast.operators.joins import band_join, forward_asof, seconds_of
 
 
@@ -201,12 +203,47 @@ def crossings(observations: DataFrame, stops: DataFrame, max_gap: float = 120.0,
     return passed.groupBy("vid", "pid", "stop").agg(F.min_by(F.struct(at.alias("arrival_s"), (dp / dt).alias("speed")), F.struct("at_s", "event_id")).alias("c")).select("vid", "pid", "stop", F.col("c.arrival_s").alias("arrival_s"), F.round("c.speed", 6).alias("speed"))
 
 
-def link_vehicles(left: DataFrame, right: DataFrame, max_m: float = 250.0, max_s: float = 90.0, least: int = 2) -> DataFrame:
+def link_vehicles(left: DataFrame, right: DataFrame, max_m: float = 250.0, max_s: float = 90.0, least: int = 2, block: int = 1_000_000) -> DataFrame:
     """Runs of one stream and vehicles of another that were close in time and place at least ``least`` times.
 
-    ``left``: line, run, lat, lon, at; ``right``: line, vehicle, lat2, lon2, at2.
+    ``left``: line, run, lat, lon, at; ``right``: line, vehicle, lat2, lon2, at2. Both are dealt by line and stretch of time (a
+    right row to the two whose windows can reach it). A task holds the rows of one stretch, measures distances in blocks of
+    arrays, about ``block`` at once, and gives out what each run and vehicle sum up to: no pair leaves it.
     """
-    near = band_join(left, right, ["line"], seconds_of(F.col("at")), seconds_of(F.col("at2")), -max_s, max_s)
-    d = haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    close = near.withColumn("d", d).where(F.col("d") <= max_m)
-    return close.groupBy("line", "run", "vehicle").agg(F.count("*").alias("n"), F.round(F.avg("d"), 3).alias("mean_m"), F.round(F.max("d"), 3).alias("max_m")).where(F.col("n") >= least)
+    width = 2 * max_s + 1
+    at, at2 = seconds_of(F.col("at")), seconds_of(F.col("at2"))
+    asked = left.where("line is not null and lat is not null and lon is not null").select("line", F.floor((at - max_s) / width).alias("bin"), at.alias("t"), "run", F.radians("lat").alias("y"), F.radians("lon").alias("x")).where("t is not null")
+    own = F.floor(at2 / width)
+    seen = right.where("line is not null and lat2 is not null and lon2 is not null").select("line", F.explode(F.array(own, own - 1)).alias("bin"), at2.alias("t"), "vehicle", F.radians("lat2").alias("y"), F.radians("lon2").alias("x")).where("t is not null")
+    schema = T.StructType([left.schema["line"], left.schema["run"], right.schema["vehicle"], *T.StructType.fromDDL("n bigint, total double, top double")])
+    reach = max_m / EARTH_M * (1 + 1e-9)
+
+    def measure(asked: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or seen.empty:
+            return pd.DataFrame({f.name: pd.Series([], dtype="object") for f in schema})
+        seen = seen.sort_values("t", kind="stable")
+        (run, runs), (vehicle, vehicles) = (pd.factorize(c, use_na_sentinel=False) for c in (asked["run"], seen["vehicle"]))
+        t, y, x = (asked[c].to_numpy() for c in ("t", "y", "x"))
+        t2, y2, x2 = (seen[c].to_numpy() for c in ("t", "y", "x"))
+        low, high = np.searchsorted(t2, t - max_s, "left"), np.searchsorted(t2, t + max_s, "right")
+        before, parts, i = np.concatenate([[0], np.cumsum(high - low)]), [], 0
+        while i < len(t):
+            j = max(i + 1, int(np.searchsorted(before, before[i] + block, "right")) - 1)
+            n = high[i:j] - low[i:j]
+            a = np.repeat(np.arange(i, j), n)
+            b = np.arange(len(a)) + np.repeat(low[i:j] - (before[i:j] - before[i]), n)
+            # what lies too far north or south is out before anything else is measured
+            near = np.abs(y2[b] - y[a]) <= reach
+            a, b, i = a[near], b[near], j
+            h = np.sin((y2[b] - y[a]) / 2) ** 2 + np.cos(y[a]) * np.cos(y2[b]) * np.sin((x2[b] - x[a]) / 2) ** 2
+            d = 2 * EARTH_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+            close = d <= max_m
+            d, (pair, place) = d[close], np.unique(run[a[close]] * len(vehicles) + vehicle[b[close]], return_inverse=True)
+            top = np.zeros(len(pair))
+            np.maximum.at(top, place, d)
+            parts.append(pd.DataFrame({"run": runs[pair // len(vehicles)], "vehicle": vehicles[pair % len(vehicles)], "n": np.bincount(place, minlength=len(pair)), "total": np.bincount(place, d, len(pair)), "top": top}))
+        return pd.concat(parts).assign(line=asked["line"].iloc[0]).astype({c: "object" for c in ("line", "run", "vehicle")})[[f.name for f in schema]]
+
+    sums = asked.groupBy("line", "bin").cogroup(seen.groupBy("line", "bin")).applyInPandas(measure, schema)
+    by = sums.groupBy("line", "run", "vehicle").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("top").alias("top"))
+    return by.where(F.col("n") >= least).select("line", "run", "vehicle", "n", F.round("mean", 3).alias("mean_m"), F.round("top", 3).alias("max_m"))

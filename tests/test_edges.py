@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headcast.functions.scores import NORMAL, Z80
-from headcast.operators import features, joins, sinks, sliding
+from headcast.operators import arrivals, features, joins, sinks, sliding
 from headcast.operators import calibration as cal
 from headcast.plans import registry
 from headcast.streaming import jobs, stateful
@@ -177,3 +177,23 @@ def test_windows_of_sightings_marks_and_means(spark):
         assert seen[i][:2] == (len(inside), different) and marked[i] == (sum(r[3] for r in inside), sum(r[4] for r in inside), different)
         known = [r[5] for r in inside if r[5] is not None]
         assert means[i][0] == len(known) and (not known or means[i][1] == pytest.approx(math.fsum(known) / len(known), abs=1e-6))
+
+
+def test_vehicle_links_in_blocks(spark):
+    """Blocks of a few pairs give what all pairs give, and no pair is a row of the plan."""
+    draw = random.Random(7)
+    left = [("a", draw.randrange(3), 41.8 + draw.randrange(50) / 1000, -87.6, at(draw.randrange(3000))) for _ in range(60)] + [(None, 1, 41.8, -87.6, at(1)), ("b", 1, None, -87.6, at(1))]
+    right = [("a", f"v{draw.randrange(4)}", 41.8 + draw.randrange(50) / 1000, -87.6, at(draw.randrange(3000))) for _ in range(60)] + [("b", "v1", 41.8, -87.6, None)]
+    frames = spark.createDataFrame(left, "line string, run long, lat double, lon double, at timestamp_ntz"), spark.createDataFrame(right, "line string, vehicle string, lat2 double, lon2 double, at2 timestamp_ntz")
+    got = arrivals.link_vehicles(*frames, 2000.0, 90.0, 1, block=7)
+    assert "__rbin" not in got._jdf.queryExecution().analyzed().toString()
+    want: dict = {}
+    for line, run, y, _, t in left[:-2]:
+        for other, vehicle, y2, _, u in right[:-1]:
+            d = math.radians(abs(y2 - y)) * 6_371_000
+            if line == other and abs((u - t).total_seconds()) <= 90 and d <= 2000:
+                want.setdefault((line, run, vehicle), []).append(d)
+    rows = {(r.line, r.run, r.vehicle): (r.n, r.mean_m, r.max_m) for r in got.collect()}
+    assert rows.keys() == want.keys()
+    for key, ds in want.items():
+        assert rows[key] == (len(ds), pytest.approx(sum(ds) / len(ds), abs=1e-3), pytest.approx(max(ds), abs=1e-3))
