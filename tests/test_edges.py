@@ -143,6 +143,21 @@ def test_interval_join_meets_stretches(spark):
     assert got == sorted(pairs + [(i, -1) for i, _, _ in left if i not in {p[0] for p in pairs}])
 
 
+def test_pooled_histogram_of_tables_on_edges(spark, tmp_path):
+    """The registered query against its own SQL, on orders whose items put actuals at p80 and 0.8 of the median."""
+    keys = [k for k in range(600) if k % 10 > 1]
+    orders = spark.createDataFrame([(k, k % 7, "O", "1-URGENT", datetime(1996, 1, 1)) for k in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz")
+    share = lambda k: 1.25 if k % 2 else 0.8
+    items = [(k, ((300.0 + 10 * (k % 97)) * share(k) - 200) / 20, datetime(1996, 2, 1)) for k in keys for _ in range(2)]
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_quantity double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = registry.queries()["g7_pit_pooled"](spark, str(tmp_path)).collect()
+    assert sorted((r.line, r.bin, r["count"], r.density) for r in got) == sorted(con.execute(registry.oracle_sql()["g7_pit_pooled"]).fetchall())
+
+
 @pytest.mark.parametrize("name", ["j11_nearest", "j16_observations", "f15_live_features", "f16_departure_snapshots"])
 def test_no_pairs_of_requests_and_rows(spark, sf, name):
     """Windows slide along sorted rows; nothing is joined by bins of time, whose pairs grow with the square of the density."""
