@@ -619,6 +619,23 @@ def test_quality_lm_cuts_at_the_quantile_itself(spark):
     assert sum(rows[k].kept for k, *_ in trusted) >= 0.98 * len(trusted)
 
 
+def test_quality_lm_counts_every_trusted_text_of_its_half(spark):
+    """Each of 10,000 trusted texts has a word of its own: those of the fitted half are known, however many there are."""
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("u"), "id").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    stranger = spark.createDataFrame([(-1, "stranger", "en")], docs.schema)
+    rows = {r.doc_id: r for r in quality_lm.classify(docs.union(stranger), labels).collect()}
+    known = {k for k, r in rows.items() if r.perplexity < rows[-1].perplexity * 0.999}
+    half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(2)) == 0
+    assert known == {r.doc_id for r in docs.where(half).collect()} and len(known) > 4_800
+
+
+def test_quality_lm_bounds_change_no_score(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    one, other = ({r.doc_id: r for r in quality_lm.classify(docs, labels, rule=rule).collect()} for rule in (quality_lm.Cut(), quality_lm.Cut(pairs_bound=50, few_ids=0)))
+    assert one.keys() == other.keys() and all(one[k].perplexity == pytest.approx(other[k].perplexity, rel=1e-9) and one[k].kept == other[k].kept for k in one)
+
+
 def test_quality_lm_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (6, 1), (None, 1)], "doc_id long, quality int")
     rows = quality_lm.classify(odd, labels).collect()
