@@ -7,7 +7,7 @@ through the fold, so a task holds one key's state rather than its history.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -63,20 +63,35 @@ class Conformal:
         self.weights = [0.0] * len(STEPS)
 
     def update(self, raw: float, seen: float) -> None:
-        if not self.remember:
-            self.weights = [0.0] * len(STEPS)
-        covered = 1.0 if seen <= max(0.0, raw + self.offset) else 0.0
-        self.n += 1
-        self.missed += int(1 - covered)
-        miss = self.target - covered
-        for i, size in enumerate(STEPS):
-            error = seen - raw - (self.offset + size * miss)
-            self.weights[i] -= ETA * max(self.target * error, (self.target - 1) * error)
-        top = max(self.weights)
-        self.weights = [w - top for w in self.weights]
-        mass = [math.exp(w) for w in self.weights]
-        self.step_size = sum(m * s for m, s in zip(mass, STEPS)) / sum(mass)
-        self.offset = max(-BOUND, min(BOUND, self.offset + self.step_size * miss))
+        self.update_all([(raw, seen)])
+
+    def update_all(self, observed: Iterable[tuple[float, float]]) -> None:
+        """Moves on by pairs of prediction and outcome in order; the four step sizes are written out, as this runs once a row."""
+        target, lower, remember, exp = self.target, self.target - 1, self.remember, math.exp
+        offset, size, n, missed = self.offset, self.step_size, self.n, self.missed
+        w0, w1, w2, w3 = self.weights
+        s0, s1, s2, s3 = STEPS
+        for raw, seen in observed:
+            if not remember:
+                w0 = w1 = w2 = w3 = 0.0
+            n += 1
+            miss = target
+            if seen <= max(0.0, raw + offset):
+                miss = target - 1.0
+            else:
+                missed += 1
+            gap = seen - raw
+            e0, e1, e2, e3 = gap - (offset + s0 * miss), gap - (offset + s1 * miss), gap - (offset + s2 * miss), gap - (offset + s3 * miss)
+            w0 -= ETA * (target * e0 if e0 > 0 else lower * e0)
+            w1 -= ETA * (target * e1 if e1 > 0 else lower * e1)
+            w2 -= ETA * (target * e2 if e2 > 0 else lower * e2)
+            w3 -= ETA * (target * e3 if e3 > 0 else lower * e3)
+            top = max(w0, w1, w2, w3)
+            w0, w1, w2, w3 = w0 - top, w1 - top, w2 - top, w3 - top
+            m0, m1, m2, m3 = exp(w0), exp(w1), exp(w2), exp(w3)
+            size = sum((m0 * s0, m1 * s1, m2 * s2, m3 * s3)) / sum((m0, m1, m2, m3))
+            offset = max(-BOUND, min(BOUND, offset + size * miss))
+        self.offset, self.step_size, self.n, self.missed, self.weights = offset, size, n, missed, [w0, w1, w2, w3]
 
 
 def known(value: float | None) -> bool:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headcast.functions.scores import NORMAL, Z80
-from headcast.operators import arrivals, features, joins, sinks, sliding
+from headcast.operators import arrivals, features, joins, online, sinks, sliding
 from headcast.operators import calibration as cal
 from headcast.plans import registry
 from headcast.streaming import jobs, stateful
@@ -158,6 +158,48 @@ def test_pooled_histogram_of_tables_on_edges(spark, tmp_path):
     assert sorted((r.line, r.bin, r["count"], r.density) for r in got) == sorted(con.execute(registry.oracle_sql()["g7_pit_pooled"]).fetchall())
 
 
+def test_replay_computes_its_table_once(spark):
+    """A replayed table is computed once, whatever the number of batches, and each batch comes in its turn."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(40).mapInArrow(counted, "id long").withColumn("b", F.when(F.col("id") != 7, F.col("id") % 4))
+    rows = run_through(as_stream(frame, F.col("b")), "append").rows
+    assert sorted((r.id, r.batch) for r in rows.collect()) == [(i, i % 4) for i in range(40) if i != 7] and seen.value == 40
+
+
+def test_conformal_by_the_batch_equals_row_by_row():
+    """What was a loop over the step sizes, to the last bit; rows of a batch count in order, unknown times first."""
+
+    def plain(rows, target, remember):
+        offset, size, missed, weights = 0.0, 0.0, 0, [0.0] * 4
+        for raw, seen in rows:
+            weights = weights if remember else [0.0] * 4
+            covered = 1.0 if seen <= max(0.0, raw + offset) else 0.0
+            missed, miss = missed + int(1 - covered), target - covered
+            for i, s in enumerate(online.STEPS):
+                error = seen - raw - (offset + s * miss)
+                weights[i] -= online.ETA * max(target * error, (target - 1) * error)
+            weights = [w - max(weights) for w in weights]
+            mass = [math.exp(w) for w in weights]
+            size = sum(m * s for m, s in zip(mass, online.STEPS)) / sum(mass)
+            offset = max(-online.BOUND, min(online.BOUND, offset + size * miss))
+        return offset, size, len(rows), missed, weights
+
+    draw = random.Random(8)
+    rows = [(draw.uniform(0, 900), draw.uniform(0, 1500)) for _ in range(2000)] + [(5.0, 5.0), (0.0, 0.0), (1e5, 0.0), (0.0, 1e5)]
+    for target, remember in ((0.8, False), (0.9, True)):
+        fold = online.Conformal(target, remember)
+        fold.update_all(rows[:700])
+        for r in rows[700:]:
+            fold.update(*r)
+        assert (fold.offset, fold.step_size, fold.n, fold.missed, fold.weights) == plain(rows, target, remember)
+
+
 @pytest.mark.parametrize("name", ["j11_nearest", "j16_observations", "f15_live_features", "f16_departure_snapshots"])
 def test_no_pairs_of_requests_and_rows(spark, sf, name):
     """Windows slide along sorted rows; nothing is joined by bins of time, whose pairs grow with the square of the density."""
