@@ -47,19 +47,22 @@ def predicted_trips(arrivals: DataFrame, now: Column, keys: Sequence[str] = ("li
     return by.where(F.col("observed_at") <= now)
 
 
-def resolve_trips(requests: DataFrame, observed: DataFrame, horizon: float, first: int = 5, strict: bool = False) -> DataFrame:
+def resolve_trips(requests: DataFrame, observed: DataFrame, horizon: float, first: int = 5, strict: bool = False, task_rows: int = 500_000) -> DataFrame:
     """Which of the next ``first`` boardings after ``leave_at`` is the first whose run later reaches the alighting stop.
 
     ``requests``: request_id, line, board, alight, leave_at. ``observed``: line, run, station, observed_at. ``strict``
-    asks that alighting comes after boarding rather than with it. Requests without a match aren't returned.
+    asks that alighting comes after boarding rather than with it. Requests without a match aren't returned. The rows are
+    counted first: tasks grow in number with them, about ``task_rows`` in each, not in memory.
     """
+    default = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(default, 1 + (first * requests.count() + observed.count()) // task_rows)
     boardings = observed.select("line", F.col("station").alias("board"), F.col("observed_at").alias("boarded_at"), F.col("run").alias("run"))
-    five = forward_asof(requests, boardings, "request_id", ["line", "board"], seconds_of(F.col("leave_at")), seconds_of(F.col("boarded_at")), horizon, first)
+    five = forward_asof(requests, boardings, "request_id", ["line", "board"], seconds_of(F.col("leave_at")), seconds_of(F.col("boarded_at")), horizon, first, parts)
     ends = observed.select("line", "run", F.col("station").alias("alight"), F.col("observed_at").alias("alighted_at"))
     # times are whole microseconds: half of one more asks for a later time
     since = seconds_of(F.col("boarded_at")) + (5e-7 if strict else 0.0)
-    rides = forward_asof(five.withColumnRenamed("nth", "boarding"), ends, "request_id", ["line", "run", "alight"], since, seconds_of(F.col("alighted_at")), None, 1).drop("nth").withColumnRenamed("boarding", "nth")
-    taken = rides.groupBy("request_id").agg(F.min_by(F.struct(*[c for c in rides.columns if c != "request_id"]), "nth").alias("r")).select("request_id", "r.*")
+    rides = forward_asof(five.withColumnRenamed("nth", "boarding"), ends, "request_id", ["line", "run", "alight"], since, seconds_of(F.col("alighted_at")), None, 1, parts).drop("nth").withColumnRenamed("boarding", "nth")
+    taken = rides.repartition(parts, "request_id").groupBy("request_id").agg(F.min_by(F.struct(*[c for c in rides.columns if c != "request_id"]), "nth").alias("r")).select("request_id", "r.*")
     t = {c: seconds_of(F.col(c)) for c in ("leave_at", "boarded_at", "alighted_at")}
     return taken.withColumns({"wait_s": t["boarded_at"] - t["leave_at"], "ride_s": t["alighted_at"] - t["boarded_at"], "total_s": t["alighted_at"] - t["leave_at"]})
 

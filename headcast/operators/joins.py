@@ -48,13 +48,13 @@ def newest_set(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     return df.join(top, [*on, F.col(at) == F.col("__top")]).select(*df.columns)
 
 
-def next_items(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: Column, at_right: Column, horizon: float | None, first: int) -> DataFrame:
+def next_items(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: Column, at_right: Column, horizon: float | None, first: int, parts: int | None = None) -> DataFrame:
     """``left`` with ``next``: the ``first`` right rows at or after its time, as an ordered array of structs (``at``, columns).
 
     Both sides go through one sorted stream per key, newest first, that carries the following right rows along: pairs are
     never made, however dense the right side is. With a ``horizon`` (seconds) a key's history is cut into bins of that
     length, right rows being given to their own bin and the one before; without, a key is one stream. Left rows without
-    a following row have a null ``next``; so have those with a null key.
+    a following row have a null ``next``; so have those with a null key. With ``parts`` the streams are dealt over so many tasks.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
@@ -69,6 +69,7 @@ def next_items(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left:
     place = F.lit(0) if horizon is None else F.floor(at_left / horizon)
     asked = left.select(*keys, place.cast("bigint").alias("bin"), at_left.alias("t"), F.struct(*left.columns).alias("row"))
     both = coming.unionByName(asked, allowMissingColumns=True)
+    both = both if parts is None else both.repartition(parts, *keys, "bin")
     # at equal times right rows come first, the least of them last
     back = Window.partitionBy(*keys, "bin").orderBy(F.col("t").desc(), F.col("row").isNull().desc(), F.col("item").desc()).rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("near", F.last("next", ignorenulls=True).over(back)).where("row is not null")
@@ -78,11 +79,11 @@ def next_items(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left:
 
 
 def forward_asof(
-    left: DataFrame, right: DataFrame, id_col: str, keys: Sequence[str], at_left: Column, at_right: Column, horizon: float | None, first: int = 1
+    left: DataFrame, right: DataFrame, id_col: str, keys: Sequence[str], at_left: Column, at_right: Column, horizon: float | None, first: int = 1, parts: int | None = None
 ) -> DataFrame:
     """For each left row the ``first`` right rows at or after its time, within ``horizon`` seconds, in order (``nth``)."""
     values = [c for c in right.columns if c not in keys]
-    each = next_items(left, right, keys, at_left, at_right, horizon, first).select(*left.columns, F.posexplode("next").alias("nth", "item"))
+    each = next_items(left, right, keys, at_left, at_right, horizon, first, parts).select(*left.columns, F.posexplode("next").alias("nth", "item"))
     return each.select(*left.columns, *[F.col(f"item.{c}").alias(c) for c in values], (F.col("nth") + 1).alias("nth"))
 
 

@@ -200,6 +200,15 @@ def test_conformal_by_the_batch_equals_row_by_row():
         assert (fold.offset, fold.step_size, fold.n, fold.missed, fold.weights) == plain(rows, target, remember)
 
 
+def test_trips_are_dealt_over_tasks_by_their_number(spark):
+    """More rows make more tasks rather than larger ones, with the same trips."""
+    draw = random.Random(9)
+    asked = spark.createDataFrame([(i, draw.choice("ab"), draw.randrange(4), draw.randrange(4), at(draw.randrange(3000))) for i in range(120)], "request_id int, line string, board int, alight int, leave_at timestamp_ntz")
+    seen = spark.createDataFrame([(draw.choice("ab"), draw.randrange(3), draw.randrange(4), at(draw.randrange(4000))) for _ in range(200)], "line string, run int, station int, observed_at timestamp_ntz").distinct()
+    few, many = (arrivals.resolve_trips(asked, seen, 3600.0, task_rows=n) for n in (500_000, 20))
+    assert many.rdd.getNumPartitions() > 30 > few.rdd.getNumPartitions() and sorted(few.collect()) == sorted(many.collect())
+
+
 @pytest.mark.parametrize("name", ["j11_nearest", "j16_observations", "f15_live_features", "f16_departure_snapshots"])
 def test_no_pairs_of_requests_and_rows(spark, sf, name):
     """Windows slide along sorted rows; nothing is joined by bins of time, whose pairs grow with the square of the density."""
