@@ -631,6 +631,51 @@ def test_quality_lm_counts_every_trusted_text_of_its_half(spark):
     assert known == {r.doc_id for r in docs.where(half).collect()} and len(known) > 4_800
 
 
+def test_quality_lm_learns_from_every_trusted_text(spark):
+    """Each of 1,000 trusted texts has a word of its own and an unlabelled copy: the words of all copies are known, not of one half of them."""
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("u"), F.col("id") % 1_000).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.where("doc_id < 1000").select("doc_id", F.lit(1).alias("quality"))
+    stranger = spark.createDataFrame([(-1, "stranger", "en")], docs.schema)
+    rows = {r.doc_id: r for r in quality_lm.classify(docs.union(stranger), labels).collect()}
+    assert sum(rows[k].perplexity < rows[-1].perplexity * 0.999 for k in range(1_000, 2_000)) == 1_000
+
+
+@pytest.mark.parametrize("bounds", [{}, {"words_bound": 1 << 62, "most_words": 6, "pairs_bound": 1}, {"most_words": 0}, {"words_bound": 1 << 62, "pairs_bound": 1 << 62, "shard_tokens": 50, "parcel_bytes": 200}])
+def test_lm_scores_apart_equal_counts_without_the_text(spark, bounds):
+    """The score of a learnt text under the counts of all others, by brute force, whatever is broadcast; others keep their score."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(k, " ".join(rng.choices(words, weights=range(60, 0, -2), k=rng.randrange(0, 40)) + [f"own{k}"] * (k % 3)), k % 4 == 0) for k in range(60)] + [(60, "only only only", False), (61, None, False)]
+    tokens = {k: lm_score.tokens_of(t.encode() if t else None) for k, t, _ in texts}
+    learnt = [k for k, _, held in texts if not held]
+    n = collections.Counter(w for k in learnt for w in tokens[k])
+    pairs = collections.Counter(p for k in learnt for p in zip(tokens[k], tokens[k][1:]))
+
+    def brute(k):
+        of, ofp = (collections.Counter(tokens[k]), collections.Counter(zip(tokens[k], tokens[k][1:]))) if k in learnt else (collections.Counter(), collections.Counter())
+        norm, score = sum(n.values()) - sum(of.values()) + 0.1 * (len(n) + 1), 0.0
+        for v, w in zip([None, *tokens[k]], tokens[k]):
+            p = (n[w] - of[w] + 0.1) / norm
+            score += math.log10(p if v is None else (pairs[v, w] - ofp[v, w] + 40 * p) / (n[v] - of[v] + 40))
+        return score
+
+    frame = spark.createDataFrame([(k, t.encode() if t else None, held) for k, t, held in texts], "id long, t binary, held_out boolean")
+    rows = lm_score.score_rows(frame, apart=True, **bounds).collect()
+    plain = {r.id: r.score for r in lm_score.score_rows(frame, **bounds).collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.apart == pytest.approx(brute(r.id), abs=1e-6) and r.score == pytest.approx(plain[r.id], abs=1e-9)
+        assert r.id in learnt or r.apart == r.score
+
+
+def test_quality_lm_cuts_over_all_trusted_texts(spark):
+    """A language's only trusted text sets its cut, in whichever half a hash of its id puts it: what is worse isn't kept, though other languages would keep it."""
+    good, odd = [(k, "a b c d", f"l{k}") for k in range(20)], [(20 + k, " ".join(f"{c}{k}" for c in "zyxwvut"), "en") for k in range(20)]
+    docs = spark.createDataFrame([*good, *odd, *((100 + k, "q r s", f"l{k}") for k in range(20))], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r.kept for r in quality_lm.classify(docs, docs.where("doc_id < 100").selectExpr("doc_id", "1 AS quality")).collect()}
+    assert all(rows[k] for k in range(40)) and not any(rows[100 + k] for k in range(20))
+
+
 def test_quality_lm_bounds_change_no_score(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
     one, other = ({r.doc_id: r for r in quality_lm.classify(docs, labels, rule=rule).collect()} for rule in (quality_lm.Cut(), quality_lm.Cut(pairs_bound=50, few_ids=0)))
