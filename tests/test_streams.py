@@ -6,10 +6,13 @@ import datetime as dt
 import json
 import random
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from headcast.operators import online
+from headcast.plans import streams
 from headcast.sources import tail
 from headcast.streaming import jobs, stateful
 from headcast.streaming.replay import as_stream, newest, run_through
@@ -100,3 +103,46 @@ def test_log_tail_follows_growth_rotation_and_restart(spark, tmp_path, stretch):
     assert imported() == [*range(8), 20]
     log.write_text("".join(map(line, range(6, 16))))
     assert imported() == [*range(16), 20]
+
+
+def test_forecasts_meet_arrivals_by_binary_search():
+    rng = np.random.default_rng(3)
+    asked = np.column_stack([np.arange(40), rng.integers(0, 200, 40) * 1_000_000, np.zeros(40, dtype=np.int64)])
+    came = np.column_stack([np.arange(100, 160), rng.integers(0, 200, 60) * 1_000_000])
+    frames = list(stateful.MeetForecasts(20, frame_rows=7)._pairs(asked, came))
+    want = sorted((i, at, e) for i, at, _ in asked.tolist() for e, then in came.tolist() if at <= then <= at + 20_000_000)
+    assert sorted(tuple(r) for f in frames for r in f.itertuples(index=False, name=None)) == want and all(0 < len(f) <= 7 for f in frames)
+    assert [i for i, _, met in asked.tolist() if met] == sorted({i for i, _, _ in want})
+    assert not list(stateful.MeetForecasts(20)._pairs(asked[:0], came)) and not list(stateful.MeetForecasts(20)._pairs(asked, came[:0]))
+
+
+def test_forecasts_meet_arrivals_across_stretches_and_batches(spark):
+    """Edges of the wait and of stretches, keys that are missing, rows that come late, and forecasts that wait in vain."""
+    asked = [(i, "a", at(7 * i), i // 100 if i % 9 else min(i // 100 + 1, 3)) for i in range(400)] + [(500, None, at(10), 0), (501, "a", None, 0), (600, "z", at(9000), 3)]
+    came = [(i, "a", at(45 * i), i * 45 // 700 if i % 5 else min(i * 45 // 700 + 1, 3)) for i in range(63)] + [(70, None, at(10), 0), (71, "b", at(10), 0), (72, "z", at(8990), 3)]
+    left = spark.createDataFrame(asked, "request_id long, key string, leave_at timestamp, b int")
+    right = spark.createDataFrame(came, "event_id long, a_key string, arrived_at timestamp, b int")
+    late = "40 hours"
+    ran = run_through(stateful.met_forecasts(as_stream(left, F.col("b")), as_stream(right, F.col("b")), 7200, late, stretch=3))
+    pairs = [(i, e) for i, k, t, _ in asked for e, a, u, _ in came if t is not None and k is not None and k == a and 0 <= (u - t).total_seconds() <= 7200]
+    end = at(8990) - dt.timedelta(hours=40)
+    vain = [(i, -1) for i, _, t, _ in asked if t is not None and i not in {p[0] for p in pairs} and t + dt.timedelta(hours=2) < end]
+    got = sorted((r.request_id, -1 if r.event_id is None else r.event_id) for r in ran.rows.collect())
+    assert got == sorted(pairs + vain) and ran.dropped == 0 and (500, -1) in vain and len(pairs) > 600
+
+
+def test_registered_interval_join_of_a_busy_stretch(spark, tmp_path, monkeypatch):
+    """Many rows of one line and stop within two hours: the rows of the SQL, by a search in a stretch's arrays, with no join that reads a pair at a time."""
+    rng, day = random.Random(5), dt.datetime(2024, 1, 1)
+    spread = [(i, day + dt.timedelta(minutes=20 * i, microseconds=i), rng.randrange(60), rng.choice(["view", "click"]), rng.randrange(100)) for i in range(2160)]
+    busy = [(3000 + i, day + dt.timedelta(days=9, seconds=6 * i + 1), 7, "view", 41) for i in range(1200)]
+    rows = [(i, t, u, e, 1.0, json.dumps({"k": k})) for i, t, u, e, k in spread + busy]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    plans = []
+    monkeypatch.setattr(streams, "run_through", lambda stream, *more: (plans.append(stream._jdf.queryExecution().analyzed().toString()), run_through(stream, *more))[1])
+    got = sorted(tuple(r) for r in streams.st6_interval_join(spark, str(tmp_path)).select("request_id", "event_id", "leave_at").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT request_id, event_id, leave_at FROM ({streams.JOIN_SQL})").fetchall())
+    assert got == want and len(want) > 100_000
+    assert len(plans) == 1 and "Join" not in plans[0]
